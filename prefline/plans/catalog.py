@@ -10,11 +10,15 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefline.config import MIN_REVIEW_CHARS, QUERY_SYSTEM_PROMPT, RewardConfig
+from prefline.config import (DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_SYSTEM_PROMPT, DatasetConfig,
+                             RewardConfig, TokenConfig)
 from prefline.functions import templates as TM
+from prefline.functions.text import word_count, words
 from prefline.operators import rewards as R
+from prefline.operators.datasets import build_prefix_dataset, build_query_dataset
 from prefline.operators.pairs import first_queries, preference_pairs, rollout
 from prefline.operators.scorers import OverlapPairScorer, WordStatDetector
+from prefline.operators.tokens import Encoder, build_vocab
 from prefline.sources.adapters import adapt_queries
 from prefline.sources.tables import read_table
 
@@ -63,6 +67,44 @@ def q05_prompt_system(spark, root):
     return qs.select("conv_id", TM.render(msgs).alias("prompt"))
 
 
+def vocabulary(spark, root, cfg: TokenConfig = TokenConfig()) -> DataFrame:
+    return build_vocab(_t(spark, root, "documents"), "text", cfg)
+
+
+def q06_encode_filter(spark, root):
+    # F1 on the word count; the ids themselves are not part of the output,
+    # so Catalyst prunes the encode entirely.
+    docs = _t(spark, root, "documents").select("doc_id", words("text").alias("_w"))
+    return docs.where(F.size("_w") <= DATASET_MAX_TOKENS).select("doc_id", F.size("_w").alias("n_tokens"))
+
+
+def q07_pad_mask(spark, root):
+    enc = Encoder(spark, vocabulary(spark, root))
+    cfg = DatasetConfig(max_length=40, padding=True, padding_side="left")
+    ds = build_query_dataset(_t(spark, root, "conversations"), enc, cfg)
+    return ds.select("conv_id", F.array_join("input_ids", ",").alias("ids"),
+                     F.array_join("attention_mask", ",").alias("mask"), "n_tokens")
+
+
+def q08_random_prefix(spark, root):
+    enc = Encoder(spark, vocabulary(spark, root))
+    ds = build_prefix_dataset(_t(spark, root, "documents"), enc)
+    return ds.select("doc_id", "k", "query")
+
+
+def q23_word_count(spark, root):
+    return _t(spark, root, "documents").select("doc_id", word_count("text").alias("n_words"))
+
+
+def q24_net_length(spark, root):
+    df = rollout_frame(spark, root)
+    return df.select("conv_id", (F.size(words("response")) - F.size(words("query"))).alias("net_words"))
+
+
+def q30_vocab(spark, root):
+    return vocabulary(spark, root)
+
+
 def q20_reward_weighted(spark, root):
     df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
     return df.select("conv_id", "reward", "ref_reward",

@@ -135,6 +135,33 @@ def sql_catalog() -> dict[str, str]:
     out["q04_prompt"] = f"WITH {queries_cte()} SELECT conv_id, {prompt_user()} AS prompt FROM fq"
     out["q05_prompt_system"] = (f"WITH {queries_cte()} SELECT conv_id, "
                                 f"{prompt_user(QUERY_SYSTEM_PROMPT)} AS prompt FROM fq")
+    out["q06_encode_filter"] = (f"SELECT doc_id, {nwords('text')} AS n_tokens FROM documents "
+                                f"WHERE {nwords('text')} <= 300")
+    out["q07_pad_mask"] = f"""WITH {VOCAB}, {queries_cte()},
+qw AS (SELECT conv_id, {words('query')} AS w FROM fq WHERE {nwords('query')} <= 40),
+toks AS (SELECT conv_id, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS tok FROM qw),
+enc AS (SELECT t.conv_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
+        FROM toks t LEFT JOIN vocab v ON t.tok = v.tok GROUP BY t.conv_id),
+full_ids AS (SELECT qw.conv_id, len(qw.w) AS n, coalesce(enc.ids, []) AS ids
+             FROM qw LEFT JOIN enc ON qw.conv_id = enc.conv_id)
+SELECT conv_id,
+       array_to_string(list_concat(list_transform(range(40 - n), lambda x: 0), ids), ',') AS ids,
+       array_to_string(list_concat(list_transform(range(40 - n), lambda x: 0),
+                                   list_transform(range(n), lambda x: 1)), ',') AS mask,
+       n AS n_tokens
+FROM full_ids"""
+    out["q08_random_prefix"] = f"""WITH {VOCAB},
+d AS (SELECT doc_id, 2 + ({h8('prefix', 'doc_id')} % 6) AS k, {words('text')} AS w
+      FROM documents WHERE length(text) > {MIN_REVIEW_CHARS}),
+toks AS (SELECT doc_id, unnest(generate_series(1, len(list_slice(w, 1, k)))) AS pos,
+                unnest(list_slice(w, 1, k)) AS tok FROM d),
+dec AS (SELECT t.doc_id, string_agg(t.tok, ' ' ORDER BY t.pos) AS query
+        FROM toks t JOIN vocab v ON t.tok = v.tok GROUP BY t.doc_id)
+SELECT d.doc_id, d.k, coalesce(dec.query, '') AS query FROM d LEFT JOIN dec ON d.doc_id = dec.doc_id"""
+    out["q23_word_count"] = f"SELECT doc_id, len(regexp_extract_all(text, {WORD_RE})) AS n_words FROM documents"
+    out["q24_net_length"] = f"""WITH {PAIRS}
+SELECT conv_id, {nwords('response')} - {nwords('query')} AS net_words FROM rollout"""
+    out["q30_vocab"] = f"WITH {VOCAB} SELECT tok, n, id FROM vocab"
     out["q20_reward_weighted"] = f"""WITH {SCORED}
 SELECT conv_id, {w('helpful', 'human')} AS reward, {w('ref_helpful', 'ref_human')} AS ref_reward,
        {w('helpful', 'human')} - {w('ref_helpful', 'ref_human')} AS margin
