@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefline.config import (DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_SYSTEM_PROMPT, DatasetConfig,
-                             RewardConfig, TokenConfig)
+                             RewardConfig, SplitConfig, TokenConfig)
 from prefline.functions import templates as TM
 from prefline.functions.text import word_count, words
 from prefline.operators import rewards as R
+from prefline.operators import preference as P
 from prefline.operators.datasets import build_prefix_dataset, build_query_dataset
 from prefline.operators.pairs import first_queries, preference_pairs, rollout
 from prefline.operators.scorers import OverlapPairScorer, WordStatDetector
+from prefline.operators.split import flag_audit as flag_audit_columns
+from prefline.operators.split import split_flags, split_parts
 from prefline.operators.tokens import Encoder, build_vocab
 from prefline.sources.adapters import adapt_queries
 from prefline.sources.tables import read_table
@@ -105,6 +108,52 @@ def q30_vocab(spark, root):
     return vocabulary(spark, root)
 
 
+def pairs_frame(spark, root) -> DataFrame:
+    return preference_pairs(_t(spark, root, "conversations"))
+
+
+def q09_pref_mistral(spark, root):
+    out = P.process(pairs_frame(spark, root), "mistralai/Mistral-7B-Instruct-v0.2")
+    return out.select("conv_id", "prompt", "chosen", "rejected")
+
+
+def q10_pref_gemma(spark, root):
+    out = P.process(pairs_frame(spark, root), "google/gemma-1.1-2b-it", sys_prompt=True)
+    return out.select("conv_id", "prompt", "chosen", "rejected")
+
+
+def q11_pref_default(spark, root):
+    out = P.process(pairs_frame(spark, root), "microsoft/Phi-3-mini-4k-instruct")
+    return out.select("conv_id", "prompt", "chosen", "rejected")
+
+
+def q12_pref_messages(spark, root):
+    rows = P.message_preference_rows(_t(spark, root, "conversations"))
+    out = P.process(rows, "microsoft/Phi-3-mini-4k-instruct")
+    return out.select("conv_id", "prompt", "chosen", "rejected")
+
+
+def q13_split(spark, root):
+    return split_parts(pairs_frame(spark, root).select("conv_id"), "conv_id",
+                       SplitConfig(fraction=0.8, seed=42)).select("conv_id", "part")
+
+
+def q14_split_independent(spark, root):
+    cfg = SplitConfig(fraction=0.8, seed=42, mode="independent", eval_seed=43)
+    return split_parts(pairs_frame(spark, root).select("conv_id"), "conv_id", cfg).select("conv_id", "part")
+
+
+def q28_split_leak(spark, root):
+    keys = pairs_frame(spark, root).select("conv_id")
+    out = None
+    for mode in ("disjoint", "independent"):
+        cfg = SplitConfig(fraction=0.8, seed=42, mode=mode, eval_seed=43)
+        row = split_flags(keys, "conv_id", cfg).agg(*flag_audit_columns()) \
+            .select(F.lit(mode).alias("mode"), "n_eval", "n_leak")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def q20_reward_weighted(spark, root):
     df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
     return df.select("conv_id", "reward", "ref_reward",

@@ -162,6 +162,49 @@ SELECT d.doc_id, d.k, coalesce(dec.query, '') AS query FROM d LEFT JOIN dec ON d
     out["q24_net_length"] = f"""WITH {PAIRS}
 SELECT conv_id, {nwords('response')} - {nwords('query')} AS net_words FROM rollout"""
     out["q30_vocab"] = f"WITH {VOCAB} SELECT tok, n, id FROM vocab"
+    def flat(prompt_sys: str | None, fam: str) -> str:
+        if fam == "mistral":
+            ans = lambda c: f"{c} || {EOS}"
+        elif fam == "gemma":
+            ans = lambda c: f"{nl(GEMMA_ANSWER_START)} || {c} || {nl(GEMMA_ANSWER_END)}"
+        else:
+            ans = lambda c: f"{piece(q('assistant'), c)} || {EOS}"
+        return f"""WITH {PAIRS}
+SELECT conv_id, {prompt_user(prompt_sys)} AS prompt, {ans('chosen')} AS chosen, {ans('rejected')} AS rejected
+FROM pairs"""
+    out["q09_pref_mistral"] = flat(None, "mistral")
+    out["q10_pref_gemma"] = flat(PREFERENCE_SYSTEM_PROMPT, "gemma")
+    out["q11_pref_default"] = flat(None, "default")
+    render = (f"array_to_string(list_transform({{m}}, lambda x: x.role || {SEP} || x.content || {END}), '')"
+              f" || {EOS}")
+    out["q12_pref_messages"] = f"""WITH msgs AS (
+  SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS m
+  FROM conversations GROUP BY conv_id),
+mp AS (
+  SELECT a.conv_id, a.m AS chosen, b.m AS rejected FROM msgs a
+  JOIN msgs b ON b.conv_id = (a.conv_id + 1) % (SELECT max(conv_id) + 1 FROM conversations)
+  WHERE len(a.m) >= 2 AND len(b.m) >= 2)
+SELECT conv_id, {render.format(m='list_slice(chosen, 1, len(chosen) - 1)')} AS prompt,
+       {render.format(m='[chosen[len(chosen)]]')} AS chosen,
+       {render.format(m='[rejected[len(rejected)]]')} AS rejected
+FROM mp"""
+    ranked = f"""WITH {PAIRS},
+r AS (SELECT conv_id, count(*) OVER () AS n,
+             row_number() OVER (ORDER BY md5('42|' || CAST(conv_id AS VARCHAR)), conv_id) AS r1,
+             row_number() OVER (ORDER BY md5('43|' || CAST(conv_id AS VARCHAR)), conv_id) AS r2
+      FROM pairs),
+f AS (SELECT conv_id, r1 <= CAST(floor(0.8::DOUBLE * n) AS BIGINT) AS in_train,
+             r2 <= n - CAST(floor(0.8::DOUBLE * n) AS BIGINT) AS in_eval2 FROM r)"""
+    out["q13_split"] = ranked + """
+SELECT conv_id, CASE WHEN in_train THEN 'train' ELSE 'eval' END AS part FROM f"""
+    out["q14_split_independent"] = ranked + """
+SELECT conv_id, 'train' AS part FROM f WHERE in_train
+UNION ALL SELECT conv_id, 'eval' AS part FROM f WHERE in_eval2"""
+    out["q28_split_leak"] = ranked + """
+SELECT 'disjoint' AS mode, sum(CASE WHEN NOT in_train THEN 1 ELSE 0 END)::BIGINT AS n_eval, 0::BIGINT AS n_leak FROM f
+UNION ALL
+SELECT 'independent' AS mode, sum(CASE WHEN in_eval2 THEN 1 ELSE 0 END)::BIGINT AS n_eval,
+       sum(CASE WHEN in_eval2 AND in_train THEN 1 ELSE 0 END)::BIGINT AS n_leak FROM f"""
     out["q20_reward_weighted"] = f"""WITH {SCORED}
 SELECT conv_id, {w('helpful', 'human')} AS reward, {w('ref_helpful', 'ref_human')} AS ref_reward,
        {w('helpful', 'human')} - {w('ref_helpful', 'ref_human')} AS margin
