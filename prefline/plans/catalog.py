@@ -5,6 +5,7 @@ Keys and output columns match ``prefline.plans.oracle.sql_catalog``.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +13,20 @@ from pyspark.sql import functions as F
 
 from prefline.config import (DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_SYSTEM_PROMPT, DatasetConfig,
                              RewardConfig, SplitConfig, TokenConfig)
+from prefline.functions import scores as S
 from prefline.functions import templates as TM
 from prefline.functions.text import word_count, words
 from prefline.operators import rewards as R
 from prefline.operators import preference as P
 from prefline.operators.datasets import build_prefix_dataset, build_query_dataset
 from prefline.operators.pairs import first_queries, preference_pairs, rollout
-from prefline.operators.scorers import OverlapPairScorer, WordStatDetector
+from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector
 from prefline.operators.split import flag_audit as flag_audit_columns
 from prefline.operators.split import split_flags, split_parts
 from prefline.operators.tokens import Encoder, build_vocab
 from prefline.sources.adapters import adapt_queries
+from prefline.session import checkpoint_root
+from prefline.sources.sinks import LOG_COLUMNS, append_log, read_log
 from prefline.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +158,57 @@ def q28_split_leak(spark, root):
     return out
 
 
+SCALE_RANGES = (("logit_to_unit", -6.0, 2.0, 0.0, 1.0),
+                ("unit_to_cap", 0.0, 1.0, -4.0, 4.0),
+                ("reversed", -6.0, 2.0, 1.0, -1.0))
+
+
+def q15_scale(spark, root):
+    df = WordStatDetector().score_frame(rollout_frame(spark, root), "response", "__out")
+    raw = S.label_score("__out")
+    rows = F.array(*[F.struct(F.lit(name).alias("rng"), S.scale(raw, *b).alias("scaled"))
+                     for name, *b in SCALE_RANGES])
+    return df.select("conv_id", F.explode(rows).alias("r")).select("conv_id", "r.rng", "r.scaled")
+
+
+def q16_capped(spark, root):
+    df = R.human_scores(rollout_frame(spark, root), RawScoreDetector(), "binoculars")
+    return df.select("conv_id", "human", "ref_human")
+
+
+def q17_human_label(spark, root):
+    df = R.human_scores(rollout_frame(spark, root), WordStatDetector())
+    return df.select("conv_id", "human", "ref_human")
+
+
+def q18_pair_score(spark, root):
+    df = R.pair_scores(rollout_frame(spark, root), OverlapPairScorer())
+    return df.select("conv_id", "helpful", "ref_helpful")
+
+
+def q19_reward_min(spark, root):
+    df = R.combine(scored_rollout(spark, root), RewardConfig(use_min=True))
+    return df.select("conv_id", "reward", "ref_reward")
+
+
+def q21_reward_single(spark, root):
+    ro = rollout_frame(spark, root)
+    human = R.compute_reward(ro, WordStatDetector(), None, RewardConfig()) \
+        .select("conv_id", F.lit("human_only").alias("mode"), "reward", "ref_reward")
+    normal = R.compute_reward(ro, WordStatDetector(), OverlapPairScorer(), RewardConfig(normal_training=True)) \
+        .select("conv_id", F.lit("normal_training").alias("mode"), "reward", "ref_reward")
+    return human.unionByName(normal)
+
+
+def q22_reward_log(spark, root):
+    df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
+    df = df.withColumnRenamed("ref_reward", "ref_rewards")
+    path = f"{checkpoint_root(spark)}/rollout_log"
+    run_id = uuid.uuid4().hex
+    append_log(df, path, run_id)
+    return read_log(spark, path, run_id).select("conv_id", *LOG_COLUMNS)
+
+
 def q20_reward_weighted(spark, root):
     df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
     return df.select("conv_id", "reward", "ref_reward",

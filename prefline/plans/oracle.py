@@ -205,6 +205,23 @@ SELECT 'disjoint' AS mode, sum(CASE WHEN NOT in_train THEN 1 ELSE 0 END)::BIGINT
 UNION ALL
 SELECT 'independent' AS mode, sum(CASE WHEN in_eval2 THEN 1 ELSE 0 END)::BIGINT AS n_eval,
        sum(CASE WHEN in_eval2 AND in_train THEN 1 ELSE 0 END)::BIGINT AS n_leak FROM f"""
+    from prefline.plans.catalog import SCALE_RANGES
+    out["q15_scale"] = f"WITH {PAIRS}\n" + "\nUNION ALL\n".join(
+        f"SELECT conv_id, {q(name)} AS rng, {scale(human_logit('response'), *b)} AS scaled FROM rollout"
+        for name, *b in SCALE_RANGES)
+    out["q16_capped"] = f"""WITH {PAIRS}
+SELECT conv_id, {scale(cap(capped_raw('response')), *CAP_RANGE)} AS human,
+       {scale(cap(capped_raw('ref_response')), *CAP_RANGE)} AS ref_human FROM rollout"""
+    out["q17_human_label"] = f"WITH {SCORED} SELECT conv_id, human, ref_human FROM scored"
+    out["q18_pair_score"] = f"WITH {SCORED} SELECT conv_id, helpful, ref_helpful FROM scored"
+    out["q19_reward_min"] = f"""WITH {SCORED}
+SELECT conv_id, {gmin('human', 'helpful')} AS reward, {gmin('ref_human', 'ref_helpful')} AS ref_reward FROM scored"""
+    out["q21_reward_single"] = f"""WITH {SCORED}
+SELECT conv_id, 'human_only' AS mode, human AS reward, ref_human AS ref_reward FROM scored
+UNION ALL
+SELECT conv_id, 'normal_training' AS mode, helpful AS reward, ref_helpful AS ref_reward FROM scored"""
+    out["q22_reward_log"] = f"""WITH {SCORED}
+SELECT conv_id, query, response, ref_response, {w('ref_helpful', 'ref_human')} AS ref_rewards FROM scored"""
     out["q20_reward_weighted"] = f"""WITH {SCORED}
 SELECT conv_id, {w('helpful', 'human')} AS reward, {w('ref_helpful', 'ref_human')} AS ref_reward,
        {w('helpful', 'human')} - {w('ref_helpful', 'ref_human')} AS margin
