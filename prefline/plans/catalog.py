@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefline.config import (DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_SYSTEM_PROMPT, DatasetConfig,
-                             RewardConfig, SplitConfig, TokenConfig)
+                             RewardConfig, SplitConfig, TokenConfig, SWEEP_COUNT)
 from prefline.functions import scores as S
 from prefline.functions import templates as TM
 from prefline.functions.text import word_count, words
@@ -20,10 +20,12 @@ from prefline.operators import rewards as R
 from prefline.operators import preference as P
 from prefline.operators.datasets import build_prefix_dataset, build_query_dataset
 from prefline.operators.pairs import first_queries, preference_pairs, rollout
-from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector
+from prefline.operators.quarantine import quarantine
+from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector, human_logit
 from prefline.operators.split import flag_audit as flag_audit_columns
 from prefline.operators.split import split_flags, split_parts
 from prefline.operators.tokens import Encoder, build_vocab
+from prefline.operators.trials import best_trials, trial_losses, trial_table
 from prefline.sources.adapters import adapt_queries
 from prefline.session import checkpoint_root
 from prefline.sources.sinks import LOG_COLUMNS, append_log, read_log
@@ -209,6 +211,29 @@ def q22_reward_log(spark, root):
     return read_log(spark, path, run_id).select("conv_id", *LOG_COLUMNS)
 
 
+def q25_trials(spark, root):
+    return trial_table(spark, SWEEP_COUNT)
+
+
+def pair_margins(spark, root) -> DataFrame:
+    """x = human_logit(chosen) - human_logit(rejected) per pair (stands in for log-ratios)."""
+    pairs = pairs_frame(spark, root)
+    return pairs.select("conv_id", (human_logit("chosen") - human_logit("rejected")).alias("x"))
+
+
+def q26_trial_loss(spark, root):
+    return trial_losses(pair_margins(spark, root), trial_table(spark, SWEEP_COUNT))
+
+
+def q27_best_trials(spark, root):
+    return best_trials(q26_trial_loss(spark, root), 3).select("trial", "loss")
+
+
+def q29_quarantine(spark, root):
+    _, bad = quarantine(_t(spark, root, "documents"), _t(spark, root, "labels"))
+    return bad.select("doc_id", "reason")
+
+
 def q20_reward_weighted(spark, root):
     df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
     return df.select("conv_id", "reward", "ref_reward",

@@ -222,6 +222,42 @@ UNION ALL
 SELECT conv_id, 'normal_training' AS mode, helpful AS reward, ref_helpful AS ref_reward FROM scored"""
     out["q22_reward_log"] = f"""WITH {SCORED}
 SELECT conv_id, query, response, ref_response, {w('ref_helpful', 'ref_human')} AS ref_rewards FROM scored"""
+    trials = f"""trials AS (
+  SELECT range AS trial,
+         1e-07::DOUBLE + {u('lr', 'range')} * (1e-05::DOUBLE - 1e-07::DOUBLE) AS lr,
+         0.3::DOUBLE + {u('beta', 'range')} * (0.7::DOUBLE - 0.3::DOUBLE) AS beta,
+         0.0::DOUBLE + {u('smooth', 'range')} * (0.5::DOUBLE - 0.0::DOUBLE) AS smoothing,
+         CAST(130 + {h8('warmup', 'range')} % 101 AS INTEGER) AS warmup,
+         CAST(1 + {h8('mb', 'range')} % 4 AS INTEGER) AS mini_batch,
+         CAST(1 + {h8('ga', 'range')} % 4 AS INTEGER) AS accum,
+         ['sigmoid', 'hinge', 'ipo', 'robust'][1 + {h8('loss', 'range')} % 4] AS loss_type
+  FROM range(10))"""
+    out["q25_trials"] = f"WITH {trials} SELECT * FROM trials"
+    sp = lambda z: f"(greatest({z}, 0::DOUBLE) + ln(1::DOUBLE + exp(-abs({z}))))"
+    bx = "(t.beta * p.x)"
+    e = "t.smoothing"
+    losses = f"""WITH {PAIRS}, {trials},
+px AS (SELECT conv_id, {human_logit('chosen')} - {human_logit('rejected')} AS x FROM pairs),
+tl AS (
+  SELECT t.trial,
+         CASE t.loss_type
+           WHEN 'sigmoid' THEN (1::DOUBLE - {e}) * {sp('-' + bx)} + {e} * {sp(bx)}
+           WHEN 'hinge' THEN greatest(0::DOUBLE, 1::DOUBLE - {bx})
+           WHEN 'ipo' THEN (p.x - 1::DOUBLE / (2::DOUBLE * t.beta)) * (p.x - 1::DOUBLE / (2::DOUBLE * t.beta))
+           WHEN 'robust' THEN CASE WHEN {e} <> 0.5::DOUBLE THEN
+             ((1::DOUBLE - {e}) * {sp('-' + bx)} - {e} * {sp(bx)}) / (1::DOUBLE - 2::DOUBLE * {e}) END
+         END AS loss,
+         {bx} AS margin
+  FROM trials t, px p WHERE p.x IS NOT NULL),
+agg AS (SELECT trial, round(avg(loss), 9) AS loss, round(avg(margin), 9) AS margin FROM tl GROUP BY trial)"""
+    out["q26_trial_loss"] = losses + "\nSELECT trial, loss, margin FROM agg"
+    out["q27_best_trials"] = losses + "\nSELECT trial, loss FROM agg WHERE loss IS NOT NULL ORDER BY loss, trial LIMIT 3"
+    out["q29_quarantine"] = f"""SELECT d.doc_id,
+  CASE WHEN d.text IS NULL THEN 'null_text'
+       WHEN len(regexp_extract_all(d.text, {WORD_RE})) < 2 THEN 'too_short'
+       WHEN l.doc_id IS NULL THEN 'missing_label' END AS reason
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id
+WHERE d.text IS NULL OR len(regexp_extract_all(d.text, {WORD_RE})) < 2 OR l.doc_id IS NULL"""
     out["q20_reward_weighted"] = f"""WITH {SCORED}
 SELECT conv_id, {w('helpful', 'human')} AS reward, {w('ref_helpful', 'ref_human')} AS ref_reward,
        {w('helpful', 'human')} - {w('ref_helpful', 'ref_human')} AS margin
