@@ -18,6 +18,8 @@ from prefline.functions import templates as TM
 from prefline.functions.text import word_count, words
 from prefline.operators import rewards as R
 from prefline.operators import preference as P
+from prefline.operators.generate import EchoGenerator, generate
+from prefline.operators.ml_scorer import LinearTextScorer
 from prefline.operators.datasets import build_prefix_dataset, build_query_dataset
 from prefline.operators.pairs import first_queries, preference_pairs, rollout
 from prefline.operators.quarantine import quarantine
@@ -29,7 +31,8 @@ from prefline.operators.trials import best_trials, trial_losses, trial_table
 from prefline.sources.adapters import adapt_queries
 from prefline.session import checkpoint_root
 from prefline.sources.sinks import LOG_COLUMNS, append_log, read_log
-from prefline.sources.tables import read_table
+from prefline.sources.tables import read_table, table_path
+from prefline.streaming.score_stream import score_new_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -234,6 +237,22 @@ def q29_quarantine(spark, root):
     return bad.select("doc_id", "reason")
 
 
+def q31_generate(spark, root):
+    qs = first_queries(_t(spark, root, "conversations"))
+    return generate(qs, EchoGenerator).select("conv_id", "response", "ref_response")
+
+
+def q32_ml_scorer(spark, root):
+    docs = _t(spark, root, "documents").select("doc_id", "text")
+    labelled = docs.join(_t(spark, root, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    scorer = LinearTextScorer().fit(labelled, "text", "label")
+    return scorer.probability(docs, "text", "score").select("doc_id", "score")
+
+
+def q33_stream_score(spark, root):
+    return score_new_turns(spark, table_path(root, "conversations")).select("conv_id", "turn", "score")
+
+
 def q20_reward_weighted(spark, root):
     df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
     return df.select("conv_id", "reward", "ref_reward",

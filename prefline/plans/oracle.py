@@ -258,6 +258,11 @@ agg AS (SELECT trial, round(avg(loss), 9) AS loss, round(avg(margin), 9) AS marg
        WHEN l.doc_id IS NULL THEN 'missing_label' END AS reason
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id
 WHERE d.text IS NULL OR len(regexp_extract_all(d.text, {WORD_RE})) < 2 OR l.doc_id IS NULL"""
+    out["q31_generate"] = f"""WITH {queries_cte()}
+SELECT conv_id, array_to_string(list_slice(list_reverse({words('query')}), 1, 512), ' ') AS response,
+       array_to_string(list_slice({words('query')}, 1, 512), ' ') AS ref_response FROM fq"""
+    out["q33_stream_score"] = (f"SELECT conv_id, turn, {human_logit('text')} AS score "
+                               f"FROM conversations WHERE role = 'assistant'")
     out["q20_reward_weighted"] = f"""WITH {SCORED}
 SELECT conv_id, {w('helpful', 'human')} AS reward, {w('ref_helpful', 'ref_human')} AS ref_reward,
        {w('helpful', 'human')} - {w('ref_helpful', 'ref_human')} AS margin
