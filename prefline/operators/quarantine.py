@@ -1,8 +1,9 @@
 """Route rows the reference would crash on to a quarantine table with a reason.
 
 The checks that need the text run before any join, on a narrow projection, so
-the label lookup moves only ``(doc_id, reason)`` through the shuffle; the
-label side is reduced to its key.
+the label lookup is a left-anti join on keys only: it moves no text, needs no
+``distinct`` (duplicates on the label side are harmless), and Spark picks a
+broadcast or a shuffle join from the label side's size.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ def quarantine(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     label columns); bad = ``(key, reason)`` with the first failing check:
     null_text, too_short, missing_label."""
     checks = docs.select(key, text_reason(text, min_words).alias("reason"))
-    has_label = labels.select(key).distinct().withColumn("_labelled", F.lit(True))
-    tagged = checks.join(has_label, key, "left").select(
-        key, F.coalesce(F.col("reason"),
-                        F.when(F.col("_labelled").isNull(), F.lit("missing_label"))).alias("reason"))
-    bad = tagged.where(F.col("reason").isNotNull())
+    unlabelled = checks.where(F.col("reason").isNull()).join(labels.select(key), key, "left_anti") \
+        .select(key, F.lit("missing_label").alias("reason"))
+    bad = checks.where(F.col("reason").isNotNull()).unionByName(unlabelled)
     good = docs.where(text_reason(text, min_words).isNull()).join(labels, key, "inner")
     return good, bad

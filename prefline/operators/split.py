@@ -91,21 +91,72 @@ def within(key_col: Column, seed, cut: Cut) -> Column:
     return (h < F.lit(th)) | ((h == F.lit(th)) & (key_col <= F.lit(tk)))
 
 
-def split_flags(df: DataFrame, key: str, cfg: SplitConfig = SplitConfig()) -> DataFrame:
+def _has_exchange(df: DataFrame) -> bool:
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def key_set(df: DataFrame, key: str, materialize: bool | None = None) -> DataFrame:
+    """The key column the cut search scans several times.
+
+    When the input is expensive to recompute (its plan shuffles), the keys
+    alone are written once with a reliable ``checkpoint`` to the shared
+    checkpoint folder: later passes read that, and a lost executor does not
+    re-run the upstream shuffle.  Plain scans are read directly.
+    """
+    keys = df.select(key)
+    if materialize is None:
+        materialize = _has_exchange(keys)
+    return keys.checkpoint(eager=True) if materialize else keys
+
+
+def split_cuts(df: DataFrame, key: str, cfg: SplitConfig, materialize: bool | None = None):
+    """(keys, train cut, eval seed, eval cut or None) for ``cfg``."""
+    keys = key_set(df, key, materialize)
+    train_cut = find_cut(keys, key, lambda n: train_count(cfg.fraction, n), cfg.seed)
+    if cfg.mode == "disjoint":
+        return keys, train_cut, None, None
+    eval_seed = cfg.eval_seed if cfg.eval_seed is not None else cfg.seed + 1
+    eval_cut = find_cut(keys, key, lambda n: n - train_count(cfg.fraction, n), eval_seed)
+    return keys, train_cut, eval_seed, eval_cut
+
+
+def split_flags(df: DataFrame, key: str, cfg: SplitConfig = SplitConfig(),
+                materialize: bool | None = None) -> DataFrame:
     """Adds ``in_train`` and ``in_eval``.
 
     disjoint: eval is the complement of train.
     independent (reference behaviour): train = first k by ``seed``, eval = first
     n - k by ``eval_seed`` (default seed + 1), chosen independently.
+    A frame holding only the key column is answered from the materialised keys.
     """
-    train_cut = find_cut(df, key, lambda n: train_count(cfg.fraction, n), cfg.seed)
+    keys, train_cut, eval_seed, eval_cut = split_cuts(df, key, cfg, materialize)
+    base = keys if df.columns == [key] else df
     in_train = within(F.col(key), cfg.seed, train_cut)
-    if cfg.mode == "disjoint":
-        return df.withColumn("in_train", in_train).withColumn("in_eval", ~in_train)
-    eval_seed = cfg.eval_seed if cfg.eval_seed is not None else cfg.seed + 1
-    eval_cut = find_cut(df, key, lambda n: n - train_count(cfg.fraction, n), eval_seed)
-    return df.withColumn("in_train", in_train) \
-             .withColumn("in_eval", within(F.col(key), eval_seed, eval_cut))
+    if eval_cut is None:
+        return base.withColumn("in_train", in_train).withColumn("in_eval", ~in_train)
+    return base.withColumn("in_train", in_train) \
+               .withColumn("in_eval", within(F.col(key), eval_seed, eval_cut))
+
+
+def split_audit(df: DataFrame, key: str, fraction: float = 0.8, seed=42, eval_seed=None,
+                materialize: bool | None = None) -> DataFrame:
+    """E7 for both modes in one pass: rows (mode, n_eval, n_leak).
+
+    The train cut is shared by both modes; the disjoint eval set is its
+    complement, the independent one has its own cut.  Both flags sit on the
+    same row, so counting the overlap needs no join.
+    """
+    cfg = SplitConfig(fraction=fraction, seed=seed, mode="independent", eval_seed=eval_seed)
+    keys, train_cut, eseed, eval_cut = split_cuts(df, key, cfg, materialize)
+    t = within(F.col(key), seed, train_cut)
+    e = within(F.col(key), eseed, eval_cut)
+    one = F.lit(1)
+    row = keys.agg(F.count(F.when(~t, one)).alias("d_eval"),
+                   F.count(F.when(e, one)).alias("i_eval"),
+                   F.count(F.when(e & t, one)).alias("i_leak"))
+    return row.select(F.inline(F.array(
+        F.struct(F.lit("disjoint").alias("mode"), F.col("d_eval").alias("n_eval"), F.lit(0).cast("long").alias("n_leak")),
+        F.struct(F.lit("independent").alias("mode"), F.col("i_eval").alias("n_eval"), F.col("i_leak").alias("n_leak")))))
 
 
 def split_parts(df: DataFrame, key: str, cfg: SplitConfig = SplitConfig()) -> DataFrame:
@@ -130,10 +181,3 @@ def leak_audit(train: DataFrame, eval_: DataFrame, key: str) -> DataFrame:
     leaked = eval_.select(key).join(train.select(key), key, "left_semi")
     return eval_.agg(F.count("*").alias("n_eval")) \
         .select("n_eval", leaked.agg(F.count("*")).scalar().alias("n_leak"))
-
-
-def flag_audit() -> list[Column]:
-    """(n_eval, n_leak) aggregates over ``split_flags`` output: both flags live on
-    the same row, so the audit needs no join."""
-    return [F.sum(F.col("in_eval").cast("long")).alias("n_eval"),
-            F.sum((F.col("in_eval") & F.col("in_train")).cast("long")).alias("n_leak")]

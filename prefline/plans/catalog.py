@@ -24,8 +24,7 @@ from prefline.operators.datasets import build_prefix_dataset, build_query_datase
 from prefline.operators.pairs import first_queries, preference_pairs, rollout
 from prefline.operators.quarantine import quarantine
 from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector, human_logit
-from prefline.operators.split import flag_audit as flag_audit_columns
-from prefline.operators.split import split_flags, split_parts
+from prefline.operators.split import split_audit, split_parts
 from prefline.operators.tokens import Encoder, build_vocab
 from prefline.operators.trials import best_trials, trial_losses, trial_table
 from prefline.sources.adapters import adapt_queries
@@ -153,14 +152,7 @@ def q14_split_independent(spark, root):
 
 
 def q28_split_leak(spark, root):
-    keys = pairs_frame(spark, root).select("conv_id")
-    out = None
-    for mode in ("disjoint", "independent"):
-        cfg = SplitConfig(fraction=0.8, seed=42, mode=mode, eval_seed=43)
-        row = split_flags(keys, "conv_id", cfg).agg(*flag_audit_columns()) \
-            .select(F.lit(mode).alias("mode"), "n_eval", "n_leak")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return split_audit(pairs_frame(spark, root).select("conv_id"), "conv_id", 0.8, 42, 43)
 
 
 SCALE_RANGES = (("logit_to_unit", -6.0, 2.0, 0.0, 1.0),
