@@ -14,6 +14,7 @@ from prefline.functions import templates as TM
 from prefline.functions.text import words
 from prefline.operators.tokens import Encoder, attention_mask, pad, prefix_length, random_prefix
 from prefline.sources.adapters import adapt_queries
+from prefline.sources.tables import spread
 
 
 def build_query_dataset(source: DataFrame, encoder: Encoder, cfg: DatasetConfig = DatasetConfig(),
@@ -52,9 +53,10 @@ def build_prefix_dataset(reviews: DataFrame, encoder: Encoder, key: str = "doc_i
     from a hash of the key so retries and re-partitioning give the same k),
     encode them and decode back to text without special tokens.
 
-    Only the first k words are tokenised and encoded, never the whole text.
+    The whole review is tokenised (as the reference encodes the whole review
+    before slicing); only its first k tokens are looked up and decoded.
     """
-    df = reviews.withColumnRenamed("text", "review")
+    df = spread(reviews).withColumnRenamed("text", "review")
     df = df.where(F.char_length("review") > min_chars)
     k = prefix_length(F.col(key), salt, min_len, max_len)
     df = df.withColumn("k", k)

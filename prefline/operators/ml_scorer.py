@@ -8,7 +8,7 @@ grow with the data.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from prefline.functions.text import WORD_PATTERN
 from prefline.operators.scorers import output_entry
+from prefline.sources.tables import spread
 
 
 class LinearTextScorer:
@@ -32,30 +33,35 @@ class LinearTextScorer:
         self.labels = labels
         self.model: PipelineModel | None = None
 
-    def _pipeline(self, text: str) -> Pipeline:
+    def fit(self, train: DataFrame, text: str = "text", label: str = "label") -> "LinearTextScorer":
+        """Tokenise and hash once, cache only (features, label), then iterate on that.
+
+        The optimiser passes over the data once per iteration; caching the
+        hashed vectors (fixed width) instead of the text keeps those passes
+        cheap and leaves the text uncached.
+        """
         tok = RegexTokenizer(inputCol=text, outputCol="_toks", pattern=WORD_PATTERN, gaps=False,
                              toLowercase=True)
         tf = HashingTF(inputCol="_toks", outputCol="_features", numFeatures=self.num_features)
         lr = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=self.max_iter,
                                 regParam=self.reg, probabilityCol="_prob", rawPredictionCol="_raw",
                                 predictionCol="_pred")
-        return Pipeline(stages=[tok, tf, lr])
-
-    def fit(self, train: DataFrame, text: str = "text", label: str = "label") -> "LinearTextScorer":
         data = train.select(F.col(text).alias(text), F.col(label).cast("double").alias("_label")) \
             .where(F.col(text).isNotNull() & F.col("_label").isNotNull())
-        data = data.persist()
+        feats = tf.transform(tok.transform(data)).select("_features", "_label").persist()
         try:
-            self.model = self._pipeline(text).fit(data)
+            lr_model = lr.fit(feats)
         finally:
-            data.unpersist()
+            feats.unpersist()
+        self.model = PipelineModel(stages=[tok, tf, lr_model])
         self.text = text
         return self
 
     def probability(self, df: DataFrame, text: str, out: str = "score") -> DataFrame:
         if self.model is None:
             raise RuntimeError("fit the scorer first")
-        src = df.withColumnRenamed(text, self.text) if text != self.text else df
+        src = spread(df)
+        src = src.withColumnRenamed(text, self.text) if text != self.text else src
         scored = self.model.transform(src)
         scored = scored.withColumn(out, vector_to_array(F.col("_prob"))[1])
         if text != self.text:

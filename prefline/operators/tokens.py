@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from prefline.config import PREFIX_MAX, PREFIX_MIN, TokenConfig
 from prefline.functions.text import h8, words
+from prefline.sources.tables import spread
 
 # Largest vocabulary shipped to every executor (entries).  Above it the
 # vocabulary is joined with a shuffle instead.
@@ -44,7 +45,8 @@ def _c(col) -> Column:
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(tok, n) over all rows; hash aggregate with map-side partial counts, so a
     very frequent word costs one row per map task in the shuffle."""
-    return df.select(F.explode(words(text)).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+    src = spread(df.select(text))
+    return src.select(F.explode(words(text)).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
 
 
 def build_vocab(df: DataFrame, text: str = "text", cfg: TokenConfig = TokenConfig()) -> DataFrame:

@@ -30,7 +30,7 @@ from prefline.operators.trials import best_trials, trial_losses, trial_table
 from prefline.sources.adapters import adapt_queries
 from prefline.session import checkpoint_root
 from prefline.sources.sinks import LOG_COLUMNS, append_log, read_log
-from prefline.sources.tables import read_table, table_path
+from prefline.sources.tables import read_table, spread, table_path
 from prefline.streaming.score_stream import score_new_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +85,7 @@ def vocabulary(spark, root, cfg: TokenConfig = TokenConfig()) -> DataFrame:
 def q06_encode_filter(spark, root):
     # F1 on the word count; the ids themselves are not part of the output,
     # so Catalyst prunes the encode entirely.
-    docs = _t(spark, root, "documents").select("doc_id", words("text").alias("_w"))
+    docs = spread(_t(spark, root, "documents").select("doc_id", "text")).select("doc_id", words("text").alias("_w"))
     return docs.where(F.size("_w") <= DATASET_MAX_TOKENS).select("doc_id", F.size("_w").alias("n_tokens"))
 
 
@@ -104,7 +104,8 @@ def q08_random_prefix(spark, root):
 
 
 def q23_word_count(spark, root):
-    return _t(spark, root, "documents").select("doc_id", word_count("text").alias("n_words"))
+    docs = spread(_t(spark, root, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", word_count("text").alias("n_words"))
 
 
 def q24_net_length(spark, root):

@@ -52,3 +52,17 @@ class Catalog:
                 reader = reader.schema(schema)
             return reader.load(path)
         return read_table(self.spark, self.root, name)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Guarantee at least ``min_partitions`` tasks (default: the cluster's default
+    parallelism) before CPU-heavy per-row work such as regex tokenisation.
+
+    A Parquet row group is never split, so a table stored as a few large row
+    groups scans in a few tasks however many cores exist.  Only then is the
+    input redistributed round-robin (one shuffle of an input that is, by
+    construction, small relative to the cluster); a normally laid-out large
+    table already has enough partitions and passes through untouched.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
