@@ -42,7 +42,7 @@ def build_query_dataset(source: DataFrame, encoder: Encoder, cfg: DatasetConfig
     else:
         df = df.withColumn("input_ids", ids) \
                .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("_w")))
-    return df.withColumn("n_tokens", F.size("_w")).drop("_w", "_ids")
+    return df.withColumn("n_tokens", F.size("_w").cast("long")).drop("_w", "_ids")
 
 
 def build_prefix_dataset(reviews: DataFrame, encoder: Encoder, key: str = "doc_id",

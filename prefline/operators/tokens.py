@@ -59,7 +59,7 @@ def build_vocab(df: DataFrame, text: str = "text", cfg: TokenConfig = TokenConfi
     if cfg.vocab_size is not None:
         top = counts.orderBy(F.desc("n"), F.asc("tok")).limit(cfg.vocab_size)
         w = Window.orderBy(F.desc("n"), F.asc("tok"))
-        return top.select("tok", "n", (F.lit(first - 1) + F.row_number().over(w)).alias("id"))
+        return top.select("tok", "n", (F.lit(first - 1) + F.row_number().over(w)).cast("long").alias("id"))
     ordered = counts.orderBy(F.desc("n"), F.asc("tok"))
     spark = df.sparkSession
     rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1] + first))
@@ -189,7 +189,7 @@ def attention_mask(ids, length: int, side: str = "left") -> Column:
 
 def prefix_length(key, salt: str = "prefix", lo: int = PREFIX_MIN, hi: int = PREFIX_MAX) -> Column:
     """A per-row length in [lo, hi) from a hash of the key (deterministic sampler)."""
-    return F.lit(lo) + F.pmod(h8(salt, key), F.lit(hi - lo)).cast("int")
+    return (F.lit(lo) + F.pmod(h8(salt, key), F.lit(hi - lo))).cast("long")
 
 
 def random_prefix(tokens, k) -> Column:

@@ -86,7 +86,7 @@ def q06_encode_filter(spark, root):
     # F1 on the word count; the ids themselves are not part of the output,
     # so Catalyst prunes the encode entirely.
     docs = spread(_t(spark, root, "documents").select("doc_id", "text")).select("doc_id", words("text").alias("_w"))
-    return docs.where(F.size("_w") <= DATASET_MAX_TOKENS).select("doc_id", F.size("_w").alias("n_tokens"))
+    return docs.where(F.size("_w") <= DATASET_MAX_TOKENS).select("doc_id", F.size("_w").cast("long").alias("n_tokens"))
 
 
 def q07_pad_mask(spark, root):
@@ -105,12 +105,12 @@ def q08_random_prefix(spark, root):
 
 def q23_word_count(spark, root):
     docs = spread(_t(spark, root, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", word_count("text").alias("n_words"))
+    return docs.select("doc_id", word_count("text").cast("long").alias("n_words"))
 
 
 def q24_net_length(spark, root):
     df = rollout_frame(spark, root)
-    return df.select("conv_id", (F.size(words("response")) - F.size(words("query"))).alias("net_words"))
+    return df.select("conv_id", (F.size(words("response")) - F.size(words("query"))).cast("long").alias("net_words"))
 
 
 def q30_vocab(spark, root):

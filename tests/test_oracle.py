@@ -38,3 +38,13 @@ def test_entry_schema_stable(spark):
     rows = df.collect()
     assert len(rows) == 13
     assert E.entry(spark).schema == df.schema
+
+
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n in SQL])
+def test_column_types_match_oracle(spark, duck, name):
+    df = E.queries()[name](spark, SF_ORACLE)
+    oracle = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    assert {c: DUCK_TYPES.get(t, t) for c, t in df.dtypes} == oracle
