@@ -150,22 +150,32 @@ class OverlapPairScorer:
 
 
 def truncate_words(text, max_tokens: int = SCORER_MAX_TOKENS) -> Column:
-    """R9 ``truncation=True, max_length``: keep the first ``max_tokens`` words."""
-    return F.array_join(F.slice(words(text), 1, max_tokens), " ")
+    """R9 ``truncation=True, max_length``: the text up to the end of its
+    ``max_tokens``-th word, original characters kept (word-level stand-in for
+    the model tokenizer's cut).  Possessive quantifiers: no backtracking."""
+    t = _c(text)
+    cut = F.regexp_extract(t, rf"^(?:[^\p{{L}}\p{{N}}_]*+[\p{{L}}\p{{N}}_]++){{0,{int(max_tokens)}}}+", 0)
+    return F.when(t.isNull(), t).otherwise(cut)
 
 
 class PandasTextScorer:
     """Wrap ``factory() -> fn(list[str]) -> list[list[{label, score}]]`` as a pandas UDF.
 
     ``factory`` runs once per Python worker (cached), like loading a model once
-    per device; batches arrive through Arrow with ``maxRecordsPerBatch`` rows.
+    per device; batches arrive through Arrow with
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows (R9 ``batch_size``).
+    ``max_tokens`` (R9 ``truncation=True, max_length``) cuts each input to its
+    first words on the JVM side before it is shipped to Python; ``None`` ships
+    whole texts.
     """
 
     _cache: dict = {}
 
-    def __init__(self, name: str, factory: Callable[[], Callable[[list], list]]):
+    def __init__(self, name: str, factory: Callable[[], Callable[[list], list]],
+                 max_tokens: int | None = SCORER_MAX_TOKENS):
         self.name = name
         self.factory = factory
+        self.max_tokens = max_tokens
         key = (name, id(factory))
 
         @F.pandas_udf(OUTPUT_TYPE)
@@ -179,8 +189,11 @@ class PandasTextScorer:
 
         self._udf = _score
 
+    def _prep(self, text) -> Column:
+        return truncate_words(text, self.max_tokens) if self.max_tokens else _c(text)
+
     def outputs(self, text) -> Column:
-        return self._udf(_c(text))
+        return self._udf(self._prep(text))
 
     def score_frame(self, df: DataFrame, text: str, out: str) -> DataFrame:
         return df.withColumn(out, self.outputs(F.col(text)))
@@ -191,8 +204,10 @@ class PandasPairScorer:
 
     _cache: dict = {}
 
-    def __init__(self, name: str, factory: Callable[[], Callable[[list], list]]):
+    def __init__(self, name: str, factory: Callable[[], Callable[[list], list]],
+                 max_tokens: int | None = SCORER_MAX_TOKENS):
         self.name = name
+        self.max_tokens = max_tokens
         key = (name, id(factory))
 
         @F.pandas_udf(OUTPUT_TYPE)
@@ -208,6 +223,8 @@ class PandasPairScorer:
         self._udf = _score
 
     def outputs(self, text, text_pair) -> Column:
+        if self.max_tokens:
+            return self._udf(truncate_words(text, self.max_tokens), truncate_words(text_pair, self.max_tokens))
         return self._udf(_c(text), _c(text_pair))
 
     def score_frame(self, df: DataFrame, text: str, text_pair: str, out: str) -> DataFrame:

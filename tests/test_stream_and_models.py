@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pyarrow.parquet as pq
+import pytest
 
 from prefline.config import TokenConfig
 from prefline.operators.generate import EchoGenerator, collate, generate
@@ -91,3 +92,58 @@ def test_log_sink_and_cadence(spark, tmp_path):
     assert read_log(spark, path, "run-b").count() == 3
     steps = sorted(r["step"] for r in cadence(read_log(spark, path, "run-a")).collect())
     assert steps == [1, 10, 20, 30]
+
+
+def test_pandas_scorers_match_native(spark):
+    import regex as re_
+    from prefline.operators.scorers import (OverlapPairScorer, PandasPairScorer, PandasTextScorer,
+                                            WordStatDetector, truncate_words)
+    from prefline.operators.rewards import pair_scores
+    word = re_.compile(r"[\p{L}\p{N}_]+")
+
+    def detector_factory():
+        def fn(texts):
+            out = []
+            for t in texts:
+                w = word.findall(t.lower())
+                logit = 8.0 * len(set(w)) / len(w) - 6.0 if w else float("nan")
+                out.append([{"label": "ChatGPT", "score": -logit}, {"label": "Human", "score": logit}])
+            return out
+        return fn
+
+    def pair_factory():
+        def fn(batch):
+            out = []
+            for item in batch:
+                q = set(word.findall(item["text"].lower()))
+                a = set(word.findall(item["text_pair"].lower()))
+                s = len(q & a) / len(q)
+                out.append([{"label": "LABEL_0", "score": s}])
+            return out
+        return fn
+
+    ro = read_table(spark, SF_SMALL, "conversations").where("role = 'assistant'") \
+        .selectExpr("conv_id * 100 + turn as conv_id", "text as query", "text as response",
+                    "concat(text, ' x') as ref_response")
+    py = human_scores(ro, PandasTextScorer("py-detector", detector_factory, max_tokens=None))
+    native = human_scores(ro, WordStatDetector())
+    a = {r["conv_id"]: (r["human"], r["ref_human"]) for r in py.collect()}
+    b = {r["conv_id"]: (r["human"], r["ref_human"]) for r in native.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == pytest.approx(b[k][0]) and a[k][1] == pytest.approx(b[k][1])
+    pp = pair_scores(ro, PandasPairScorer("py-pair", pair_factory, max_tokens=None)).collect()
+    pn = {r["conv_id"]: r["ref_helpful"] for r in pair_scores(ro, OverlapPairScorer()).collect()}
+    assert all(r["ref_helpful"] == pytest.approx(pn[r["conv_id"]]) for r in pp)
+    t = spark.createDataFrame([("  One, two; three four!",), (None,)], "t string")
+    got = [r[0] for r in t.select(truncate_words("t", 2)).collect()]
+    assert got == ["  One, two", None]
+
+
+def test_tensor_dataset_round_trip(spark, tmp_path):
+    from prefline.sources.sinks import write_tensor_dataset
+    df = spark.createDataFrame([(1, [0, 0, 5], [0, 0, 1])], "conv_id long, input_ids array<int>, attention_mask array<int>")
+    path = str(tmp_path / "tensors")
+    write_tensor_dataset(df, path)
+    t = pq.read_table(path)
+    assert t.column("input_ids").to_pylist() == [[0, 0, 5]]
