@@ -49,21 +49,49 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return src.select(F.explode(words(text)).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
 
 
+# Largest V taken with a direct top-k (each partition's best V rows meet in one
+# task); above it the words are range-sorted and numbered in a distributed way.
+DIRECT_TOP_K_MAX = 50_000
+
+
+def dense_order_ids(df: DataFrame, order: list, first: int = 0, out: str = "id") -> DataFrame:
+    """Number rows 0.. in ``order`` across the cluster, without a single-partition
+    window and without Python: range-sort, cut lineage with a reliable checkpoint
+    (so partition contents are fixed for both passes), count rows per partition
+    (one row per partition reaches the driver), then add each partition's offset
+    to the row's position inside its partition."""
+    ordered = df.orderBy(*order).checkpoint(eager=True)
+    with_pos = ordered.select("*", F.spark_partition_id().alias("_pid"),
+                              F.monotonically_increasing_id().alias("_mid"))
+    sizes = dict(with_pos.groupBy("_pid").count().collect())
+    offsets, acc = [], 0
+    for pid in range(ordered.rdd.getNumPartitions()):
+        offsets.append(acc)
+        acc += sizes.get(pid, 0)
+    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_pid") + F.lit(1)) if offsets \
+        else F.lit(0)
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return with_pos.withColumn(out, (F.lit(first) + offset + pos).cast("long")).drop("_pid", "_mid")
+
+
 def build_vocab(df: DataFrame, text: str = "text", cfg: TokenConfig = TokenConfig()) -> DataFrame:
-    """(tok, n, id).  With ``vocab_size`` the top-V words are taken with a bounded
-    top-k (``TakeOrderedAndProject``) and numbered on those V rows only.  Without a
-    cap the full word list is range-sorted and numbered with ``zipWithIndex``
-    (distributed; no single-partition window)."""
+    """(tok, n, id), ids from ``first_word_id`` by descending count, ties by token.
+
+    V <= DIRECT_TOP_K_MAX: a bounded top-V (``TakeOrderedAndProject``), numbered
+    on those V rows only.  Larger or uncapped: distributed numbering
+    (``dense_order_ids``), then the cap as a filter on the id.
+    """
     counts = word_counts(df, text)
     first = cfg.first_word_id
-    if cfg.vocab_size is not None:
-        top = counts.orderBy(F.desc("n"), F.asc("tok")).limit(cfg.vocab_size)
-        w = Window.orderBy(F.desc("n"), F.asc("tok"))
+    order = [F.desc("n"), F.asc("tok")]
+    if cfg.vocab_size is not None and cfg.vocab_size <= DIRECT_TOP_K_MAX:
+        top = counts.orderBy(*order).limit(cfg.vocab_size)
+        w = Window.orderBy(*order)
         return top.select("tok", "n", (F.lit(first - 1) + F.row_number().over(w)).cast("long").alias("id"))
-    ordered = counts.orderBy(F.desc("n"), F.asc("tok"))
-    spark = df.sparkSession
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1] + first))
-    return spark.createDataFrame(rdd, "tok string, n bigint, id bigint")
+    numbered = dense_order_ids(counts, order, first)
+    if cfg.vocab_size is not None:
+        numbered = numbered.where(F.col("id") < F.lit(first + cfg.vocab_size))
+    return numbered.select("tok", "n", "id")
 
 
 def vocab_tokens(vocab: DataFrame, cfg: TokenConfig = TokenConfig()) -> list[str]:

@@ -147,3 +147,13 @@ def test_tensor_dataset_round_trip(spark, tmp_path):
     write_tensor_dataset(df, path)
     t = pq.read_table(path)
     assert t.column("input_ids").to_pylist() == [[0, 0, 5]]
+
+
+def test_distributed_vocab_numbering_matches_top_k(spark, monkeypatch):
+    import prefline.operators.tokens as TK
+    docs = read_table(spark, SF_SMALL, "documents")
+    cfg = TokenConfig(vocab_size=700)
+    direct = [tuple(r) for r in TK.build_vocab(docs, "text", cfg).orderBy("id").collect()]
+    monkeypatch.setattr(TK, "DIRECT_TOP_K_MAX", 10)
+    dist = [tuple(r) for r in TK.build_vocab(docs.repartition(5), "text", cfg).orderBy("id").collect()]
+    assert dist == direct and len(direct) == 700
