@@ -5,9 +5,9 @@ of (parameter salt, trial id): reproducible, no driver-side sampling.
 
 ``trial_losses``: the mean preference loss and reward margin of every trial
 over all pairs in **one pass** over the pairs: the trial parameters (a table
-of ``count`` rows, bounded by ``MAX_TRIALS_PER_PASS`` per pass) become literal
-per-trial aggregate expressions, so there is no join between trials and pairs,
-and the aggregate is partial map-side (one row per map task is shuffled).
+of ``count`` rows, at most ``MAX_TRIALS``) become a literal array evaluated per
+pair in the same pipeline, so there is no join between trials and pairs, and
+the aggregate on ``trial`` is partial map-side.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ COLUMNS = {
     "gradient_accumulation_steps": ("accum", "ga"),
     "loss_type": ("loss_type", "loss"),
 }
-MAX_TRIALS_PER_PASS = 200
-MAX_TRIALS = 100_000
+MAX_TRIALS = 10_000
 
 
 def draw(kind: str, salt: str, key: Column, *args) -> Column:
@@ -62,26 +61,25 @@ def trial_table(spark: SparkSession, count: int = SWEEP_COUNT, space: dict = SWE
 def trial_losses(pairs_x: DataFrame, trials: DataFrame, x: str = "x", digits: int | None = 9) -> DataFrame:
     """(trial, loss, margin): mean loss and mean ``beta * x`` per trial over all rows of ``pairs_x``.
 
-    Trials whose loss is undefined (robust with smoothing 0.5) get a null loss.
+    The trial parameters (at most ``MAX_TRIALS`` rows, checked) become one
+    literal array; every pair is evaluated under each trial inside the same
+    codegen pipeline (``inline`` of that array, no join) and the hash
+    aggregate on ``trial`` is partial map-side, so each task ships at most one
+    row per trial.  Trials whose loss is undefined (robust with smoothing 0.5)
+    get a null loss.
     """
-    params = trials.select("trial", "beta", "smoothing", "loss_type").orderBy("trial").collect()
+    params = trials.select("trial", "beta", "smoothing", "loss_type").limit(MAX_TRIALS + 1).collect()
     if len(params) > MAX_TRIALS:
-        raise ValueError("too many trials")
+        raise ValueError(f"at most {MAX_TRIALS} trials per evaluation")
+    grid = F.array(*[F.struct(F.lit(int(p["trial"])).cast("long").alias("trial"),
+                              F.lit(float(p["beta"])).alias("beta"),
+                              F.lit(float(p["smoothing"])).alias("smoothing"),
+                              F.lit(p["loss_type"]).alias("loss_type")) for p in params])
     xc = F.col(x)
-    out = None
-    for start in range(0, len(params), MAX_TRIALS_PER_PASS):
-        chunk = params[start:start + MAX_TRIALS_PER_PASS]
-        aggs = []
-        for p in chunk:
-            loss = preference_loss(xc, float(p["beta"]), float(p["smoothing"]), p["loss_type"])
-            aggs += [F.avg(loss).alias(f"l{p['trial']}"),
-                     F.avg(reward_margin(xc, F.lit(float(p["beta"])))).alias(f"m{p['trial']}")]
-        wide = pairs_x.where(xc.isNotNull()).agg(*aggs)
-        rows = F.array(*[F.struct(F.lit(p["trial"]).cast("long").alias("trial"),
-                                  F.col(f"l{p['trial']}").alias("loss"),
-                                  F.col(f"m{p['trial']}").alias("margin")) for p in chunk])
-        part = wide.select(F.inline(rows))
-        out = part if out is None else out.unionByName(part)
+    per_pair = pairs_x.where(xc.isNotNull()).select(x, F.inline(grid))
+    loss = preference_loss(xc, F.col("beta"), F.col("smoothing"), F.col("loss_type"))
+    out = per_pair.groupBy("trial").agg(F.avg(loss).alias("loss"),
+                                        F.avg(reward_margin(xc, F.col("beta"))).alias("margin"))
     if digits is not None:
         out = out.select("trial", F.round("loss", digits).alias("loss"), F.round("margin", digits).alias("margin"))
     return out
