@@ -23,6 +23,12 @@ def words(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD_PATTERN), 0)
 
 
+def token_count(text) -> Column:
+    """``size(words(text))`` without building the array: matches counted on the
+    same lower-cased string with the same pattern."""
+    return F.regexp_count(F.lower(_c(text)), F.lit(WORD_PATTERN))
+
+
 def word_count(text) -> Column:
     """Number of word-character runs in ``text`` (case is irrelevant)."""
     return F.regexp_count(_c(text), F.lit(WORD_PATTERN))

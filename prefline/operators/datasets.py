@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prefline.config import MIN_REVIEW_CHARS, PREFIX_MAX, PREFIX_MIN, DatasetConfig
 from prefline.functions import templates as TM
 from prefline.functions.text import words
+from prefline.operators.evaluate import evaluate_once
 from prefline.operators.tokens import Encoder, attention_mask, pad, prefix_length, random_prefix
 from prefline.sources.adapters import adapt_queries
 from prefline.sources.tables import spread
@@ -32,7 +33,7 @@ def build_query_dataset(source: DataFrame, encoder: Encoder, cfg: DatasetConfig
         text = TM.render(TM.user_messages(F.col("query"), system), cfg.eos)
     else:
         text = F.col("query")
-    df = df.withColumn("_w", words(text)).where(F.size("_w") <= cfg.max_length)
+    df = evaluate_once(df, _w=words(text)).where(F.size("_w") <= cfg.max_length)
     ids = encoder.encode("_w")
     tok = cfg.tokens
     if cfg.padding:

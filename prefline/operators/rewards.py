@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prefline.config import RewardConfig
 from prefline.functions import scores as S
+from prefline.operators.evaluate import evaluate_once
 from prefline.operators.scorers import is_raw_detector
 
 
@@ -85,5 +86,5 @@ def split_valid(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     for c in reversed(cols):
         reason = F.when(F.col(c).isNull(), F.lit(f"null_{c}")) \
                   .when(F.isnan(F.col(c)), F.lit(f"nan_{c}")).otherwise(reason)
-    tagged = df.withColumn("reason", reason)
+    tagged = evaluate_once(df, reason=reason)
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())

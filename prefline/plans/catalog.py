@@ -15,11 +15,12 @@ from prefline.config import (DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_SYSTEM_
                              RewardConfig, SplitConfig, TokenConfig, SWEEP_COUNT)
 from prefline.functions import scores as S
 from prefline.functions import templates as TM
-from prefline.functions.text import word_count, words
+from prefline.functions.text import token_count, word_count, words
 from prefline.operators import rewards as R
 from prefline.operators import preference as P
 from prefline.operators.generate import EchoGenerator, generate
 from prefline.operators.ml_scorer import LinearTextScorer
+from prefline.operators.evaluate import evaluate_once
 from prefline.operators.datasets import build_prefix_dataset, build_query_dataset
 from prefline.operators.pairs import first_queries, preference_pairs, rollout
 from prefline.operators.quarantine import quarantine
@@ -83,10 +84,11 @@ def vocabulary(spark, root, cfg: TokenConfig = TokenConfig()) -> DataFrame:
 
 
 def q06_encode_filter(spark, root):
-    # F1 on the word count; the ids themselves are not part of the output,
-    # so Catalyst prunes the encode entirely.
-    docs = spread(_t(spark, root, "documents").select("doc_id", "text")).select("doc_id", words("text").alias("_w"))
-    return docs.where(F.size("_w") <= DATASET_MAX_TOKENS).select("doc_id", F.size("_w").cast("long").alias("n_tokens"))
+    # F1 on the token count (the count the encoder would produce); the ids are
+    # not part of the output, so no array is built and nothing is encoded.
+    docs = spread(_t(spark, root, "documents").select("doc_id", "text"))
+    docs = evaluate_once(docs.select("doc_id", "text"), n_tokens=token_count("text").cast("long"))
+    return docs.where(F.col("n_tokens") <= DATASET_MAX_TOKENS).select("doc_id", "n_tokens")
 
 
 def q07_pad_mask(spark, root):
