@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefline.config import SWEEP_COUNT, SWEEP_SPACE
+from prefline.config import LOG_EVERY, SWEEP_COUNT, SWEEP_SPACE
 from prefline.functions.losses import preference_loss, reward_margin
 from prefline.functions.text import h8, uniform
 
@@ -58,6 +58,18 @@ def trial_table(spark: SparkSession, count: int = SWEEP_COUNT, space: dict = SWE
     return spark.range(count).select(*cols)
 
 
+def with_schedule(trials: DataFrame, n_train, log_every: int = LOG_EVERY) -> DataFrame:
+    """Per trial: optimizer steps per epoch ``ceil(n_train / (mini_batch * accum))``
+    and how many of them are logged under the cadence "first step, then every
+    ``log_every``-th" (S6).  ``n_train`` is a Column (e.g. a scalar subquery
+    counting the training rows), so the schedule follows the data."""
+    per_step = F.col("mini_batch") * F.col("accum")
+    steps = F.floor((n_train + per_step - F.lit(1)) / per_step).cast("long")
+    logged = F.when(steps >= 1, F.lit(1) + F.floor(steps / F.lit(log_every)).cast("long")
+                    - F.when(F.lit(log_every) == 1, F.lit(1)).otherwise(F.lit(0))).otherwise(F.lit(0))
+    return trials.withColumn("steps", steps).withColumn("log_steps", logged.cast("long"))
+
+
 def trial_losses(pairs_x: DataFrame, trials: DataFrame, x: str = "x", digits: int | None = 9) -> DataFrame:
     """(trial, loss, margin): mean loss and mean ``beta * x`` per trial over all rows of ``pairs_x``.
 

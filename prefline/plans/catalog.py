@@ -27,7 +27,7 @@ from prefline.operators.quarantine import quarantine
 from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector, human_logit
 from prefline.operators.split import split_audit, split_parts
 from prefline.operators.tokens import Encoder, build_vocab
-from prefline.operators.trials import best_trials, trial_losses, trial_table
+from prefline.operators.trials import best_trials, trial_losses, trial_table, with_schedule
 from prefline.sources.adapters import adapt_queries
 from prefline.session import checkpoint_root
 from prefline.sources.sinks import LOG_COLUMNS, append_log, read_log
@@ -210,7 +210,10 @@ def q22_reward_log(spark, root):
 
 
 def q25_trials(spark, root):
-    return trial_table(spark, SWEEP_COUNT)
+    # The sweep trains on the whole preference set (split 1): every trial's
+    # schedule follows the number of pairs the data yields.
+    n_train = pairs_frame(spark, root).select(F.count("*")).scalar()
+    return with_schedule(trial_table(spark, SWEEP_COUNT), n_train)
 
 
 def pair_margins(spark, root) -> DataFrame:

@@ -232,7 +232,10 @@ SELECT conv_id, query, response, ref_response, {w('ref_helpful', 'ref_human')} A
          CAST(1 + {h8('ga', 'range')} % 4 AS INTEGER) AS accum,
          ['sigmoid', 'hinge', 'ipo', 'robust'][1 + {h8('loss', 'range')} % 4] AS loss_type
   FROM range(10))"""
-    out["q25_trials"] = f"WITH {trials} SELECT * FROM trials"
+    out["q25_trials"] = f"""WITH {PAIRS}, {trials},
+sched AS (SELECT *, ((SELECT count(*) FROM pairs) + mini_batch * accum - 1) // (mini_batch * accum) AS steps
+          FROM trials)
+SELECT *, CASE WHEN steps >= 1 THEN 1 + steps // 10 ELSE 0 END AS log_steps FROM sched"""
     sp = lambda z: f"(greatest({z}, 0::DOUBLE) + ln(1::DOUBLE + exp(-abs({z}))))"
     bx = "(t.beta * p.x)"
     e = "t.smoothing"

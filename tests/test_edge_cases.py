@@ -153,3 +153,13 @@ def test_split_sizes(spark, n, frac):
     ind = split_parts(df, "k", SplitConfig(fraction=frac, seed=7, mode="independent")).collect()
     assert sum(r["part"] == "train" for r in ind) == int(frac * n)
     assert sum(r["part"] == "eval" for r in ind) == n - int(frac * n)
+
+
+def test_trial_schedule_edges(spark):
+    from prefline.operators.trials import with_schedule
+    t = spark.createDataFrame([(0, 1, 1), (1, 2, 2), (2, 4, 4)], "trial long, mini_batch int, accum int")
+    got = {r["trial"]: (r["steps"], r["log_steps"]) for r in with_schedule(t, F.lit(20)).collect()}
+    assert got == {0: (20, 3), 1: (5, 1), 2: (2, 1)}          # logged: step 1, 10, 20
+    assert {r["trial"]: r["log_steps"] for r in with_schedule(t, F.lit(20), 1).collect()} == {0: 20, 1: 5, 2: 2}
+    assert {r["steps"] for r in with_schedule(t, F.lit(0)).collect()} == {0}
+    assert {r["log_steps"] for r in with_schedule(t, F.lit(0)).collect()} == {0}
