@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from prefline.config import SplitConfig
 from prefline.functions.text import hash_key
+from prefline.session import reliable_checkpoint
 
 DIGITS_PER_LEVEL = 4
 LOCAL_MAX = 200_000
@@ -106,7 +107,7 @@ def key_set(df: DataFrame, key: str, materialize: bool | None = None) -> DataFra
     keys = df.select(key)
     if materialize is None:
         materialize = _has_exchange(keys)
-    return keys.checkpoint(eager=True) if materialize else keys
+    return reliable_checkpoint(keys) if materialize else keys
 
 
 def split_cuts(df: DataFrame, key: str, cfg: SplitConfig, materialize: bool | None = None):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from prefline.config import PREFIX_MAX, PREFIX_MIN, TokenConfig
 from prefline.functions.text import h8, words
+from prefline.session import reliable_checkpoint
 from prefline.sources.tables import spread
 
 # Largest vocabulary shipped to every executor (entries).  Above it the
@@ -60,7 +61,7 @@ def dense_order_ids(df: DataFrame, order: list, first: int = 0, out: str = "id")
     (so partition contents are fixed for both passes), count rows per partition
     (one row per partition reaches the driver), then add each partition's offset
     to the row's position inside its partition."""
-    ordered = df.orderBy(*order).checkpoint(eager=True)
+    ordered = reliable_checkpoint(df.orderBy(*order))
     with_pos = ordered.select("*", F.spark_partition_id().alias("_pid"),
                               F.monotonically_increasing_id().alias("_mid"))
     sizes = dict(with_pos.groupBy("_pid").count().collect())
