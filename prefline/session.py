@@ -20,6 +20,20 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (100 TB input).  Shuffle partitions are
+# sized so a reduce partition holds about 128-256 MB after AQE coalescing;
+# scans split at 128 MB; Arrow batches stay small enough for model scorers.
+CLUSTER_CONF = {
+    **{k: v for k, v in DEFAULT_CONF.items() if k != "spark.ui.enabled"},
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.files.maxPartitionBytes": "128m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "prefline", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench; on a cluster use the cluster's session."""
