@@ -46,7 +46,8 @@ def train_count(fraction: float, n: int) -> int:
 
 
 def _histogram(df: DataFrame, h: Column, prefix_len: int, restrict: str | None = None) -> list:
-    scope = df if restrict is None else df.where(F.substring(h, 1, len(restrict)) == F.lit(restrict))
+    scope = df.where(h.isNotNull()) if restrict is None \
+        else df.where(F.substring(h, 1, len(restrict)) == F.lit(restrict))
     return (scope.groupBy(F.substring(h, 1, prefix_len).alias("b")).agg(F.count("*").alias("c"))
             .orderBy("b").collect())
 
@@ -84,12 +85,12 @@ def find_cut(df: DataFrame, key: str, k_of_n, seed) -> Cut:
 
 
 def within(key_col: Column, seed, cut: Cut) -> Column:
-    """True for rows among the first ``cut.k`` in (hash, key) order."""
+    """True for rows among the first ``cut.k`` in (hash, key) order; false for a null key."""
     if cut.threshold is None:
-        return F.lit(cut.k >= cut.n)
+        return key_col.isNotNull() & F.lit(cut.k >= cut.n)
     h = hash_key(seed, key_col)
     th, tk = cut.threshold
-    return (h < F.lit(th)) | ((h == F.lit(th)) & (key_col <= F.lit(tk)))
+    return F.coalesce((h < F.lit(th)) | ((h == F.lit(th)) & (key_col <= F.lit(tk))), F.lit(False))
 
 
 def _has_exchange(df: DataFrame) -> bool:
@@ -125,7 +126,8 @@ def split_flags(df: DataFrame, key: str, cfg: SplitConfig = SplitConfig(),
                 materialize: bool | None = None) -> DataFrame:
     """Adds ``in_train`` and ``in_eval``.
 
-    disjoint: eval is the complement of train.
+    disjoint: eval is the complement of train.  Rows with a null key belong to
+    neither part and are not counted in ``n``.
     independent (reference behaviour): train = first k by ``seed``, eval = first
     n - k by ``eval_seed`` (default seed + 1), chosen independently.
     A frame holding only the key column is answered from the materialised keys.
@@ -134,7 +136,8 @@ def split_flags(df: DataFrame, key: str, cfg: SplitConfig = SplitConfig(),
     base = keys if df.columns == [key] else df
     in_train = within(F.col(key), cfg.seed, train_cut)
     if eval_cut is None:
-        return base.withColumn("in_train", in_train).withColumn("in_eval", ~in_train)
+        return base.withColumn("in_train", in_train) \
+                   .withColumn("in_eval", F.col(key).isNotNull() & ~in_train)
     return base.withColumn("in_train", in_train) \
                .withColumn("in_eval", within(F.col(key), eval_seed, eval_cut))
 
@@ -152,7 +155,7 @@ def split_audit(df: DataFrame, key: str, fraction: float = 0.8, seed=42, eval_se
     t = within(F.col(key), seed, train_cut)
     e = within(F.col(key), eseed, eval_cut)
     one = F.lit(1)
-    row = keys.agg(F.count(F.when(~t, one)).alias("d_eval"),
+    row = keys.agg(F.count(F.when(F.col(key).isNotNull() & ~t, one)).alias("d_eval"),
                    F.count(F.when(e, one)).alias("i_eval"),
                    F.count(F.when(e & t, one)).alias("i_leak"))
     return row.select(F.inline(F.array(

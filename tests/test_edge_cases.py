@@ -163,3 +163,12 @@ def test_trial_schedule_edges(spark):
     assert {r["trial"]: r["log_steps"] for r in with_schedule(t, F.lit(20), 1).collect()} == {0: 20, 1: 5, 2: 2}
     assert {r["steps"] for r in with_schedule(t, F.lit(0)).collect()} == {0}
     assert {r["log_steps"] for r in with_schedule(t, F.lit(0)).collect()} == {0}
+
+
+def test_split_null_keys_in_neither_part(spark):
+    df = spark.createDataFrame([(i,) for i in range(10)] + [(None,), (None,)], "k long")
+    rows = split_flags(df, "k", SplitConfig(fraction=0.5, seed=3)).collect()
+    assert len(rows) == 12
+    assert sum(r["in_train"] for r in rows) == 5
+    assert sum(r["in_eval"] for r in rows) == 5
+    assert all(not r["in_train"] and not r["in_eval"] for r in rows if r["k"] is None)
