@@ -151,15 +151,25 @@ def _rebase(arr: pa.ListArray) -> pa.Array:
     return pc.subtract(offsets, offsets[0])
 
 
+def _list_class(arr):
+    """Build lists of the same kind Spark sent (``large_list`` when large var types are on)."""
+    return pa.LargeListArray if pa.types.is_large_list(arr.type) else pa.ListArray
+
+
+def _matching(vs: pa.Array, values: pa.Array) -> pa.Array:
+    return vs if vs.type == values.type else vs.cast(values.type)
+
+
 def _make_encode_udf(src, first_id: int, unk_id: int):
     @F.arrow_udf("array<int>")
     def encode(arr: pa.Array) -> pa.Array:
         if isinstance(arr, pa.ChunkedArray):
             arr = arr.combine_chunks()
-        idx = pc.index_in(arr.flatten(), value_set=_value_set(src))
+        values = arr.flatten()
+        idx = pc.index_in(values, value_set=_matching(_value_set(src), values))
         ids = pc.fill_null(pc.add(idx.cast(pa.int32()), pa.scalar(first_id, pa.int32())),
                            pa.scalar(unk_id, pa.int32()))
-        return pa.ListArray.from_arrays(_rebase(arr), ids, mask=arr.is_null())
+        return _list_class(arr).from_arrays(_rebase(arr), ids, mask=arr.is_null())
     return encode
 
 
@@ -176,8 +186,10 @@ def _make_decode_udf(src, first_id: int, special_ids: tuple[int, ...]):
         toks = pc.take(vs, pc.filter(rel, keep))
         parents = pc.filter(pc.list_parent_indices(arr), keep).to_numpy(zero_copy_only=False)
         counts = np.bincount(parents, minlength=len(arr))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        lists = pa.ListArray.from_arrays(offsets, toks, mask=arr.is_null())
+        cls = _list_class(arr)
+        width = np.int64 if cls is pa.LargeListArray else np.int32
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(width))
+        lists = cls.from_arrays(offsets, toks, mask=arr.is_null())
         return pc.binary_join(lists, " ")
     return decode
 

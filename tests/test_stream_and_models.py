@@ -157,3 +157,23 @@ def test_distributed_vocab_numbering_matches_top_k(spark, monkeypatch):
     monkeypatch.setattr(TK, "DIRECT_TOP_K_MAX", 10)
     dist = [tuple(r) for r in TK.build_vocab(docs.repartition(5), "text", cfg).orderBy("id").collect()]
     assert dist == direct and len(direct) == 700
+
+
+@pytest.mark.parametrize("large", ["true", "false"])
+def test_encoder_with_large_arrow_types(spark, large):
+    key = "spark.sql.execution.arrow.useLargeVarTypes"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, large)
+    try:
+        vocab = build_vocab(spark.createDataFrame([("b a a c",)], "text string"), "text", TokenConfig(vocab_size=2))
+        enc = Encoder(spark, vocab, TokenConfig(vocab_size=2))
+        df = spark.createDataFrame([(1, "A b z"), (2, None), (3, "")], "id long, t string")
+        got = {r["id"]: (r["ids"], r["back"]) for r in
+               df.select("id", enc.encode(words("t")).alias("ids"))
+                 .select("id", "ids", enc.decode("ids").alias("back")).collect()}
+        assert got == {1: ([4, 5, 1], "a b"), 2: (None, None), 3: ([], "")}
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
