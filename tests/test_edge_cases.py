@@ -172,3 +172,16 @@ def test_split_null_keys_in_neither_part(spark):
     assert sum(r["in_train"] for r in rows) == 5
     assert sum(r["in_eval"] for r in rows) == 5
     assert all(not r["in_train"] and not r["in_eval"] for r in rows if r["k"] is None)
+
+
+def test_catalog_load(spark, tmp_path):
+    from prefline.sources.tables import Catalog
+    from conftest import SF_SMALL
+    cat = Catalog(spark, SF_SMALL)
+    assert cat.load("labels").columns == ["doc_id", "quality", "toxic"]
+    path = str(tmp_path / "reviews.json")
+    spark.createDataFrame([(1, "nice")], "id long, text string").write.json(path)
+    cat.register("imdb", path, "json", "id BIGINT, text STRING")
+    assert [tuple(r) for r in cat.load("imdb").collect()] == [(1, "nice")]
+    with pytest.raises(ValueError):
+        cat.load("imdb", split="test")
