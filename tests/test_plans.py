@@ -123,3 +123,25 @@ def test_encode_join_path_without_broadcast(spark):
     # no broadcast hint for an unbounded vocabulary: Spark chooses by its own size check
     rows = out.collect()
     assert len(rows) == 200 and all(1 not in r["input_ids"] for r in rows)   # uncapped: no unknowns
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_windows_only_over_bounded_top_k(spark, name):
+    """No un-partitioned window over a full table: any Window sits on a top-k."""
+    lines = plan(E.queries()[name](spark, SF_SMALL)).splitlines()
+    for i, line in enumerate(lines):
+        if "Window [" in line or line.strip().startswith("+- Window") or line.startswith("Window"):
+            below = "\n".join(lines[i + 1:i + 4])
+            assert "TakeOrderedAndProject" in below, (name, line)
+
+
+def test_split_has_no_large_top_k(spark):
+    p = final_plan(E.queries()["q13_split"](spark, SF_SMALL))
+    assert "TakeOrderedAndProject" not in p
+
+
+@pytest.mark.parametrize("name", ["q15_scale", "q16_capped", "q17_human_label", "q18_pair_score",
+                                  "q19_reward_min", "q20_reward_weighted", "q21_reward_single"])
+def test_native_scoring_stays_in_jvm(spark, name):
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p and "MapInPandas" not in p
