@@ -28,22 +28,25 @@ def build_query_dataset(source: DataFrame, encoder: Encoder, cfg: DatasetConfig
     ``sys_prompt``) is tokenised instead of the bare query.
     """
     df = adapt_queries(source, dataset_name)
+    tok = cfg.tokens
     if template:
+        # the rendered chat prompt; its end-of-sequence marker is the reserved
+        # eos id, not a word, so it is appended after encoding
         system = cfg.sys_prompt_text if cfg.sys_prompt else None
-        text = TM.render(TM.user_messages(F.col("query"), system), cfg.eos)
+        text = TM.render(TM.user_messages(F.col("query"), system), "")
+        df = evaluate_once(df, _w=words(text)).where(F.size("_w") + F.lit(1) <= cfg.max_length)
+        ids = F.concat(encoder.encode("_w"), F.array(F.lit(tok.eos_id)))
     else:
-        text = F.col("query")
-    df = evaluate_once(df, _w=words(text)).where(F.size("_w") <= cfg.max_length)
-    ids = encoder.encode("_w")
-    tok = cfg.tokens
+        df = evaluate_once(df, _w=words(F.col("query"))).where(F.size("_w") <= cfg.max_length)
+        ids = encoder.encode("_w")
+    df = df.withColumn("_ids", ids)
     if cfg.padding:
-        df = df.withColumn("_ids", ids)
         df = df.withColumn("input_ids", pad("_ids", cfg.max_length, cfg.padding_side, tok.effective_pad_id)) \
                .withColumn("attention_mask", attention_mask("_ids", cfg.max_length, cfg.padding_side))
     else:
-        df = df.withColumn("input_ids", ids) \
-               .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("_w")))
-    return df.withColumn("n_tokens", F.size("_w").cast("long")).drop("_w", "_ids")
+        df = df.withColumn("input_ids", F.col("_ids")) \
+               .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("_ids")))
+    return df.withColumn("n_tokens", F.size("_ids").cast("long")).drop("_w", "_ids")
 
 
 def build_prefix_dataset(reviews: DataFrame, encoder: Encoder, key: str = "doc_id",

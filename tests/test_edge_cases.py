@@ -185,3 +185,21 @@ def test_catalog_load(spark, tmp_path):
     assert [tuple(r) for r in cat.load("imdb").collect()] == [(1, "nice")]
     with pytest.raises(ValueError):
         cat.load("imdb", split="test")
+
+
+def test_query_dataset_with_chat_template(spark):
+    from prefline.config import DatasetConfig
+    from prefline.operators.datasets import build_query_dataset
+    cfg_t = TokenConfig(vocab_size=10)
+    vocab = build_vocab(spark.createDataFrame([("user hello system you",)], "text string"), "text", cfg_t)
+    enc = Encoder(spark, vocab, cfg_t)
+    df = spark.createDataFrame([(1, "Hello there")], "conv_id long, query string")
+    ids = {t: [r["input_ids"] for r in build_query_dataset(
+        df, enc, DatasetConfig(max_length=8, padding=False, tokens=cfg_t, sys_prompt=s,
+                               sys_prompt_text="You"), template=True).collect()][0]
+        for t, s in (("plain", False), ("system", True))}
+    voc = {r["tok"]: r["id"] for r in vocab.collect()}
+    assert ids["plain"] == [voc["user"], voc["hello"], 1, 3]          # user: hello there</s>
+    assert ids["system"] == [voc["system"], voc["you"], voc["user"], voc["hello"], 1, 3]
+    short = build_query_dataset(df, enc, DatasetConfig(max_length=3, padding=False, tokens=cfg_t), template=True)
+    assert short.count() == 0                                           # 4 tokens with eos > 3
