@@ -54,15 +54,27 @@ class Catalog:
         return read_table(self.spark, self.root, name)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+# Largest input ``spread`` may redistribute (optimizer size estimate).
+SPREAD_MAX_BYTES = 32 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (file sizes for a scan)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return size if isinstance(size, int) else int(size.toString())
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
     """Guarantee at least ``min_partitions`` tasks (default: the cluster's default
     parallelism) before CPU-heavy per-row work such as regex tokenisation.
 
     A Parquet row group is never split, so a table stored as a few large row
-    groups scans in a few tasks however many cores exist.  Only then is the
-    input redistributed round-robin (one shuffle of an input that is, by
-    construction, small relative to the cluster); a normally laid-out large
-    table already has enough partitions and passes through untouched.
+    groups scans in a few tasks however many cores exist.  Only such an input,
+    and only when its estimated size is at most ``max_bytes``, is redistributed
+    round-robin: a checked, bounded shuffle.  A normally laid-out large table
+    already has enough partitions and passes through untouched.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if df.rdd.getNumPartitions() >= n or estimated_bytes(df) > max_bytes:
+        return df
+    return df.repartition(n)

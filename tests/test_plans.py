@@ -145,3 +145,11 @@ def test_split_has_no_large_top_k(spark):
 def test_native_scoring_stays_in_jvm(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p and "MapInPandas" not in p
+
+
+def test_spread_is_bounded(spark):
+    from prefline.sources.tables import spread
+    docs = read_table(spark, SF_SMALL, "documents")
+    assert "RoundRobinPartitioning" in plan(spread(docs, 64))
+    assert "RoundRobinPartitioning" not in plan(spread(docs, 64, max_bytes=1))   # too big: untouched
+    assert spread(docs, 1) is docs                                                # enough partitions
