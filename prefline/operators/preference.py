@@ -41,9 +41,9 @@ def render_messages(df: DataFrame, eos: str = DEFAULT_EOS) -> DataFrame:
 
 
 def process(df: DataFrame, model_name: str, dataset_name: str | None = None,
-            sys_prompt: bool = False, eos: str = DEFAULT_EOS) -> DataFrame:
-    """P7 with S3 dispatch on the schema (or the reference's dataset-name rule)."""
-    if preference_form(df, dataset_name) == "flat":
+            sys_prompt: bool = False, eos: str = DEFAULT_EOS, flat_name_marker: str | None = None) -> DataFrame:
+    """P7 with S3 dispatch on the schema (or a dataset-name rule, see ``preference_form``)."""
+    if preference_form(df, dataset_name, flat_name_marker) == "flat":
         return render_flat(df, model_name, sys_prompt, eos)
     return render_messages(df, eos)
 

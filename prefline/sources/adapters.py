@@ -45,9 +45,15 @@ def adapt_queries(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
     raise ValueError(f"no query adapter for columns {df.columns}")
 
 
-def preference_form(df: DataFrame, dataset_name: str | None = None) -> str:
-    """S3: 'flat' when ``chosen`` is a string, 'messages' when it is an array."""
-    if dataset_name is not None and "hassanjbara" in dataset_name:
+def preference_form(df: DataFrame, dataset_name: str | None = None,
+                    flat_name_marker: str | None = None) -> str:
+    """S3: 'flat' when ``chosen`` is a string, 'messages' when it is an array.
+
+    The reference chose the form by a substring of the dataset name; that rule
+    is available as ``flat_name_marker`` (a dataset name containing it is read
+    as flat), but the schema is the default and the safer test.
+    """
+    if flat_name_marker and dataset_name is not None and flat_name_marker in dataset_name:
         return "flat"
     field = df.schema["chosen"].dataType
     if isinstance(field, T.StringType):

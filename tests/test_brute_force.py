@@ -101,3 +101,23 @@ def test_split_equals_global_sort(spark, keys, frac, seed):
     order = sorted(keys, key=lambda k: (hashlib.md5(f"{seed}|{k}".encode()).hexdigest(), k))
     assert got == set(order[:int(frac * len(keys))])
     assert F is not None
+
+
+def test_pairs_with_one_hot_conversation(spark):
+    """A third of all turns under one conversation id: partial aggregation keeps
+    one row per map task for it, and the result equals the brute force."""
+    from prefline.sources.tables import read_table
+    from conftest import SF_SMALL
+    conv = read_table(spark, SF_SMALL, "conversations")
+    n = conv.select(F.max("conv_id")).first()[0] + 1
+    hot = n // 3
+    skewed = conv.select(
+        F.when(F.col("conv_id") < hot, F.lit(0)).otherwise(F.col("conv_id")).alias("conv_id"),
+        F.when(F.col("conv_id") < hot, F.col("conv_id") * 1000 + F.col("turn")).otherwise(F.col("turn")).alias("turn"),
+        "role", "text").repartition(4)
+    rows = [tuple(r) for r in skewed.collect()]
+    assert sum(1 for r in rows if r[0] == 0) >= len(rows) // 4
+    out = preference_pairs(skewed)
+    assert {tuple(r) for r in out.collect()} == pairs_brute(rows)
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in p

@@ -125,7 +125,7 @@ def test_flat_render_reads_inputs_before_overwrite(spark):
 def test_nested_adapter(spark):
     schema = "source string, conversation array<struct<input:string,output:string>>"
     df = spark.createDataFrame([("s", [("first", "a"), ("second", "b")]), ("t", [])], schema)
-    got = [r["query"] for r in adapt_queries(df, "LDJnr/Pure-Dove").collect()]
+    got = [r["query"] for r in adapt_queries(df, "someone/pure-dove-chats").collect()]
     assert got == ["first", None]
     assert nested_queries(df).columns == ["query"]
     with pytest.raises(ValueError):
@@ -203,3 +203,13 @@ def test_query_dataset_with_chat_template(spark):
     assert ids["system"] == [voc["system"], voc["you"], voc["user"], voc["hello"], 1, 3]
     short = build_query_dataset(df, enc, DatasetConfig(max_length=3, padding=False, tokens=cfg_t), template=True)
     assert short.count() == 0                                           # 4 tokens with eos > 3
+
+
+def test_preference_form_dispatch(spark):
+    from prefline.sources.adapters import preference_form
+    flat = spark.createDataFrame([("q", "a", "b")], "query string, chosen string, rejected string")
+    msgs = spark.createDataFrame([([("user", "x")], [("user", "y")])],
+                                 "chosen array<struct<role:string,content:string>>, "
+                                 "rejected array<struct<role:string,content:string>>")
+    assert preference_form(flat) == "flat" and preference_form(msgs) == "messages"
+    assert preference_form(msgs, "org/long-pairs", flat_name_marker="long-pairs") == "flat"
