@@ -19,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefline.functions.text import words
-
 NEXT = "next"
 
 
@@ -67,8 +65,3 @@ def first_queries(conversations: DataFrame) -> DataFrame:
     """
     return (conversations.where(F.col("role") == "user")
             .groupBy("conv_id").agg(F.min_by("text", "turn").alias("query")))
-
-
-def with_word_stats(df: DataFrame, col: str, prefix: str) -> DataFrame:
-    """Attach word array of ``col`` once, so scorers share it instead of re-tokenising."""
-    return df.withColumn(f"{prefix}_words", words(col))

@@ -1,7 +1,8 @@
 """Scorers (U4, U5, R9, R10): text -> ``array<struct<label:string, score:double>>``.
 
-A scorer is anything with ``outputs(text_col[, pair_col]) -> Column``.  Three
-kinds exist:
+A scorer adds its output array to a frame with ``score_frame(df, text, out)``
+(pair scorers: ``score_frame(df, text, text_pair, out)``); most also offer the
+bare column form ``outputs(text[, text_pair]) -> Column``.  Three kinds exist:
 
 * native scorers: column expressions, fused into the surrounding stage;
 * ``PandasTextScorer`` / ``PandasPairScorer``: wrap a Python batch callable
@@ -37,13 +38,13 @@ def _c(col) -> Column:
 class TextScorer(Protocol):
     name: str
 
-    def outputs(self, text) -> Column: ...
+    def score_frame(self, df: DataFrame, text: str, out: str) -> DataFrame: ...
 
 
 class PairScorer(Protocol):
     name: str
 
-    def outputs(self, text, text_pair) -> Column: ...
+    def score_frame(self, df: DataFrame, text: str, text_pair: str, out: str) -> DataFrame: ...
 
 
 def output_entry(label: str, score) -> Column:
