@@ -75,6 +75,8 @@ def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SP
     already has enough partitions and passes through untouched.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # already shuffled: spread over the shuffle partitions; counting would run stages
     if df.rdd.getNumPartitions() >= n or estimated_bytes(df) > max_bytes:
         return df
     return df.repartition(n)

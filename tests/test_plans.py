@@ -153,3 +153,5 @@ def test_spread_is_bounded(spark):
     assert "RoundRobinPartitioning" in plan(spread(docs, 64))
     assert "RoundRobinPartitioning" not in plan(spread(docs, 64, max_bytes=1))   # too big: untouched
     assert spread(docs, 1) is docs                                                # enough partitions
+    shuffled = docs.groupBy("lang").count()
+    assert spread(shuffled, 64) is shuffled                                       # already shuffled
