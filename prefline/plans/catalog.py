@@ -24,6 +24,7 @@ from prefline.operators.evaluate import evaluate_once
 from prefline.operators.datasets import build_prefix_dataset, build_query_dataset
 from prefline.operators.pairs import first_queries, preference_pairs, rollout
 from prefline.operators.quarantine import quarantine
+from prefline.operators.rollout import rollout_rewards
 from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector, human_logit
 from prefline.operators.split import split_audit, split_parts
 from prefline.operators.tokens import Encoder, build_vocab
@@ -257,6 +258,13 @@ def q33_stream_score(spark, root):
     return score_new_turns(spark, table_path(root, "conversations")).select("conv_id", "turn", "score")
 
 
+def q34_rollout_reward(spark, root):
+    """R11 end to end: first user turns -> generated answers -> rewards."""
+    qs = first_queries(_t(spark, root, "conversations"))
+    out = rollout_rewards(qs, WordStatDetector(), OverlapPairScorer(), RewardConfig(hf_model_weight=0.5))
+    return out.select("conv_id", "response", "ref_response", "reward", "ref_reward")
+
+
 def catalog() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items()
             if name[:1] == "q" and name[1:3].isdigit() and callable(fn)}

@@ -264,6 +264,16 @@ WHERE d.text IS NULL OR len(regexp_extract_all(d.text, {WORD_RE})) < 2 OR l.doc_
     out["q31_generate"] = f"""WITH {queries_cte()}
 SELECT conv_id, array_to_string(list_slice(list_reverse({words('query')}), 1, 512), ' ') AS response,
        array_to_string(list_slice({words('query')}, 1, 512), ' ') AS ref_response FROM fq"""
+    gen = f"""WITH {queries_cte()},
+g AS (SELECT conv_id, query,
+             array_to_string(list_slice(list_reverse({words('query')}), 1, 512), ' ') AS response,
+             array_to_string(list_slice({words('query')}, 1, 512), ' ') AS ref_response FROM fq),
+s AS (SELECT conv_id, response, ref_response,
+             {human_logit('response')} AS human, {human_logit('ref_response')} AS ref_human,
+             {helpful('query', 'response')} AS helpful, {helpful('query', 'ref_response')} AS ref_helpful FROM g)"""
+    out["q34_rollout_reward"] = gen + f"""
+SELECT conv_id, response, ref_response, {w('helpful', 'human')} AS reward,
+       {w('ref_helpful', 'ref_human')} AS ref_reward FROM s"""
     out["q33_stream_score"] = (f"SELECT conv_id, turn, {human_logit('text')} AS score "
                                f"FROM conversations WHERE role = 'assistant'")
     out["q20_reward_weighted"] = f"""WITH {SCORED}

@@ -177,3 +177,17 @@ def test_encoder_with_large_arrow_types(spark, large):
             spark.conf.unset(key)
         else:
             spark.conf.set(key, old)
+
+
+def test_rollout_step_logs_and_reads_back(spark, tmp_path):
+    from prefline.config import RewardConfig
+    from prefline.operators.rollout import log_rollout, rollout_rewards
+    from prefline.operators.scorers import OverlapPairScorer, WordStatDetector
+    qs = spark.createDataFrame([(1, "Alpha beta beta"), (2, "gamma")], "conv_id long, query string")
+    out = rollout_rewards(qs, WordStatDetector(), OverlapPairScorer(), RewardConfig())
+    path = str(tmp_path / "log")
+    log_rollout(out, path, "r1")
+    logged = {r["conv_id"]: r for r in read_log(spark, path, "r1").collect()}
+    assert logged[1]["response"] == "beta beta alpha" and logged[1]["ref_response"] == "alpha beta beta"
+    expected = {r["conv_id"]: r["ref_reward"] for r in out.collect()}
+    assert {k: v["ref_rewards"] for k, v in logged.items()} == expected
