@@ -5,7 +5,6 @@ Keys and output columns match ``prefline.plans.oracle.sql_catalog``.
 
 from __future__ import annotations
 
-import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ from prefline.operators.tokens import Encoder, build_vocab
 from prefline.operators.trials import best_trials, trial_losses, trial_table, with_schedule
 from prefline.sources.adapters import adapt_queries
 from prefline.session import checkpoint_root
-from prefline.sources.sinks import LOG_COLUMNS, append_log, read_log
+from prefline.sources.sinks import LOG_COLUMNS, append_log, new_run_id, read_log
 from prefline.sources.tables import read_table, spread, table_path
 from prefline.streaming.score_stream import score_new_turns
 
@@ -199,7 +198,7 @@ def q22_reward_log(spark, root):
     df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
     df = df.withColumnRenamed("ref_reward", "ref_rewards")
     path = f"{checkpoint_root(spark)}/rollout_log"
-    run_id = uuid.uuid4().hex
+    run_id = new_run_id()
     append_log(df, path, run_id)
     return read_log(spark, path, run_id).select("conv_id", *LOG_COLUMNS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def write_tensor_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> N
     df.write.mode(mode).parquet(path)
 
 
+def new_run_id() -> str:
+    """A unique run id; the prefix keeps partition discovery from reading it as a number."""
+    return f"run-{uuid.uuid4().hex}"
+
+
 def append_log(df: DataFrame, path: str, run_id: str, key: str = "conv_id",
                columns: list[str] | None = None, step: str | None = None) -> None:
     """Append one record per sample, partitioned by run id.
