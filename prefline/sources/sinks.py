@@ -35,8 +35,11 @@ def append_log(df: DataFrame, path: str, run_id: str, key: str = "conv_id",
 
 
 def read_log(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """The records of one run; the run id filter prunes partitions."""
-    return spark.read.parquet(path).where(F.col("run_id") == run_id).drop("run_id")
+    """The records of one run.  Only that run's folder is listed and read
+    (``basePath`` keeps ``run_id`` a partition column), so the cost does not
+    grow with the number of runs in the log."""
+    df = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/run_id={run_id}")
+    return df.where(F.col("run_id") == run_id).drop("run_id")
 
 
 def cadence(df: DataFrame, step: str = "step", every: int = LOG_EVERY, first: bool = True) -> DataFrame:
