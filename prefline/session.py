@@ -34,6 +34,21 @@ CLUSTER_CONF = {
 }
 
 
+def configure_cluster(spark: SparkSession, conf: dict | None = None) -> SparkSession:
+    """Apply ``CLUSTER_CONF`` (runtime SQL settings only) to an existing session.
+
+    Shuffle partitions are at least three per core so every core stays busy
+    after AQE coalesces small partitions.
+    """
+    conf = dict(conf or CLUSTER_CONF)
+    cores = spark.sparkContext.defaultParallelism
+    conf["spark.sql.shuffle.partitions"] = str(max(int(conf.get("spark.sql.shuffle.partitions", 0)), 3 * cores))
+    for key, value in conf.items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "prefline", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench; on a cluster use the cluster's session."""

@@ -213,3 +213,16 @@ def test_preference_form_dispatch(spark):
                                  "rejected array<struct<role:string,content:string>>")
     assert preference_form(flat) == "flat" and preference_form(msgs) == "messages"
     assert preference_form(msgs, "org/long-pairs", flat_name_marker="long-pairs") == "flat"
+
+
+def test_configure_cluster_sets_sql_conf(spark):
+    from prefline.session import configure_cluster
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        configure_cluster(spark)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 20000
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("256m", str(256 << 20))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
