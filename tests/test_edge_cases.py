@@ -216,13 +216,16 @@ def test_preference_form_dispatch(spark):
 
 
 def test_configure_cluster_sets_sql_conf(spark):
-    from prefline.session import configure_cluster
-    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
-    old = {k: spark.conf.get(k) for k in keys}
+    from prefline.session import CLUSTER_CONF, configure_cluster
+    keys = [k for k in CLUSTER_CONF if k.startswith("spark.sql.")]
+    old = {k: spark.conf.get(k, None) for k in keys}
     try:
         configure_cluster(spark)
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 20000
         assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("256m", str(256 << 20))
     finally:
         for k, v in old.items():
-            spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
