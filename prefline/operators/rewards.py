@@ -2,7 +2,8 @@
 
 Input: one row per sample with ``query``, ``response``, ``ref_response``.
 Every result is a same-row column, so no positional alignment and no join
-is needed; with native scorers the whole chain is one codegen stage.
+is needed; with native scorers the whole chain stays in the JVM, in the stage
+after whatever produced the rollout rows.
 """
 
 from __future__ import annotations
