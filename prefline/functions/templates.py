@@ -34,6 +34,25 @@ def render(messages, eos: str = DEFAULT_EOS) -> Column:
     return F.concat(F.array_join(pieces, ""), F.lit(eos))
 
 
+def render_known(messages: list[tuple], eos: str = DEFAULT_EOS) -> Column:
+    """T1 for a message list fixed at plan time, ``[(role, content), ...]`` with
+    ``role`` a string and ``content`` a Column (or column name).
+
+    The same string as ``render`` on the equivalent array, as one ``concat``:
+    no array is built and no lambda runs, so it stays in whole-stage codegen.
+    """
+    parts = []
+    for role, content in messages:
+        parts += [F.lit(role), F.lit(TEMPLATE_SEPARATOR), _c(content), F.lit(TEMPLATE_MESSAGE_END)]
+    return F.concat(*parts, F.lit(eos))
+
+
+def user_prompt(query, system_text: str | None = None, eos: str = DEFAULT_EOS) -> Column:
+    """T1 over [system?, user(query)] without building the message array."""
+    msgs = ([("system", F.lit(system_text))] if system_text else []) + [("user", query)]
+    return render_known(msgs, eos)
+
+
 def with_system(messages, text: str, enabled: bool = True) -> Column:
     """Put a system message first when ``enabled``."""
     if not enabled:
@@ -59,7 +78,7 @@ def gemma_answer(text) -> Column:
 
 def default_answer(text, eos: str = DEFAULT_EOS) -> Column:
     """T1 applied to [assistant(text)]."""
-    return render(F.array(message("assistant", text)), eos)
+    return render_known([("assistant", text)], eos)
 
 
 def model_family(model_name: str) -> str:

@@ -33,7 +33,7 @@ def build_query_dataset(source: DataFrame, encoder: Encoder, cfg: DatasetConfig
         # the rendered chat prompt; its end-of-sequence marker is the reserved
         # eos id, not a word, so it is appended after encoding
         system = cfg.sys_prompt_text if cfg.sys_prompt else None
-        text = TM.render(TM.user_messages(F.col("query"), system), "")
+        text = TM.user_prompt(F.col("query"), system, "")
         df = evaluate_once(df, _w=words(text)).where(F.size("_w") + F.lit(1) <= cfg.max_length)
         ids = F.concat(encoder.encode("_w"), F.array(F.lit(tok.eos_id)))
     else:

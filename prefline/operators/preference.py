@@ -21,9 +21,9 @@ from prefline.sources.adapters import preference_form
 def render_flat(df: DataFrame, model_name: str, sys_prompt: bool = False, eos: str = DEFAULT_EOS,
                 system_text: str = PREFERENCE_SYSTEM_PROMPT) -> DataFrame:
     family = TM.model_family(model_name)
-    msgs = TM.user_messages(F.col("query"), system_text if sys_prompt else None)
+    prompt = TM.user_prompt(F.col("query"), system_text if sys_prompt else None, eos)
     keep = [c for c in df.columns if c not in ("query", "chosen", "rejected", "prompt")]
-    return df.select(*keep, TM.render(msgs, eos).alias("prompt"),
+    return df.select(*keep, prompt.alias("prompt"),
                      TM.answer(F.col("chosen"), family, eos).alias("chosen"),
                      TM.answer(F.col("rejected"), family, eos).alias("rejected"))
 

@@ -89,13 +89,12 @@ def q03_min_chars(spark, root):
 
 def q04_prompt(spark, root):
     qs = first_queries(_t(spark, root, "conversations"))
-    return qs.select("conv_id", TM.render(TM.user_messages(F.col("query"))).alias("prompt"))
+    return qs.select("conv_id", TM.user_prompt(F.col("query")).alias("prompt"))
 
 
 def q05_prompt_system(spark, root):
     qs = first_queries(_t(spark, root, "conversations"))
-    msgs = TM.user_messages(F.col("query"), QUERY_SYSTEM_PROMPT)
-    return qs.select("conv_id", TM.render(msgs).alias("prompt"))
+    return qs.select("conv_id", TM.user_prompt(F.col("query"), QUERY_SYSTEM_PROMPT).alias("prompt"))
 
 
 def q06_encode_filter(spark, root):

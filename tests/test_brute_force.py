@@ -147,3 +147,16 @@ def test_linear_scorer_matches_hand_computed_probability(spark):
     acc = sum((got[r["doc_id"]] > 0.5) == (r["label"] == 1) for r in train) / len(train)
     majority = max(sum(r["label"] for r in train), len(train) - sum(r["label"] for r in train)) / len(train)
     assert acc >= majority
+
+
+@SETTINGS
+@given(st.lists(st.tuples(texts, texts), min_size=1, max_size=8), st.booleans())
+def test_known_render_equals_array_render(spark, rows, with_sys):
+    df = spark.createDataFrame(rows, "q string, s string")
+    system = "Be brief." if with_sys else None
+    a = df.select(TM.user_prompt(F.col("q"), system).alias("p")).collect()
+    b = df.select(TM.render(TM.user_messages(F.col("q"), system)).alias("p")).collect()
+    assert a == b
+    c = df.select(TM.default_answer(F.col("s")).alias("p")).collect()
+    d = df.select(TM.render(F.array(TM.message("assistant", F.col("s")))).alias("p")).collect()
+    assert c == d
