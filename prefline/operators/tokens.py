@@ -67,12 +67,13 @@ def dense_order_ids(df: DataFrame, order: list, first: int = 0, out: str = "id")
     sizes = dict(with_pos.groupBy("_pid").count().collect())
     offsets, acc = [], 0
     for pid in range(ordered.rdd.getNumPartitions()):
-        offsets.append(acc)
+        offsets.append((pid, acc))
         acc += sizes.get(pid, 0)
-    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_pid") + F.lit(1)) if offsets \
-        else F.lit(0)
+    # one row per partition: broadcast size bounded by the partition count
+    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return with_pos.withColumn(out, (F.lit(first) + offset + pos).cast("long")).drop("_pid", "_mid")
+    numbered = with_pos.join(F.broadcast(table), "_pid")
+    return numbered.withColumn(out, (F.lit(first) + F.col("_off") + pos).cast("long")).drop("_pid", "_mid", "_off")
 
 
 def build_vocab(df: DataFrame, text: str = "text", cfg: TokenConfig = TokenConfig()) -> DataFrame:
