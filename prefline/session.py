@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoints written by the split and the vocabulary numbering are removed
+    # once their DataFrames are garbage-collected (a context setting: set at submit)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,6 +40,9 @@ CLUSTER_CONF = {
 def configure_cluster(spark: SparkSession, conf: dict | None = None) -> SparkSession:
     """Apply ``CLUSTER_CONF`` (runtime SQL settings only) to an existing session.
 
+    Context settings in it (checkpoint cleaning) take effect only when given at
+    submit time; they are listed there for that purpose.
+
     Shuffle partitions are at least three per core so every core stays busy
     after AQE coalesces small partitions.
     """
