@@ -54,8 +54,10 @@ class Catalog:
         return read_table(self.spark, self.root, name)
 
 
-# Largest input ``spread`` may redistribute (optimizer size estimate).
+# Largest input ``spread`` may redistribute (optimizer size estimate), and the
+# usual Parquet row-group size: a scan cannot use more tasks than row groups.
 SPREAD_MAX_BYTES = 32 << 30
+ROW_GROUP_BYTES = 128 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -68,15 +70,21 @@ def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SP
     """Guarantee at least ``min_partitions`` tasks (default: the cluster's default
     parallelism) before CPU-heavy per-row work such as regex tokenisation.
 
-    A Parquet row group is never split, so a table stored as a few large row
-    groups scans in a few tasks however many cores exist.  Only such an input,
-    and only when its estimated size is at most ``max_bytes``, is redistributed
-    round-robin: a checked, bounded shuffle.  A normally laid-out large table
-    already has enough partitions and passes through untouched.
+    A Parquet row group is never split, so a scan runs at most one busy task
+    per row group, whatever the number of planned splits (Spark plans splits
+    by bytes, and a split holding no row-group start reads nothing).  An input
+    with fewer planned partitions than cores, or smaller than one typical row
+    group per core, cannot keep the cores busy; only such an input, and only
+    when its estimated size is at most ``max_bytes``, is redistributed
+    round-robin: a checked, bounded shuffle.  A large table (many row groups)
+    passes through untouched, as does an input that is already shuffled.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # already shuffled: spread over the shuffle partitions; counting would run stages
-    if df.rdd.getNumPartitions() >= n or estimated_bytes(df) > max_bytes:
+    if n <= 1 or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # one core, or already spread over shuffle partitions
+    size = estimated_bytes(df)
+    if size > max_bytes:
         return df
-    return df.repartition(n)
+    if df.rdd.getNumPartitions() < n or size < n * ROW_GROUP_BYTES:
+        return df.repartition(n)
+    return df

@@ -155,3 +155,11 @@ def test_spread_is_bounded(spark):
     assert spread(docs, 1) is docs                                                # enough partitions
     shuffled = docs.groupBy("lang").count()
     assert spread(shuffled, 64) is shuffled                                       # already shuffled
+
+
+def test_spread_sees_row_group_granularity(spark):
+    """More planned splits than cores but one row group: still spread."""
+    from prefline.sources.tables import spread
+    docs = read_table(spark, SF_SMALL, "documents")
+    n = docs.rdd.getNumPartitions()
+    assert "RoundRobinPartitioning" in plan(spread(docs, max(2, n)))
