@@ -53,7 +53,8 @@ class EchoGenerator:
 def generate(df: DataFrame, factory: Callable[[], Generator] = EchoGenerator, key: str = "conv_id",
              query: str = "query") -> DataFrame:
     """(key, query, response, ref_response) for every row of ``df``."""
-    slot = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+    # one generator per Python worker and factory object (two lambdas never share a slot)
+    slot = f"{getattr(factory, '__qualname__', type(factory).__name__)}:{id(factory)}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = _GENERATORS.get(slot)

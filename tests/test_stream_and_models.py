@@ -191,3 +191,10 @@ def test_rollout_step_logs_and_reads_back(spark, tmp_path):
     assert logged[1]["response"] == "beta beta alpha" and logged[1]["ref_response"] == "alpha beta beta"
     expected = {r["conv_id"]: r["ref_reward"] for r in out.collect()}
     assert {k: v["ref_rewards"] for k, v in logged.items()} == expected
+
+
+def test_generators_do_not_share_worker_cache(spark):
+    qs = spark.createDataFrame([(1, "a b c d")], "conv_id long, query string")
+    short = generate(qs, lambda: EchoGenerator(1)).first()
+    longer = generate(qs, lambda: EchoGenerator(3)).first()
+    assert (short["response"], longer["response"]) == ("d", "d c b")
