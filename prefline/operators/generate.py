@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from prefline.config import MAX_NEW_TOKENS
+from prefline.operators.workers import worker_slot
 
 _WORD = regex.compile(r"[\p{L}\p{N}_]+")
 _GENERATORS: dict = {}
@@ -53,8 +54,7 @@ class EchoGenerator:
 def generate(df: DataFrame, factory: Callable[[], Generator] = EchoGenerator, key: str = "conv_id",
              query: str = "query") -> DataFrame:
     """(key, query, response, ref_response) for every row of ``df``."""
-    # one generator per Python worker and factory object (two lambdas never share a slot)
-    slot = f"{getattr(factory, '__qualname__', type(factory).__name__)}:{id(factory)}"
+    slot = worker_slot(factory)  # one generator per Python worker and factory object
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = _GENERATORS.get(slot)

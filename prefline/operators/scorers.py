@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from prefline.config import SCORER_MAX_TOKENS
 from prefline.functions.text import distinct_count, words
+from prefline.operators.workers import worker_slot
 
 OUTPUT_TYPE = T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
                                         T.StructField("score", T.DoubleType())]))
@@ -177,7 +178,7 @@ class PandasTextScorer:
         self.name = name
         self.factory = factory
         self.max_tokens = max_tokens
-        key = (name, id(factory))
+        key = (name, worker_slot(factory))
 
         @F.pandas_udf(OUTPUT_TYPE)
         def _score(texts: pd.Series) -> pd.Series:
@@ -209,7 +210,7 @@ class PandasPairScorer:
                  max_tokens: int | None = SCORER_MAX_TOKENS):
         self.name = name
         self.max_tokens = max_tokens
-        key = (name, id(factory))
+        key = (name, worker_slot(factory))
 
         @F.pandas_udf(OUTPUT_TYPE)
         def _score(texts: pd.Series, pairs: pd.Series) -> pd.Series:
