@@ -229,3 +229,18 @@ def test_configure_cluster_sets_sql_conf(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_scorer_registry():
+    from prefline.operators.scorers import (OverlapPairScorer, RawScoreDetector, build_scorer, parse_spec,
+                                            register_scorer)
+    assert parse_spec("text-classification:some/model") == ("text-classification", "some/model")
+    for bad in ("no-colon", "a:b:c"):
+        with pytest.raises(ValueError):
+            parse_spec(bad)
+    assert isinstance(build_scorer("text-classification:wordstat-detector"), WordStatDetector)
+    assert isinstance(build_scorer("Binoculars"), RawScoreDetector)            # containment, any case
+    with pytest.raises(KeyError):
+        build_scorer("text-classification:unknown")
+    register_scorer("text-classification:mine", OverlapPairScorer)
+    assert isinstance(build_scorer("text-classification:mine"), OverlapPairScorer)
