@@ -72,12 +72,13 @@ def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SP
 
     A Parquet row group is never split, so a scan runs at most one busy task
     per row group, whatever the number of planned splits (Spark plans splits
-    by bytes, and a split holding no row-group start reads nothing).  An input
-    with fewer planned partitions than cores, or smaller than one typical row
-    group per core, cannot keep the cores busy; only such an input, and only
-    when its estimated size is at most ``max_bytes``, is redistributed
-    round-robin: a checked, bounded shuffle.  A large table (many row groups)
-    passes through untouched, as does an input that is already shuffled.
+    by bytes, and a split holding no row-group start reads nothing).  The busy
+    tasks are estimated as the planned splits, capped by the larger of the file
+    count and the data size in typical row groups; only an input with fewer
+    busy tasks than cores, and only when its estimated size is at most
+    ``max_bytes``, is redistributed round-robin: a checked, bounded shuffle.  A
+    large table (many row groups) passes through untouched, as does an input
+    that is already shuffled.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if n <= 1 or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
@@ -85,6 +86,7 @@ def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SP
     size = estimated_bytes(df)
     if size > max_bytes:
         return df
-    if df.rdd.getNumPartitions() < n or size < n * ROW_GROUP_BYTES:
-        return df.repartition(n)
-    return df
+    # busy scan tasks: at most the planned splits, at least one per file, and
+    # about one per typical row group of data
+    busy = min(df.rdd.getNumPartitions(), max(len(df.inputFiles()), -(-size // ROW_GROUP_BYTES)))
+    return df.repartition(n) if busy < n else df
