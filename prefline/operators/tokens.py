@@ -20,6 +20,7 @@ vocabularies, where it runs as a shuffle join instead of a broadcast.
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -135,15 +136,20 @@ class Encoder:
         self._bc.unpersist()
 
 
-_VALUE_SETS: dict = {}
+_VALUE_SETS: "OrderedDict[str, pa.Array]" = OrderedDict()
+_VALUE_SETS_MAX = 8  # vocabularies kept per long-lived Python worker
 
 
 def _value_set(src) -> pa.Array:
-    """The vocabulary as an Arrow array, built once per Python worker."""
+    """The vocabulary as an Arrow array, built once per Python worker (small LRU)."""
     key, bc = src
     vs = _VALUE_SETS.get(key)
     if vs is None:
         vs = _VALUE_SETS[key] = pa.array(bc.value, type=pa.string())
+        while len(_VALUE_SETS) > _VALUE_SETS_MAX:
+            _VALUE_SETS.popitem(last=False)
+    else:
+        _VALUE_SETS.move_to_end(key)
     return vs
 
 
