@@ -34,8 +34,13 @@ def as_stream_glob(path: str) -> str:
     return f"{head}/{{{last}}}"
 
 
+# Files per micro-batch: a large backlog is worked off in bounded batches, each
+# committed to the checkpoint before the next starts (availableNow honours it).
+MAX_FILES_PER_TRIGGER = 1000
+
+
 def start_scoring(spark: SparkSession, source_path: str, sink_path: str, checkpoint: str,
-                  max_files_per_trigger: int | None = None, available_now: bool = True):
+                  max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, available_now: bool = True):
     reader = spark.readStream.schema(SCHEMAS["conversations"])
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -198,3 +198,19 @@ def test_generators_do_not_share_worker_cache(spark):
     short = generate(qs, lambda: EchoGenerator(1)).first()
     longer = generate(qs, lambda: EchoGenerator(3)).first()
     assert (short["response"], longer["response"]) == ("d", "d c b")
+
+
+def test_stream_backlog_in_bounded_batches(spark):
+    from prefline.streaming.score_stream import start_scoring
+    d = tempfile.mkdtemp(prefix="prefline-src-")
+    table = pq.read_table(table_path(SF_SMALL, "conversations"))
+    step = table.num_rows // 3 + 1
+    for i in range(3):
+        pq.write_table(table.slice(i * step, step), os.path.join(d, f"part-{i}.parquet"))
+    sink, ckpt = tempfile.mkdtemp(prefix="prefline-sink-"), tempfile.mkdtemp(prefix="prefline-ckpt-")
+    q = start_scoring(spark, d, sink, ckpt, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
+    assert len(batches) == 3
+    expected = score_turns(read_table(spark, SF_SMALL, "conversations")).count()
+    assert spark.read.parquet(sink).count() == expected
