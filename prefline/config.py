@@ -43,6 +43,17 @@ SWEEP_SPACE = {
 SWEEP_COUNT = 10
 # Log cadence: first step, then every 10th.
 LOG_EVERY = 10
+# Dispatch rules: the score kept from a label array is the one labelled
+# "human" (compared lower-cased); a scorer whose name contains "binoculars"
+# is the raw-score detector; model names containing "mistral", then "gemma",
+# select the answer format; a dataset name containing "dove" holds nested
+# conversations.
+HUMAN_LABEL = "human"
+RAW_DETECTOR_MARKER = "binoculars"
+MODEL_FAMILY_MARKERS = ("mistral", "gemma")
+NESTED_SOURCE_MARKER = "dove"
+# A word: a run of Unicode letters, digits or underscore (Python's Unicode \w).
+WORD_PATTERN = r"[\p{L}\p{N}_]+"
 
 
 @dataclass(frozen=True)

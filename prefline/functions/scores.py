@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefline.config import CAP_MAX, CAP_RANGE, HUMAN_SCORE_DIVISOR
+from prefline.config import CAP_MAX, CAP_RANGE, HUMAN_LABEL, HUMAN_SCORE_DIVISOR
 
 
 def _c(col) -> Column:
@@ -58,7 +58,7 @@ def weighted(helpful, human, weight: float = 0.5, divisor: float = HUMAN_SCORE_D
     return F.lit(float(weight)) * _c(helpful).cast("double") + F.lit(1.0 - float(weight)) * normalized
 
 
-def label_score(outputs, label: str = "human") -> Column:
+def label_score(outputs, label: str = HUMAN_LABEL) -> Column:
     """Score of the first entry whose label equals ``label`` ignoring case.
 
     Null when no entry matches (such rows are quarantined by the caller).
@@ -67,7 +67,7 @@ def label_score(outputs, label: str = "human") -> Column:
     return F.get(hits, 0)["score"]
 
 
-def label_hits(outputs, label: str = "human") -> Column:
+def label_hits(outputs, label: str = HUMAN_LABEL) -> Column:
     return F.size(F.filter(_c(outputs), lambda o: F.lower(o["label"]) == F.lit(label.lower())))
 
 

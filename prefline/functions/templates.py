@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefline.config import (DEFAULT_EOS, GEMMA_ANSWER_END, GEMMA_ANSWER_START,
+from prefline.config import (DEFAULT_EOS, GEMMA_ANSWER_END, GEMMA_ANSWER_START, MODEL_FAMILY_MARKERS,
                              TEMPLATE_MESSAGE_END, TEMPLATE_SEPARATOR)
 
 
@@ -84,10 +84,9 @@ def default_answer(text, eos: str = DEFAULT_EOS) -> Column:
 def model_family(model_name: str) -> str:
     """first match wins: mistral, then gemma, else the default template."""
     name = model_name.lower()
-    if "mistral" in name:
-        return "mistral"
-    if "gemma" in name:
-        return "gemma"
+    for marker in MODEL_FAMILY_MARKERS:
+        if marker in name:
+            return marker
     return "default"
 
 

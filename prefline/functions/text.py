@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A word is a run of Unicode letters, digits or underscore: the same set as
-# Python's Unicode ``\w``.  Java's plain ``\w`` is ASCII-only, so the class is
-# spelled out; DuckDB's RE2 accepts the same spelling.
-WORD_PATTERN = r"[\p{L}\p{N}_]+"
+from prefline.config import WORD_PATTERN
+
+# Java's plain ``\w`` is ASCII-only, so the word class is spelled out
+# (``config.WORD_PATTERN``); DuckDB's RE2 accepts the same spelling.
 
 
 def _c(col) -> Column:

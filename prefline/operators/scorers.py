@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefline.config import SCORER_MAX_TOKENS
+from prefline.config import RAW_DETECTOR_MARKER, SCORER_MAX_TOKENS
 from prefline.functions.text import distinct_count, words
 from prefline.operators.workers import worker_slot
 
@@ -119,7 +119,7 @@ class WordStatDetector(ExpressionScorer):
 class RawScoreDetector(ExpressionScorer):
     """Single raw-score stand-in for the 'binoculars' branch (R2)."""
 
-    name = "binoculars"
+    name = RAW_DETECTOR_MARKER
 
     def raw(self, text, w=None) -> Column:
         return capped_raw(text, w)
@@ -237,7 +237,7 @@ class PandasPairScorer:
 _REGISTRY: dict[str, Callable[[], object]] = {
     "text-classification:wordstat-detector": WordStatDetector,
     "text-classification:overlap-reward": OverlapPairScorer,
-    "binoculars": RawScoreDetector,
+    RAW_DETECTOR_MARKER: RawScoreDetector,
 }
 
 
@@ -255,12 +255,12 @@ def parse_spec(spec: str) -> tuple[str, str]:
 
 def is_raw_detector(name: str) -> bool:
     """the raw-score detector branch, by case-insensitive containment."""
-    return "binoculars" in name.lower()
+    return RAW_DETECTOR_MARKER in name.lower()
 
 
 def build_scorer(spec: str):
     if is_raw_detector(spec):
-        return _REGISTRY["binoculars"]()
+        return _REGISTRY[RAW_DETECTOR_MARKER]()
     parse_spec(spec)
     if spec not in _REGISTRY:
         raise KeyError(f"no scorer registered for {spec!r}")

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from prefline.config import (CAP_RANGE, DEFAULT_EOS, GEMMA_ANSWER_END, GEMMA_ANSWER_START,
                              HUMAN_SCORE_DIVISOR, MIN_REVIEW_CHARS, PREFERENCE_SYSTEM_PROMPT,
-                             QUERY_SYSTEM_PROMPT)
+                             QUERY_SYSTEM_PROMPT, WORD_PATTERN)
 
-WORD_RE = r"'[\p{L}\p{N}_]+'"
+WORD_RE = f"'{WORD_PATTERN}'"
 
 
 def q(s: str) -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefline.config import NESTED_SOURCE_MARKER
 from prefline.operators.pairs import first_queries
 
 
@@ -35,8 +36,8 @@ def nested_queries(df: DataFrame) -> DataFrame:
 
 
 def adapt_queries(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
-    """Dispatch on the schema.  ``dataset_name`` containing 'dove' forces the nested adapter."""
-    if (dataset_name and "dove" in dataset_name) or "conversation" in df.columns:
+    """Dispatch on the schema; a ``dataset_name`` containing ``NESTED_SOURCE_MARKER`` forces the nested adapter."""
+    if (dataset_name and NESTED_SOURCE_MARKER in dataset_name) or "conversation" in df.columns:
         return nested_queries(df)
     if {"conv_id", "turn", "role", "text"} <= set(df.columns):
         return first_queries(df)
