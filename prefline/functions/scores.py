@@ -67,10 +67,6 @@ def label_score(outputs, label: str = HUMAN_LABEL) -> Column:
     return F.get(hits, 0)["score"]
 
 
-def label_hits(outputs, label: str = HUMAN_LABEL) -> Column:
-    return F.size(F.filter(_c(outputs), lambda o: F.lower(o["label"]) == F.lit(label.lower())))
-
-
 def top_score(outputs) -> Column:
     """Score of the best label (the classifier lists labels best first).
 

@@ -244,3 +244,11 @@ def test_scorer_registry():
         build_scorer("text-classification:unknown")
     register_scorer("text-classification:mine", OverlapPairScorer)
     assert isinstance(build_scorer("text-classification:mine"), OverlapPairScorer)
+
+
+def test_conversation_messages_ordered(spark):
+    rows = [(7, 2, "assistant", "c"), (7, 0, "system", "a"), (7, 1, "user", "b"), (8, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: [(m["role"], m["content"]) for m in r["messages"]]
+           for r in P.conversation_messages(df).collect()}
+    assert got == {7: [("system", "a"), ("user", "b"), ("assistant", "c")], 8: [("user", "x")]}
