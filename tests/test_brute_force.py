@@ -160,3 +160,26 @@ def test_known_render_equals_array_render(spark, rows, with_sys):
     c = df.select(TM.default_answer(F.col("s")).alias("p")).collect()
     d = df.select(TM.render(F.array(TM.message("assistant", F.col("s")))).alias("p")).collect()
     assert c == d
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["a", "b", "é", "ü1", "_x", "zz", "q"]), max_size=8)),
+                min_size=1, max_size=12),
+       st.integers(min_value=1, max_value=5))
+def test_arrow_encoder_equals_dict_lookup(spark, lists, v):
+    from prefline.config import TokenConfig
+    from prefline.operators.tokens import Encoder, build_vocab
+    corpus = spark.createDataFrame([("a a a b b é ü1 _x zz",)], "text string")
+    cfg = TokenConfig(vocab_size=v)
+    vocab = build_vocab(corpus, "text", cfg)
+    ids = {r["tok"]: r["id"] for r in vocab.collect()}
+    enc = Encoder(spark, vocab, cfg)
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], "i long, w array<string>")
+    rows = df.select("i", enc.encode("w").alias("e")).select("i", "e", enc.decode("e").alias("d")).collect()
+    for r in rows:
+        words_ = lists[r["i"]]
+        if words_ is None:
+            assert r["e"] is None and r["d"] is None
+            continue
+        assert r["e"] == [ids.get(t, cfg.unk_id) for t in words_]
+        assert r["d"] == " ".join(t for t in words_ if t in ids)
