@@ -78,11 +78,16 @@ def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SP
     busy tasks than cores, and only when its estimated size is at most
     ``max_bytes``, is redistributed round-robin: a checked, bounded shuffle.  A
     large table (many row groups) passes through untouched, as does an input
-    that is already shuffled.
+    that is already shuffled or laid out in buckets.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if n <= 1 or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    plan = df._jdf.queryExecution().executedPlan()
+    if n <= 1 or "Exchange" in plan.toString():
         return df  # one core, or already spread over shuffle partitions
+    # a deliberate layout (bucketed table) keeps its partitioning; checked before
+    # Spark's rule that turns bucketed reads off where the plan so far gains nothing
+    if "UnknownPartitioning" not in df._jdf.queryExecution().sparkPlan().outputPartitioning().toString():
+        return df
     size = estimated_bytes(df)
     if size > max_bytes:
         return df

@@ -12,8 +12,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from prefline.session import checkpoint_root, local_session
-    s = local_session("*", shuffle_partitions=8)
+    s = local_session("*", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="prefline-wh-")})
     checkpoint_root(s)  # tests: a private folder, only because none is configured
     yield s
     s.stop()

@@ -163,3 +163,23 @@ def test_spread_sees_row_group_granularity(spark):
     docs = read_table(spark, SF_SMALL, "documents")
     n = docs.rdd.getNumPartitions()
     assert "RoundRobinPartitioning" in plan(spread(docs, max(2, n)))
+
+
+def test_bucketed_layout_removes_exchanges(spark, tmp_path):
+    from prefline.operators.pairs import first_queries
+    from prefline.operators.quarantine import quarantine
+    from prefline.sources.layout import bucket_tables
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # large-table planning
+    try:
+        tables = bucket_tables(spark, SF_SMALL, 4, prefix=f"t{abs(hash(str(tmp_path))) % 10**6}_")
+        conv, docs, labels = (spark.table(tables[n]) for n in ("conversations", "documents", "labels"))
+        p = final_plan(first_queries(conv))
+        assert "Exchange hashpartitioning" not in p
+        _, bad = quarantine(docs, labels)
+        p = final_plan(bad)
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning(doc_id" not in p.split("SortMergeJoin")[1]
+        assert bad.count() == quarantine(read_table(spark, SF_SMALL, "documents"),
+                                         read_table(spark, SF_SMALL, "labels"))[1].count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
