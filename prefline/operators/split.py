@@ -52,6 +52,23 @@ def _histogram(df: DataFrame, h: Column, prefix_len: int, restrict: str | None =
             .orderBy("b").collect())
 
 
+def _histograms(df: DataFrame, hs: list[Column]) -> list[list]:
+    """First-level histograms of several hash orders in one pass (grouping sets)."""
+    if len(hs) == 1:
+        return [_histogram(df, hs[0], DIGITS_PER_LEVEL)]
+    names = [f"_b{i}" for i in range(len(hs))]
+    buckets = df.select(*[F.substring(h, 1, DIGITS_PER_LEVEL).alias(n) for h, n in zip(hs, names)])
+    rows = (buckets.groupingSets([[n] for n in names], *names)
+            .agg(F.count("*").alias("c"), F.grouping_id().alias("_g")).collect())
+    out = []
+    full = (1 << len(names)) - 1
+    for i, n in enumerate(names):
+        gid = full ^ (1 << (len(names) - 1 - i))   # every column but n is grouped away
+        out.append(sorted(({"b": r[n], "c": r["c"]} for r in rows if r["_g"] == gid and r[n] is not None),
+                          key=lambda r: r["b"]))
+    return out
+
+
 def _kth(df: DataFrame, key: str, h: Column, k: int, hist: list) -> tuple[str, object]:
     """(hash, key) of the k-th smallest row (1-based), given the first-level histogram."""
     prefix_len, before = DIGITS_PER_LEVEL, 0
@@ -73,10 +90,10 @@ def _kth(df: DataFrame, key: str, h: Column, k: int, hist: list) -> tuple[str, o
         hist = _histogram(df, h, prefix_len, bucket)
 
 
-def find_cut(df: DataFrame, key: str, k_of_n, seed) -> Cut:
+def find_cut(df: DataFrame, key: str, k_of_n, seed, hist: list | None = None) -> Cut:
     """Cut after the first ``k_of_n(n)`` rows in (md5(seed|key), key) order."""
     h = hash_key(seed, F.col(key))
-    hist = _histogram(df, h, DIGITS_PER_LEVEL)
+    hist = hist if hist is not None else _histogram(df, h, DIGITS_PER_LEVEL)
     n = sum(r["c"] for r in hist)
     k = k_of_n(n)
     if k <= 0 or k >= n:
@@ -114,11 +131,13 @@ def key_set(df: DataFrame, key: str, materialize: bool | None = None) -> DataFra
 def split_cuts(df: DataFrame, key: str, cfg: SplitConfig, materialize: bool | None = None):
     """(keys, train cut, eval seed, eval cut or None) for ``cfg``."""
     keys = key_set(df, key, materialize)
-    train_cut = find_cut(keys, key, lambda n: train_count(cfg.fraction, n), cfg.seed)
     if cfg.mode == "disjoint":
-        return keys, train_cut, None, None
+        return keys, find_cut(keys, key, lambda n: train_count(cfg.fraction, n), cfg.seed), None, None
     eval_seed = cfg.eval_seed if cfg.eval_seed is not None else cfg.seed + 1
-    eval_cut = find_cut(keys, key, lambda n: n - train_count(cfg.fraction, n), eval_seed)
+    # both orders' histograms in one pass over the keys
+    h_train, h_eval = _histograms(keys, [hash_key(cfg.seed, F.col(key)), hash_key(eval_seed, F.col(key))])
+    train_cut = find_cut(keys, key, lambda n: train_count(cfg.fraction, n), cfg.seed, h_train)
+    eval_cut = find_cut(keys, key, lambda n: n - train_count(cfg.fraction, n), eval_seed, h_eval)
     return keys, train_cut, eval_seed, eval_cut
 
 

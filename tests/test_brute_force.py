@@ -183,3 +183,17 @@ def test_arrow_encoder_equals_dict_lookup(spark, lists, v):
             continue
         assert r["e"] == [ids.get(t, cfg.unk_id) for t in words_]
         assert r["d"] == " ".join(t for t in words_ if t in ids)
+
+
+@SETTINGS
+@given(st.lists(st.integers(min_value=0, max_value=10**9), min_size=1, max_size=60, unique=True),
+       st.floats(min_value=0, max_value=1), st.integers(min_value=0, max_value=99))
+def test_independent_split_equals_two_global_sorts(spark, keys, frac, seed):
+    from prefline.config import SplitConfig
+    from prefline.operators.split import split_flags
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    rows = split_flags(df, "k", SplitConfig(frac, seed, mode="independent", eval_seed=seed + 7)).collect()
+    k = int(frac * len(keys))
+    by = lambda s: sorted(keys, key=lambda x: (hashlib.md5(f"{s}|{x}".encode()).hexdigest(), x))
+    assert {r["k"] for r in rows if r["in_train"]} == set(by(seed)[:k])
+    assert {r["k"] for r in rows if r["in_eval"]} == set(by(seed + 7)[:len(keys) - k])
