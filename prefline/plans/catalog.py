@@ -52,15 +52,15 @@ def scored_rollout(spark: SparkSession, root: str) -> DataFrame:
     return R.pair_scores(df, OverlapPairScorer())
 
 
-def pairs_frame(spark, root) -> DataFrame:
+def pairs_frame(spark: SparkSession, root: str) -> DataFrame:
     return preference_pairs(_t(spark, root, "conversations"))
 
 
-def vocabulary(spark, root, cfg: TokenConfig = TokenConfig()) -> DataFrame:
+def vocabulary(spark: SparkSession, root: str, cfg: TokenConfig = TokenConfig()) -> DataFrame:
     return build_vocab(_t(spark, root, "documents"), "text", cfg)
 
 
-def pair_margins(spark, root) -> DataFrame:
+def pair_margins(spark: SparkSession, root: str) -> DataFrame:
     """x = human_logit(chosen) - human_logit(rejected) per pair (stands in for log-ratios)."""
     pairs = pairs_frame(spark, root)
     return pairs.select("conv_id", (human_logit("chosen") - human_logit("rejected")).alias("x"))
@@ -71,33 +71,33 @@ SCALE_RANGES = (("logit_to_unit", -6.0, 2.0, 0.0, 1.0),
                 ("reversed", -6.0, 2.0, 1.0, -1.0))
 
 
-def q01_project_rename(spark, root):
+def q01_project_rename(spark: SparkSession, root: str) -> DataFrame:
     docs = _t(spark, root, "documents").withColumnRenamed("text", "review")
     return docs.select("doc_id", "review")
 
 
-def q02_first_query(spark, root):
+def q02_first_query(spark: SparkSession, root: str) -> DataFrame:
     return adapt_queries(_t(spark, root, "conversations")).select("conv_id", "query")
 
 
-def q03_min_chars(spark, root):
+def q03_min_chars(spark: SparkSession, root: str) -> DataFrame:
     # n_chars equals char_length(text) on these tables and pushes down to the scan;
     # char_length(text) is the general form (F2) used when n_chars is absent.
     docs = _t(spark, root, "documents")
     return docs.where(F.col("n_chars") > MIN_REVIEW_CHARS).select("doc_id", "n_chars")
 
 
-def q04_prompt(spark, root):
+def q04_prompt(spark: SparkSession, root: str) -> DataFrame:
     qs = first_queries(_t(spark, root, "conversations"))
     return qs.select("conv_id", TM.user_prompt(F.col("query")).alias("prompt"))
 
 
-def q05_prompt_system(spark, root):
+def q05_prompt_system(spark: SparkSession, root: str) -> DataFrame:
     qs = first_queries(_t(spark, root, "conversations"))
     return qs.select("conv_id", TM.user_prompt(F.col("query"), QUERY_SYSTEM_PROMPT).alias("prompt"))
 
 
-def q06_encode_filter(spark, root):
+def q06_encode_filter(spark: SparkSession, root: str) -> DataFrame:
     # F1 on the token count (the count the encoder would produce); the ids are
     # not part of the output, so no array is built and nothing is encoded.
     docs = spread(_t(spark, root, "documents").select("doc_id", "text"))
@@ -105,7 +105,7 @@ def q06_encode_filter(spark, root):
     return docs.where(F.col("n_tokens") <= DATASET_MAX_TOKENS).select("doc_id", "n_tokens")
 
 
-def q07_pad_mask(spark, root):
+def q07_pad_mask(spark: SparkSession, root: str) -> DataFrame:
     enc = Encoder(spark, vocabulary(spark, root))
     cfg = DatasetConfig(max_length=40, padding=True, padding_side="left")
     ds = build_query_dataset(_t(spark, root, "conversations"), enc, cfg)
@@ -113,44 +113,44 @@ def q07_pad_mask(spark, root):
                      F.array_join("attention_mask", ",").alias("mask"), "n_tokens")
 
 
-def q08_random_prefix(spark, root):
+def q08_random_prefix(spark: SparkSession, root: str) -> DataFrame:
     enc = Encoder(spark, vocabulary(spark, root))
     ds = build_prefix_dataset(_t(spark, root, "documents"), enc)
     return ds.select("doc_id", "k", "query")
 
 
-def q09_pref_mistral(spark, root):
+def q09_pref_mistral(spark: SparkSession, root: str) -> DataFrame:
     out = P.process(pairs_frame(spark, root), "mistralai/Mistral-7B-Instruct-v0.2")
     return out.select("conv_id", "prompt", "chosen", "rejected")
 
 
-def q10_pref_gemma(spark, root):
+def q10_pref_gemma(spark: SparkSession, root: str) -> DataFrame:
     out = P.process(pairs_frame(spark, root), "google/gemma-1.1-2b-it", sys_prompt=True)
     return out.select("conv_id", "prompt", "chosen", "rejected")
 
 
-def q11_pref_default(spark, root):
+def q11_pref_default(spark: SparkSession, root: str) -> DataFrame:
     out = P.process(pairs_frame(spark, root), "microsoft/Phi-3-mini-4k-instruct")
     return out.select("conv_id", "prompt", "chosen", "rejected")
 
 
-def q12_pref_messages(spark, root):
+def q12_pref_messages(spark: SparkSession, root: str) -> DataFrame:
     rows = P.message_preference_rows(_t(spark, root, "conversations"))
     out = P.process(rows, "microsoft/Phi-3-mini-4k-instruct")
     return out.select("conv_id", "prompt", "chosen", "rejected")
 
 
-def q13_split(spark, root):
+def q13_split(spark: SparkSession, root: str) -> DataFrame:
     return split_parts(pairs_frame(spark, root).select("conv_id"), "conv_id",
                        SplitConfig(fraction=0.8, seed=42)).select("conv_id", "part")
 
 
-def q14_split_independent(spark, root):
+def q14_split_independent(spark: SparkSession, root: str) -> DataFrame:
     cfg = SplitConfig(fraction=0.8, seed=42, mode="independent", eval_seed=43)
     return split_parts(pairs_frame(spark, root).select("conv_id"), "conv_id", cfg).select("conv_id", "part")
 
 
-def q15_scale(spark, root):
+def q15_scale(spark: SparkSession, root: str) -> DataFrame:
     df = WordStatDetector().score_frame(rollout_frame(spark, root), "response", "__out")
     raw = S.label_score("__out")
     rows = F.array(*[F.struct(F.lit(name).alias("rng"), S.scale(raw, *b).alias("scaled"))
@@ -158,33 +158,33 @@ def q15_scale(spark, root):
     return df.select("conv_id", F.explode(rows).alias("r")).select("conv_id", "r.rng", "r.scaled")
 
 
-def q16_capped(spark, root):
+def q16_capped(spark: SparkSession, root: str) -> DataFrame:
     df = R.human_scores(rollout_frame(spark, root), RawScoreDetector(), "binoculars")
     return df.select("conv_id", "human", "ref_human")
 
 
-def q17_human_label(spark, root):
+def q17_human_label(spark: SparkSession, root: str) -> DataFrame:
     df = R.human_scores(rollout_frame(spark, root), WordStatDetector())
     return df.select("conv_id", "human", "ref_human")
 
 
-def q18_pair_score(spark, root):
+def q18_pair_score(spark: SparkSession, root: str) -> DataFrame:
     df = R.pair_scores(rollout_frame(spark, root), OverlapPairScorer())
     return df.select("conv_id", "helpful", "ref_helpful")
 
 
-def q19_reward_min(spark, root):
+def q19_reward_min(spark: SparkSession, root: str) -> DataFrame:
     df = R.combine(scored_rollout(spark, root), RewardConfig(use_min=True))
     return df.select("conv_id", "reward", "ref_reward")
 
 
-def q20_reward_weighted(spark, root):
+def q20_reward_weighted(spark: SparkSession, root: str) -> DataFrame:
     df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
     return df.select("conv_id", "reward", "ref_reward",
                      (F.col("reward") - F.col("ref_reward")).alias("margin"))
 
 
-def q21_reward_single(spark, root):
+def q21_reward_single(spark: SparkSession, root: str) -> DataFrame:
     ro = rollout_frame(spark, root)
     human = R.compute_reward(ro, WordStatDetector(), None, RewardConfig()) \
         .select("conv_id", F.lit("human_only").alias("mode"), "reward", "ref_reward")
@@ -193,7 +193,7 @@ def q21_reward_single(spark, root):
     return human.unionByName(normal)
 
 
-def q22_reward_log(spark, root):
+def q22_reward_log(spark: SparkSession, root: str) -> DataFrame:
     df = R.combine(scored_rollout(spark, root), RewardConfig(hf_model_weight=0.5))
     df = df.withColumnRenamed("ref_reward", "ref_rewards")
     path = f"{checkpoint_root(spark)}/rollout_log"
@@ -202,61 +202,61 @@ def q22_reward_log(spark, root):
     return read_log(spark, path, run_id).select("conv_id", *LOG_COLUMNS)
 
 
-def q23_word_count(spark, root):
+def q23_word_count(spark: SparkSession, root: str) -> DataFrame:
     docs = spread(_t(spark, root, "documents").select("doc_id", "text"))
     return docs.select("doc_id", word_count("text").cast("long").alias("n_words"))
 
 
-def q24_net_length(spark, root):
+def q24_net_length(spark: SparkSession, root: str) -> DataFrame:
     df = rollout_frame(spark, root)
     return df.select("conv_id", (F.size(words("response")) - F.size(words("query"))).cast("long").alias("net_words"))
 
 
-def q25_trials(spark, root):
+def q25_trials(spark: SparkSession, root: str) -> DataFrame:
     # The sweep trains on the whole preference set (split 1): every trial's
     # schedule follows the number of pairs the data yields.
     n_train = pairs_frame(spark, root).select(F.count("*")).scalar()
     return with_schedule(trial_table(spark, SWEEP_COUNT), n_train)
 
 
-def q26_trial_loss(spark, root):
+def q26_trial_loss(spark: SparkSession, root: str) -> DataFrame:
     return trial_losses(pair_margins(spark, root), trial_table(spark, SWEEP_COUNT))
 
 
-def q27_best_trials(spark, root):
+def q27_best_trials(spark: SparkSession, root: str) -> DataFrame:
     return best_trials(q26_trial_loss(spark, root), 3).select("trial", "loss")
 
 
-def q28_split_leak(spark, root):
+def q28_split_leak(spark: SparkSession, root: str) -> DataFrame:
     return split_audit(pairs_frame(spark, root).select("conv_id"), "conv_id", 0.8, 42, 43)
 
 
-def q29_quarantine(spark, root):
+def q29_quarantine(spark: SparkSession, root: str) -> DataFrame:
     _, bad = quarantine(_t(spark, root, "documents"), _t(spark, root, "labels"))
     return bad.select("doc_id", "reason")
 
 
-def q30_vocab(spark, root):
+def q30_vocab(spark: SparkSession, root: str) -> DataFrame:
     return vocabulary(spark, root)
 
 
-def q31_generate(spark, root):
+def q31_generate(spark: SparkSession, root: str) -> DataFrame:
     qs = first_queries(_t(spark, root, "conversations"))
     return generate(qs, EchoGenerator).select("conv_id", "response", "ref_response")
 
 
-def q32_ml_scorer(spark, root):
+def q32_ml_scorer(spark: SparkSession, root: str) -> DataFrame:
     docs = _t(spark, root, "documents").select("doc_id", "text")
     labelled = docs.join(_t(spark, root, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     scorer = LinearTextScorer().fit(labelled, "text", "label")
     return scorer.probability(docs, "text", "score").select("doc_id", "score")
 
 
-def q33_stream_score(spark, root):
+def q33_stream_score(spark: SparkSession, root: str) -> DataFrame:
     return score_new_turns(spark, table_path(root, "conversations")).select("conv_id", "turn", "score")
 
 
-def q34_rollout_reward(spark, root):
+def q34_rollout_reward(spark: SparkSession, root: str) -> DataFrame:
     """R11 end to end: first user turns -> generated answers -> rewards."""
     qs = first_queries(_t(spark, root, "conversations"))
     out = rollout_rewards(qs, WordStatDetector(), OverlapPairScorer(), RewardConfig(hf_model_weight=0.5))
