@@ -69,8 +69,9 @@ def _histograms(df: DataFrame, hs: list[Column]) -> list[list]:
     return out
 
 
-def _kth(df: DataFrame, key: str, h: Column, k: int, hist: list) -> tuple[str, object]:
-    """(hash, key) of the k-th smallest row (1-based), given the first-level histogram."""
+def _locate(df: DataFrame, h: Column, k: int, hist: list) -> tuple[str, int, int]:
+    """(bucket prefix, prefix length, rank inside it) of the k-th smallest row,
+    refining the bucket by more hex digits while it holds more than LOCAL_MAX rows."""
     prefix_len, before = DIGITS_PER_LEVEL, 0
     while True:
         cum = before
@@ -80,25 +81,47 @@ def _kth(df: DataFrame, key: str, h: Column, k: int, hist: list) -> tuple[str, o
                 break
             cum += row["c"]
         if count <= LOCAL_MAX or prefix_len >= 32:
-            r = k - cum
-            inner = df.where(F.substring(h, 1, prefix_len) == F.lit(bucket)) \
-                .select(h.alias("_h"), F.col(key).alias("_k"))
-            last = inner.orderBy("_h", "_k").limit(r).orderBy(F.desc("_h"), F.desc("_k")).first()
-            return last["_h"], last["_k"]
+            return bucket, prefix_len, k - cum
         before = cum
         prefix_len = min(32, prefix_len + DIGITS_PER_LEVEL)
         hist = _histogram(df, h, prefix_len, bucket)
 
 
+def _thresholds(df: DataFrame, key: str, targets: list) -> list[tuple[str, object]]:
+    """(hash, key) of the r-th row inside each located bucket, all in one job:
+    a union of bounded probes (each a top-r of at most LOCAL_MAX rows, then its last row)."""
+    probes = None
+    for i, (h, bucket, prefix_len, r) in enumerate(targets):
+        inner = df.where(F.substring(h, 1, prefix_len) == F.lit(bucket)) \
+            .select(F.lit(i).alias("_i"), h.alias("_h"), F.col(key).alias("_k"))
+        last = inner.orderBy("_h", "_k").limit(r).orderBy(F.desc("_h"), F.desc("_k")).limit(1)
+        probes = last if probes is None else probes.unionByName(last)
+    rows = {r["_i"]: (r["_h"], r["_k"]) for r in probes.collect()}
+    return [rows[i] for i in range(len(targets))]
+
+
+def _cuts(df: DataFrame, key: str, orders: list) -> list[Cut]:
+    """Cuts for several (seed, k_of_n, histogram) orders; thresholds read in one job."""
+    cuts, targets, slots = [], [], []
+    for seed, k_of_n, hist in orders:
+        n = sum(r["c"] for r in hist)
+        k = k_of_n(n)
+        cuts.append(Cut(n, k, None))
+        if 0 < k < n:
+            h = hash_key(seed, F.col(key))
+            targets.append((h, *_locate(df, h, k, hist)))
+            slots.append(len(cuts) - 1)
+    if targets:
+        for slot, thr in zip(slots, _thresholds(df, key, targets)):
+            cuts[slot] = Cut(cuts[slot].n, cuts[slot].k, thr)
+    return cuts
+
+
 def find_cut(df: DataFrame, key: str, k_of_n, seed, hist: list | None = None) -> Cut:
     """Cut after the first ``k_of_n(n)`` rows in (md5(seed|key), key) order."""
-    h = hash_key(seed, F.col(key))
-    hist = hist if hist is not None else _histogram(df, h, DIGITS_PER_LEVEL)
-    n = sum(r["c"] for r in hist)
-    k = k_of_n(n)
-    if k <= 0 or k >= n:
-        return Cut(n, k, None)
-    return Cut(n, k, _kth(df, key, h, k, hist))
+    if hist is None:
+        hist = _histogram(df, hash_key(seed, F.col(key)), DIGITS_PER_LEVEL)
+    return _cuts(df, key, [(seed, k_of_n, hist)])[0]
 
 
 def within(key_col: Column, seed, cut: Cut) -> Column:
@@ -134,10 +157,10 @@ def split_cuts(df: DataFrame, key: str, cfg: SplitConfig, materialize: bool | No
     if cfg.mode == "disjoint":
         return keys, find_cut(keys, key, lambda n: train_count(cfg.fraction, n), cfg.seed), None, None
     eval_seed = cfg.eval_seed if cfg.eval_seed is not None else cfg.seed + 1
-    # both orders' histograms in one pass over the keys
+    # both orders' histograms in one pass over the keys, both thresholds in one more
     h_train, h_eval = _histograms(keys, [hash_key(cfg.seed, F.col(key)), hash_key(eval_seed, F.col(key))])
-    train_cut = find_cut(keys, key, lambda n: train_count(cfg.fraction, n), cfg.seed, h_train)
-    eval_cut = find_cut(keys, key, lambda n: n - train_count(cfg.fraction, n), eval_seed, h_eval)
+    train_cut, eval_cut = _cuts(keys, key, [(cfg.seed, lambda n: train_count(cfg.fraction, n), h_train),
+                                            (eval_seed, lambda n: n - train_count(cfg.fraction, n), h_eval)])
     return keys, train_cut, eval_seed, eval_cut
 
 

@@ -84,3 +84,11 @@ def test_leak_audit_join_form(spark):
     r = SP.leak_audit(a, b, "k").first()
     assert (r["n_eval"], r["n_leak"]) == (10, 5)
     assert F is not None
+
+
+def test_independent_split_refines_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(SP, "LOCAL_MAX", 3)
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    rows = SP.split_flags(df, "k", SplitConfig(0.37, 5, mode="independent", eval_seed=9)).collect()
+    assert sum(r["in_train"] for r in rows) == int(0.37 * 3000)
+    assert sum(r["in_eval"] for r in rows) == 3000 - int(0.37 * 3000)
