@@ -214,3 +214,20 @@ def test_stream_backlog_in_bounded_batches(spark):
     assert len(batches) == 3
     expected = score_turns(read_table(spark, SF_SMALL, "conversations")).count()
     assert spark.read.parquet(sink).count() == expected
+
+
+def test_encoder_result_independent_of_arrow_batch_size(spark):
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    cfg = TokenConfig(vocab_size=300)
+    docs = read_table(spark, SF_SMALL, "documents").select("doc_id", words("text").alias("w"))
+    enc = Encoder(spark, build_vocab(read_table(spark, SF_SMALL, "documents"), "text", cfg), cfg)
+    base = {r["doc_id"]: r["e"] for r in docs.select("doc_id", enc.encode("w").alias("e")).collect()}
+    try:
+        spark.conf.set(keys[0], str(64 << 10))
+        spark.conf.set(keys[1], "7")
+        small = {r["doc_id"]: r["e"] for r in docs.select("doc_id", enc.encode("w").alias("e")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert small == base
