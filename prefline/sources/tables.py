@@ -92,6 +92,10 @@ def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SP
     if size > max_bytes:
         return df
     # busy scan tasks: at most the planned splits, at least one per file, and
-    # about one per typical row group of data
-    busy = min(df.rdd.getNumPartitions(), max(len(df.inputFiles()), -(-size // ROW_GROUP_BYTES)))
-    return df.repartition(n) if busy < n else df
+    # about one per typical row group of data; the file list is consulted last
+    planned = df.rdd.getNumPartitions()
+    if planned < n:
+        return df.repartition(n)
+    if -(-size // ROW_GROUP_BYTES) >= n or len(df.inputFiles()) >= n:
+        return df
+    return df.repartition(n)
