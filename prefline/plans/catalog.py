@@ -198,8 +198,9 @@ def q22_reward_log(spark: SparkSession, root: str) -> DataFrame:
     df = df.withColumnRenamed("ref_reward", "ref_rewards")
     path = f"{checkpoint_root(spark)}/rollout_log"
     run_id = new_run_id()
-    append_log(df, path, run_id)
-    return read_log(spark, path, run_id).select("conv_id", *LOG_COLUMNS)
+    logged = df.select("conv_id", *LOG_COLUMNS)
+    append_log(logged, path, run_id)
+    return read_log(spark, path, run_id, logged.schema).select("conv_id", *LOG_COLUMNS)
 
 
 def q23_word_count(spark: SparkSession, root: str) -> DataFrame:

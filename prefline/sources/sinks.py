@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +35,18 @@ def append_log(df: DataFrame, path: str, run_id: str, key: str = "conv_id",
        .write.mode("append").partitionBy("run_id").parquet(path))
 
 
-def read_log(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, run_id: str, schema=None) -> DataFrame:
     """The records of one run.  Only that run's folder is listed and read
     (``basePath`` keeps ``run_id`` a partition column), so the cost does not
-    grow with the number of runs in the log."""
-    df = spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/run_id={run_id}")
+    grow with the number of runs in the log.  A run that logged no rows has no
+    folder; with ``schema`` given it reads as an empty frame."""
+    folder = f"{path.rstrip('/')}/run_id={run_id}"
+    try:
+        df = spark.read.option("basePath", path).parquet(folder)
+    except AnalysisException as exc:
+        if schema is None or "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return spark.createDataFrame([], schema)
     return df.where(F.col("run_id") == run_id).drop("run_id")
 
 

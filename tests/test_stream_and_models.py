@@ -231,3 +231,13 @@ def test_encoder_result_independent_of_arrow_batch_size(spark):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert small == base
+
+
+def test_empty_run_reads_as_empty_log(spark, tmp_path):
+    df = spark.createDataFrame([], "conv_id long, query string, response string, ref_response string, "
+                                   "ref_rewards double")
+    path = str(tmp_path / "log")
+    append_log(df, path, "empty-run")
+    assert read_log(spark, path, "empty-run", df.schema).count() == 0
+    with pytest.raises(Exception):
+        read_log(spark, path, "empty-run")
