@@ -203,7 +203,11 @@ def _make_decode_udf(src, first_id: int, special_ids: tuple[int, ...]):
 
 def encode_join(df: DataFrame, key: str, word_array: str, vocab: DataFrame, out: str = "input_ids",
                 cfg: TokenConfig = TokenConfig(), broadcast: bool | None = None) -> DataFrame:
-    """JVM-only encode: explode, join the vocabulary, regroup by ``key`` in word order."""
+    """JVM-only encode: explode, join the vocabulary, regroup by ``key`` in word order.
+
+    ``key`` must be unique per row (the token lists of rows sharing a key would
+    be merged); the Arrow path has no such requirement.
+    """
     if broadcast is None:
         broadcast = cfg.vocab_size is not None and cfg.vocab_size <= BROADCAST_MAX_ENTRIES
     v = vocab.select("tok", F.col("id").cast("int").alias("_id"))
