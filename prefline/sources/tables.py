@@ -42,11 +42,18 @@ class Catalog:
         self._entries[name] = (path, fmt, schema)
         return self
 
+    def register_table(self, name: str, table: str):
+        """Serve ``name`` from a catalog table (e.g. a bucketed layout from ``sources.layout``)."""
+        self._entries[name] = (table, "table", None)
+        return self
+
     def load(self, name: str, split: str = "train") -> DataFrame:
         if split != "train":
             raise ValueError(f"dataset {name!r} has only a 'train' split")
         if name in self._entries:
             path, fmt, schema = self._entries[name]
+            if fmt == "table":
+                return self.spark.table(path)
             reader = self.spark.read.format(fmt)
             if schema:
                 reader = reader.schema(schema)

@@ -183,3 +183,15 @@ def test_bucketed_layout_removes_exchanges(spark, tmp_path):
                                          read_table(spark, SF_SMALL, "labels"))[1].count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_catalog_serves_bucketed_tables(spark):
+    from prefline.operators.pairs import first_queries
+    from prefline.sources.layout import bucket_tables
+    from prefline.sources.tables import Catalog
+    tables = bucket_tables(spark, SF_SMALL, 4, prefix="cat_")
+    cat = Catalog(spark, SF_SMALL).register_table("conversations", tables["conversations"])
+    p = final_plan(first_queries(cat.load("conversations")))
+    assert "Exchange hashpartitioning" not in p
+    assert first_queries(cat.load("conversations")).count() == first_queries(
+        read_table(spark, SF_SMALL, "conversations")).count()
