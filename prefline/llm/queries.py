@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe_chunks import op10_bpe_chunks
+from .bucket_digest import op2_bucket_digest
 from .chat_format import OP3_SQL, op3_chat_format
 
 QUERIES = {
+    "op2_bucket_digest": op2_bucket_digest,
     "op3_chat_format": op3_chat_format,
     "op10_bpe_chunks": op10_bpe_chunks,
 }
