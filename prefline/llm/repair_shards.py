@@ -27,17 +27,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fan_out, load, spans, written
+from .common import PIECE_BYTES, fan_out, load, spans, written
 from .ordered import range_buckets
-from .piece_cache import encoder
+from .piece_cache import encoder, in_pieces
 
 SHARD_IDS = 1 << 19
-FREQUENT = 16  # pairs with fewer places in a shard are not replaced
-PER_ROUND = 2048  # pairs replaced at once
+FREQUENT = 32  # pairs with fewer places in a shard are not replaced
+PER_ROUND = 8192  # pairs replaced at once
 TERMINALS = 50_304
 SYMBOLS = 1 << 16
 
 
+def _cell(code: np.ndarray) -> np.ndarray:
+    return (code * 0x9E3779B97F4A7C1 >> 40) & 0xFFFFF
+
+
 def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int = TERMINALS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, symbols, symbols per document) of documents of ``sizes`` ids each."""
     seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
@@ -46,7 +50,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int = TERMINALS, fre
     while len(seq) > 1 and terminals + len(rules) < SYMBOLS:
         code = np.where(last[:-1], -1, seq[:-1] << 32 | seq[1:])
         # count by hash first: only pairs in well-filled cells can be frequent
-        cell = (code * 0x9E3779B97F4A7C1 >> 40) & 0xFFFFF
+        cell = _cell(code)
         filled = np.bincount(cell, minlength=1 << 20) >= frequent
         kept = code[filled[cell] & (code >= 0)]
         pairs, counts = np.unique(kept, return_counts=True)
@@ -56,17 +60,20 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int = TERMINALS, fre
         if not len(top):
             break
         chosen = np.concatenate([known, pairs[top]])
-        order = np.argsort(chosen)
-        ranked = chosen[order]
-        at = np.minimum(np.searchsorted(ranked, code), len(ranked) - 1)
-        rank = np.where(ranked[at] == code, order[at], len(chosen))
+        # the best chosen pair of each cell; another one there waits for a later round
+        best = np.full(1 << 20, len(chosen), np.int32)
+        np.minimum.at(best, _cell(chosen), np.arange(len(chosen), dtype=np.int32))
+        rank = best[cell]
+        rank[np.append(chosen, -2)[rank] != code] = len(chosen)
         # a place wins if no overlapping place has a better pair; of equal ones the first
         wins = rank < len(chosen)
         wins[1:] &= rank[1:] < rank[:-1]
         wins[:-1] &= rank[:-1] <= rank[1:]
+        place = np.flatnonzero(wins)
+        if not len(place):
+            break
         for pair in pairs[top].tolist():
             rules[pair] = terminals + len(rules)
-        place = np.flatnonzero(wins)
         seq[place] = terminals + rank[place]
         last[place] |= last[place + 1]
         stays = np.ones(len(seq), bool)
@@ -161,7 +168,7 @@ FILE_SCHEMA = "bucket int, shard int, start bigint, n_ids bigint, doc_ids array<
 
 def _write(path: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).array
+        encode = encoder(path).arrays
         docs, ids, size, bucket, shard, start = [], [], 0, None, 0, 0
 
         def closed():
@@ -172,7 +179,9 @@ def _write(path: str, end_id: int, shard_ids: int):
                 [c.split()[0] for c in FILE_SCHEMA.split(", ")])
 
         for b in batches:
-            for of, doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
+            buckets, doc_ids, texts = (c.to_pylist() for c in b.columns)
+            encoded = (x for i, j in in_pieces(texts, PIECE_BYTES) for x in encode(texts[i:j], end_id))
+            for of, doc_id, own in zip(buckets, doc_ids, encoded):
                 if docs and (of != bucket or size >= shard_ids):
                     yield closed()
                     shard, start = shard + 1, start + size
@@ -180,8 +189,8 @@ def _write(path: str, end_id: int, shard_ids: int):
                 if of != bucket:
                     bucket, shard, start = of, 0, 0
                 docs.append(doc_id)
-                ids.append(encode(text, end_id))
-                size += len(ids[-1])
+                ids.append(own)
+                size += len(own)
         if docs:
             yield closed()
     return run

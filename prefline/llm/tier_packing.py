@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import load
-from .piece_cache import encoder
+from .common import PIECE_BYTES, load
+from .piece_cache import encoder, in_pieces
 
 CONTEXT = 4096
 SMALLEST_TIER = 256
@@ -141,7 +141,7 @@ def _pack(path: str, end_id: int, context: int, pool_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, base = encoder(path).array, TaskContext.get().partitionId() << 32
+        encode, base = encoder(path).arrays, TaskContext.get().partitionId() << 32
         made = steps = 0
 
         def rows(sequences):
@@ -162,14 +162,15 @@ def _pack(path: str, end_id: int, context: int, pool_tokens: int):
 
         pool, size = [], 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text, end_id)
-                pool.append(Part((doc_id, ids), 0, len(ids)))
-                size += len(ids)
-                if size >= pool_tokens:
-                    full, pool = pack_pool(pool, context)
-                    size = sum(map(len, pool))
-                    yield rows(full)
+            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j in in_pieces(texts, PIECE_BYTES):
+                for doc_id, ids in zip(doc_ids[i:j], encode(texts[i:j], end_id)):
+                    pool.append(Part((doc_id, ids), 0, len(ids)))
+                    size += len(ids)
+                    if size >= pool_tokens:
+                        full, pool = pack_pool(pool, context)
+                        size = sum(map(len, pool))
+                        yield rows(full)
         full, pool = pack_pool(pool, context)
         yield rows(full + cut_to_powers(pool))
     return run
