@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_chunks import op10_bpe_chunks
 from .bucket_digest import op2_bucket_digest
 from .chat_format import OP3_SQL, op3_chat_format
+from .cover_anchors import op6_cover_anchors
 from .repair_shards import op8_repair_shards
 from .tier_packing import op5_tier_packing
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_bucket_digest": op2_bucket_digest,
     "op3_chat_format": op3_chat_format,
     "op5_tier_packing": op5_tier_packing,
+    "op6_cover_anchors": op6_cover_anchors,
     "op8_repair_shards": op8_repair_shards,
     "op10_bpe_chunks": op10_bpe_chunks,
 }
