@@ -136,3 +136,32 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
     prefix = WORDS.prefix(_BYTE[data])
     return mix(WORDS.ranges(prefix, starts, ends) + (ends - starts).astype(np.uint64))
+
+
+def sorted_runs(batches, keys: list[str]):
+    """Tables of the consecutive rows that agree in ``keys``, from sorted batches.  Only
+    the run at hand is held."""
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if i:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,6 +7,7 @@ from .bucket_digest import op2_bucket_digest
 from .chat_format import OP3_SQL, op3_chat_format
 from .cover_anchors import op6_cover_anchors
 from .repair_shards import op8_repair_shards
+from .set_sketch import op9_set_sketch
 from .tier_packing import op5_tier_packing
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_tier_packing": op5_tier_packing,
     "op6_cover_anchors": op6_cover_anchors,
     "op8_repair_shards": op8_repair_shards,
+    "op9_set_sketch": op9_set_sketch,
     "op10_bpe_chunks": op10_bpe_chunks,
 }
 
