@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from .common import WORDS, byte_hashes, fan_out, load, mix, slices, spans, utf8, word_spans
 
@@ -36,6 +36,7 @@ WINDOW = 35
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)  # a perfect difference set modulo 21
 SLICE_BYTES = 2 << 20
+ANCHOR_SCHEMA = "h bigint, key bigint, kind tinyint"
 HASH_SCHEMA = "h bigint, key bigint, kind tinyint, start int, ranges binary"
 HASH_ARROW = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("kind", pa.int8()), ("start", pa.int32()), ("ranges", pa.binary())])
 ASK, TELL, KNOWN, RANGES = 0, 1, 2, 3
@@ -63,14 +64,14 @@ class Words:
         return WORDS.ranges(self.prefix, at, at + length)
 
 
-def _rows(h: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """A row for each hash and place; hashes repeated among them are known as such."""
+def _kinds(h: np.ndarray) -> np.ndarray:
+    """Which hashes are repeated here: the first place of one tells of it."""
     order = np.argsort(h, kind="stable")
-    h, key, start = h[order], key[order], start[order]
     same = np.zeros(len(h) + 1, bool)
-    same[1:-1] = h[1:] == h[:-1]
-    kind = np.where(same[:-1], KNOWN, np.where(same[1:], TELL, ASK)).astype(np.int8)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(kind), pa.array(start.astype(np.int32)), pa.nulls(len(h), pa.binary())], schema=HASH_ARROW)
+    same[1:-1] = h[order][1:] == h[order][:-1]
+    kind = np.empty(len(h), np.int8)
+    kind[order] = np.where(same[:-1], KNOWN, np.where(same[1:], TELL, ASK))
+    return kind
 
 
 def _anchors(window: int, period: int, cover: tuple[int, ...]):
@@ -83,17 +84,13 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
             for i, j in slices(offsets, SLICE_BYTES):
                 words = Words(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
                 row, at = words.places(length, cover, period)
-                out = _rows(words.hashes(at, length), keys[i:j][row], at - words.first[row])
-                # of a document's equal anchors one is enough
-                h, key = (out.column(c).to_numpy() for c in (0, 1))
-                again = np.zeros(len(h), bool)
-                again[1:] = (h[1:] == h[:-1]) & (key[1:] == key[:-1])
-                yield out.filter(pa.array(~again)) if again.any() else out
+                h = words.hashes(at, length)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[i:j][row]), pa.array(_kinds(h))], ["h", "key", "kind"])
     return run
 
 
 def _by_count(repeated: bool):
-    """Rows sorted by hash -> (h, key, start, ranges) of those whose hash occurs more
+    """Rows sorted by hash -> those whose hash occurs more
     than once (``repeated``), or else of those whose hash occurs once, and all ranges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, None  # the last row, not judged yet; the hash before it
@@ -103,7 +100,7 @@ def _by_count(repeated: bool):
             around = np.concatenate([[h[0] if before == h[0] else ~h[0]], h, [h[-1] if after == h[-1] else ~h[-1]]])
             many = (around[1:-1] == around[:-2]) | (around[1:-1] == around[2:]) | (kind == TELL) | (kind == KNOWN)
             take = many & (kind != RANGES) if repeated else ~many & (kind == ASK) | (kind == RANGES)
-            return t.filter(pa.array(take)).select(["h", "key", "start", "ranges"])
+            return t.filter(pa.array(take)).select([c for c in t.schema.names if c != "kind"])
 
         for b in batches:
             if not b.num_rows:
@@ -120,15 +117,12 @@ def _by_count(repeated: bool):
     return run
 
 
-COUNTED = "h bigint, key bigint, start int, ranges binary"
-
-
 def _counted(rows: DataFrame, repeated: bool) -> DataFrame:
     """Judge hashes by how often they occur.  The rows of a hash that a task knew to be
     repeated are spread, but for the one that tells the hash's partition."""
     n = fan_out(rows.sparkSession)
     to = F.when(F.col("kind") <= TELL, F.col("h")).otherwise(F.xxhash64("h", "key"))
-    return rows.repartition(n, to).sortWithinPartitions("h").mapInArrow(_by_count(repeated), COUNTED)
+    return rows.repartition(n, to).sortWithinPartitions("h").mapInArrow(_by_count(repeated), rows.drop("kind").schema)
 
 
 def _around(at: np.ndarray, first: int, last: int, reach: int) -> np.ndarray:
@@ -141,14 +135,14 @@ def _around(at: np.ndarray, first: int, last: int, reach: int) -> np.ndarray:
 
 
 def _windows(window: int, period: int, cover: tuple[int, ...]):
-    """(key, text, repeated anchors) -> hashes of the windows around those anchors, and
+    """(..., key, text, repeated anchors) -> hashes of the windows around those anchors, and
     for each document the ranges of places where these windows start."""
     length = window - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets, data = utf8(b.column(1))
-            keys = b.column(0).to_numpy(zero_copy_only=False)
+            offsets, data = utf8(b.column("__text"))
+            keys = b.column("key").to_numpy(zero_copy_only=False)
             for i, j in slices(offsets, SLICE_BYTES):
                 words = Words(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
                 row, at = words.places(length, cover, period)
@@ -157,13 +151,18 @@ def _windows(window: int, period: int, cover: tuple[int, ...]):
                 found_row, found_at = [], []
                 for r in range(j - i):
                     a, z = bounds[r], bounds[r + 1]
-                    known = b.column(2)[i + r].values.to_numpy()
+                    known = b.column("known")[i + r].values.to_numpy()
                     mine = at[a:z][np.isin(h[a:z], known)]
                     places = _around(mine, words.first[r], words.first[r] + words.counts[r] - window, window - length)
                     found_at.append(places)
                     found_row.append(np.full(len(places), r))
                 where, which = np.concatenate(found_at), np.concatenate(found_row)
-                yield _rows(words.hashes(where, window), keys[i:j][which], where - words.first[which])
+                h = words.hashes(where, window)
+                kind = _kinds(h)
+                new = kind != KNOWN  # those known to be repeated need not be counted
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[new].view(np.int64)), pa.array(keys[i:j][which][new]), pa.array(kind[new]),
+                     pa.array((where - words.first[which])[new].astype(np.int32)), pa.nulls(int(new.sum()), pa.binary())], schema=HASH_ARROW)
                 told = []
                 for r, places in enumerate(found_at):
                     if len(places):
@@ -179,7 +178,7 @@ def _remove(window: int, kept_columns: int):
     """Pass-through columns, text, windows' ranges, places struck off -> the rest of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ranges, single = (b.column(kept_columns + k) for k in range(3))
+            texts, ranges, single = (b.column(c) for c in ("__text", "ranges", "single"))
             offsets, data = utf8(texts)
             n_words, n_removed, kept = [], [], []
             for i, j in slices(offsets, SLICE_BYTES):
@@ -220,20 +219,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     text = F.coalesce("text", F.lit(""))
     key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), text)
     columns = docs.columns
-    anchors = docs.select(key.alias("key"), text.alias("text")).mapInArrow(_anchors(window, period, cover), HASH_SCHEMA)
+    anchors = docs.select(key.alias("key"), text.alias("text")).mapInArrow(_anchors(window, period, cover), ANCHOR_SCHEMA)
     repeated = _counted(anchors, repeated=True).groupBy("key").agg(F.collect_set("h").alias("known"))
     # own names for the columns passed through, so that none can clash
     own = [f"__{i}" for i in range(len(columns))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(columns, own)], key.alias("key"), text.alias("__text"))
-    found = rows.join(repeated.hint("shuffle_merge"), "key").select("key", "__text", "known")
+    rows = docs.select(*[(text.alias("__text") if c == "text" else F.col(f"`{c}`").alias(o)) for c, o in zip(columns, own)],
+                       F.col("text").isNull().alias("__null"), key.alias("key"))
+    # both joins take all columns, so that one exchange of the texts serves both
+    found = rows.join(repeated.hint("shuffle_merge"), "key")
     windows = _counted(found.mapInArrow(_windows(window, period, cover), HASH_SCHEMA), repeated=False)
     told = windows.groupBy("key").agg(
         F.collect_list("ranges").alias("ranges"), F.collect_set(F.when(F.col("ranges").isNull(), F.col("start"))).alias("single"))
-    joined = rows.join(told.hint("shuffle_merge"), "key", "left").select(*own, "__text", "ranges", "single")
-    fields = [StructField(o, docs.schema[c].dataType) for c, o in zip(columns, own)]
+    joined = rows.join(told.hint("shuffle_merge"), "key", "left")
+    own = ["__text" if c == "text" else o for c, o in zip(columns, own)]
+    joined = joined.select(*own, "__null", "key", "ranges", "single")
+    fields = [StructField(o, docs.schema[c].dataType) for c, o in zip(columns, own)] + [StructField("__null", BooleanType())]
     schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    out = joined.mapInArrow(_remove(window, len(own)), schema)
-    return out.select(*[F.col(o).alias(c) for o, c in zip(own, columns)], "n_words", "n_removed", "kept")
+    out = joined.mapInArrow(_remove(window, len(own) + 1), schema)
+    back = [F.when(~F.col("__null"), F.col(o)) if o == "__text" else F.col(o) for o in own]
+    return out.select(*[x.alias(c) for x, c in zip(back, columns)], "n_words", "n_removed", "kept")
 
 
 def op6_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
