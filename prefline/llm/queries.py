@@ -8,11 +8,13 @@ from .chat_format import OP3_SQL, op3_chat_format
 from .cover_anchors import op6_cover_anchors
 from .repair_shards import op8_repair_shards
 from .set_sketch import op9_set_sketch
+from .string_kernel import op4_string_kernel
 from .tier_packing import op5_tier_packing
 
 QUERIES = {
     "op2_bucket_digest": op2_bucket_digest,
     "op3_chat_format": op3_chat_format,
+    "op4_string_kernel": op4_string_kernel,
     "op5_tier_packing": op5_tier_packing,
     "op6_cover_anchors": op6_cover_anchors,
     "op8_repair_shards": op8_repair_shards,
