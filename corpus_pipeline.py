@@ -1,12 +1,69 @@
-"""Corpus pipeline: the operators of ``prefline.llm`` applied to ``documents`` in order."""
+"""Corpus pipeline: operators of ``prefline.llm`` applied to ``documents`` one after the
+other.  Each stage gets what the one before it kept, with the columns of documents
+(n_chars brought up to date); the last one returns packed pieces.
+
+Toxicity drops the documents that the model rejects.  Line dedup and substring dedup cut
+text out of documents and keep the documents, also those left empty.  Near-dedup keeps
+the document with the least id of each group (shingles of five words, likeness of 0.8 or
+more).  SQL cannot express the trained model or the tokenizer, so there is no oracle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from prefline.llm.common import bound_batches, load, written
+from prefline.llm.cover_anchors import remove_repeats
+from prefline.llm.line_variants import remove_lines
+from prefline.llm.set_sketch import link
+from prefline.llm.string_kernel import held_out, score, train
+from prefline.llm.tier_packing import packed_pieces
+
+NEAR_PERCENT = 80
+
+
+def _changed(docs: DataFrame, out: DataFrame, text) -> DataFrame:
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    labels = load(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = train(load(spark, sf_dir, "documents"), labels)
+    return score(docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return _changed(docs, remove_lines(docs), F.col("text"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    gone = link(docs.select("doc_id", "text"), NEAR_PERCENT).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return _changed(docs, remove_repeats(docs), F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return packed_pieces(docs)
 
-from prefline.llm.common import load, written
 
-STAGES = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
