@@ -38,7 +38,7 @@ DEGREE = 32
 TREES, LEAF = 8, 384
 ROUNDS = 2
 MEET = 128
-BEAM, HOPS = 64, 4
+BEAM, HOPS = 256, 3
 NODE = "id bigint, vec binary, ids binary, scores binary"
 NODE_ARROW = pa.schema([("id", pa.int64()), ("vec", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary())])
 
