@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Rolling, load, mix, written
+from .common import Rolling, fan_out, load, mix, written
 
 NEAR_CHARS = 24
 _HASH = Rolling(0xE7037ED1A0B428DB)
@@ -88,19 +88,23 @@ def remove_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     classes = lines.select(*ORDER, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.when(n >= near_chars, F.array(*halves(F.col("line"), n))).alias("halves"))
     # the first line of each class; a line that is everywhere is reduced where it is read
     classes = written(classes.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("first"), F.any_value("halves").alias("halves")), "line-classes")
-    half = classes.select("first", "h1", F.explode("halves").alias("half"))
+    n_parts = fan_out(docs.sparkSession)
+    half = classes.select("h1", F.explode("halves").alias("half")).repartition(n_parts, "half")
     shared = half.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
-    candidates = half.join(shared, "half", "left_semi").select("first.*").distinct()
+    sharing = half.join(shared.hint("merge"), "half", "left_semi").select("h1").distinct()
+    candidates = classes.select("h1", "first").join(sharing, "h1", "left_semi").select("first.*")
     per_doc = candidates.groupBy("key", F.col("doc_id").alias("of")).agg(F.collect_list("line_no").alias("line_nos"))
     rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(columns, own)], F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"))
     near = rows.join(per_doc.hint("shuffle_merge"), "key").where(F.col("of").eqNullSafe(F.col("doc_id")))
-    # equal rows are one document
-    near = near.select("doc_id", "key", "__text", "line_nos").mapInArrow(_variants, VARIANTS).dropDuplicates(["key", "line_no", "place"])
-    near = written(near, "line-variants")
+    # equal rows are one document; their variants are equal too
+    near = written(near.select("doc_id", "key", "__text", "line_nos").mapInArrow(_variants, VARIANTS), "line-variants")
     place = F.struct(*ORDER)
-    variants = near.select("v", "place", place.alias("at"))
+    # most variants are of one line: they go before places are compared
+    thin = near.select("v", "place", *ORDER).repartition(n_parts, "v")
+    often = thin.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    variants = written(thin.join(often.hint("merge"), "v", "left_semi").select("v", "place", place.alias("at")), "shared-variants")
     of_place = variants.groupBy("v", "place").agg(F.min("at").alias("first_there"))
-    of_key = variants.groupBy("v").agg(F.min("at").alias("first_any"), F.min(F.when(F.col("place") < 0, F.col("at"))).alias("first_whole"), F.count("*").alias("n")).where("n > 1")
+    of_key = variants.groupBy("v").agg(F.min("at").alias("first_any"), F.min(F.when(F.col("place") < 0, F.col("at"))).alias("first_whole"))
     known = variants.join(of_key, "v").join(of_place, ["v", "place"])
     earliest = F.least("first_there", "first_whole", F.when(F.col("place") < 0, F.col("first_any")))
     known = known.select("at", earliest.alias("earlier")).where("earlier < at").groupBy("at").agg(F.min("earlier").alias("earlier"))
