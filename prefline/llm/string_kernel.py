@@ -41,6 +41,7 @@ TRAIN_ROWS = 10_000
 LANDMARKS = 96
 SPAN, DECAY = 5, 0.6
 FLOOR = 0.35
+SLICE_BYTES = 1 << 19
 LONGEST, STEP = 24, 12  # longer words are read in overlapping parts
 PATTERNS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 WEIGHTS = [DECAY ** (k - 2) for _, k in PATTERNS]
@@ -48,7 +49,7 @@ _HASH = Rolling(0xC2B2AE3D27D4EB4F)
 # Letters are 1 to 26, the bytes of other letters 27 to 31; marks are 0.  Digits and
 # signs read as letters are fixed values.
 _LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-SYMBOL = np.zeros(256, np.int64)
+SYMBOL = np.zeros(256, np.int32)
 SYMBOL[97:123] = np.arange(1, 27)
 SYMBOL[0x80:0xC0] = 27 + np.arange(64) % 5
 for _sign, _letter in _LOOKS.items():
@@ -169,7 +170,7 @@ def _vectors(landmarks: list[str]):
         nearest = Nearest(landmarks)
         for b in batches:
             offsets, data = utf8(b.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 made = nearest(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in made], pa.binary())], ["toxic", "vector"])
     return run
@@ -211,7 +212,10 @@ def train(texts: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lan
         total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not total.get(1) or not total.get(0):
             return None
-        words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s\p{Punct}]+"))).alias("word")).where("length(word) between 4 and 24")
+        words = F.split(F.lower("text"), r"[\s\p{Punct}]+")
+        # words and their first five letters: a stem is seen more often than its forms
+        words = F.array_distinct(F.concat(words, F.transform(words, lambda w: F.left(w, F.lit(5)))))
+        words = rows.select("toxic", F.explode(words).alias("word")).where("length(word) between 4 and 24")
         p = F.sum("toxic") / total[1]
         q = F.sum(1 - F.col("toxic")) / total[0]
         ranked = words.groupBy("word").agg((p - q).alias("gain"), ((p - q) / F.sqrt(p + q + 1e-9)).alias("tell"), F.sum("toxic").alias("n"))
@@ -251,7 +255,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         nearest = Nearest(model.landmarks)
         for b in batches:
             offsets, data = utf8(b.column("__text"))
-            parts = [nearest(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]]) @ model.weights for i, j in slices(offsets)]
+            parts = [nearest(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]]) @ model.weights for i, j in slices(offsets, SLICE_BYTES)]
             margin = np.concatenate([np.zeros(0), *parts]) + model.bias
             out = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -60, 60)))
             yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(out, pa.float64())], b.schema.names[:-1] + ["score"])
