@@ -70,8 +70,9 @@ def compute_reward(df: DataFrame, detector, pair_scorer=None, cfg: RewardConfig
                    detector_name: str | None = None) -> DataFrame:
     """The reference's compute_reward as one projection chain."""
     if cfg.normal_training:
-        # The main scorer itself is the pair scorer; human scores are not computed.
-        return combine(pair_scores(df, pair_scorer or detector), cfg)
+        # The main scorer scores the pairs, whether or not a pair scorer is given too;
+        # human scores are not computed.
+        return combine(pair_scores(df, detector), cfg)
     out = human_scores(df, detector, detector_name)
     if pair_scorer is not None and cfg.use_helpfulness:
         out = pair_scores(out, pair_scorer)

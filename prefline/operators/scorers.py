@@ -64,10 +64,6 @@ def ensure_words(df: DataFrame, text: str) -> tuple[DataFrame, str]:
     return df, name
 
 
-def drop_helpers(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
-
-
 def human_logit(text=None, w=None) -> Column:
     """Stand-in detector logit: 8 * distinct_words / words - 6 (null for no words)."""
     w = _c(w) if w is not None else words(text)
@@ -154,10 +150,12 @@ class OverlapPairScorer:
 def truncate_words(text, max_tokens: int = SCORER_MAX_TOKENS) -> Column:
     """R9 ``truncation=True, max_length``: the text up to the end of its
     ``max_tokens``-th word, original characters kept (word-level stand-in for
-    the model tokenizer's cut).  Possessive quantifiers: no backtracking."""
+    the model tokenizer's cut).  A text of at most so many words stays as it is.
+    Possessive quantifiers: no backtracking."""
     t = _c(text)
+    short = t.rlike(rf"^[^\p{{L}}\p{{N}}_]*+(?:[\p{{L}}\p{{N}}_]++[^\p{{L}}\p{{N}}_]*+){{0,{int(max_tokens)}}}+\z")
     cut = F.regexp_extract(t, rf"^(?:[^\p{{L}}\p{{N}}_]*+[\p{{L}}\p{{N}}_]++){{0,{int(max_tokens)}}}+", 0)
-    return F.when(t.isNull(), t).otherwise(cut)
+    return F.when(t.isNull() | short, t).otherwise(cut)
 
 
 class PandasTextScorer:
@@ -167,14 +165,14 @@ class PandasTextScorer:
     per device; batches arrive through Arrow with
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows (R9 ``batch_size``).
     ``max_tokens`` (R9 ``truncation=True, max_length``) cuts each input to its
-    first words on the JVM side before it is shipped to Python; ``None`` ships
-    whole texts.
+    first words on the JVM side before it is shipped to Python; ``None``, the
+    default, ships whole texts, as the native scorers read them.
     """
 
     _cache: dict = {}
 
     def __init__(self, name: str, factory: Callable[[], Callable[[list], list]],
-                 max_tokens: int | None = SCORER_MAX_TOKENS):
+                 max_tokens: int | None = None):
         self.name = name
         self.factory = factory
         self.max_tokens = max_tokens
@@ -207,7 +205,7 @@ class PandasPairScorer:
     _cache: dict = {}
 
     def __init__(self, name: str, factory: Callable[[], Callable[[list], list]],
-                 max_tokens: int | None = SCORER_MAX_TOKENS):
+                 max_tokens: int | None = None):
         self.name = name
         self.max_tokens = max_tokens
         key = (name, worker_slot(factory))

@@ -188,7 +188,7 @@ def q21_reward_single(spark: SparkSession, root: str) -> DataFrame:
     ro = rollout_frame(spark, root)
     human = R.compute_reward(ro, WordStatDetector(), None, RewardConfig()) \
         .select("conv_id", F.lit("human_only").alias("mode"), "reward", "ref_reward")
-    normal = R.compute_reward(ro, WordStatDetector(), OverlapPairScorer(), RewardConfig(normal_training=True)) \
+    normal = R.compute_reward(ro, OverlapPairScorer(), None, RewardConfig(normal_training=True)) \
         .select("conv_id", F.lit("normal_training").alias("mode"), "reward", "ref_reward")
     return human.unionByName(normal)
 

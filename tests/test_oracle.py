@@ -3,13 +3,14 @@
 import pytest
 
 import __spark_entry__ as E
+from prefline.plans.catalog import catalog
 from prefline.plans.compare import compare
-from prefline.plans.oracle import ROUNDED
+from prefline.plans.oracle import ROUNDED, sql_catalog
 
 from conftest import SF_ORACLE, SF_SMALL
 
-SQL = E.oracle_sql()
-NAMES = sorted(E.queries())
+SQL = sql_catalog()
+NAMES = sorted(catalog())
 
 
 def test_every_query_has_oracle_or_is_rows_only():

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from prefline.plans.catalog import catalog
 from prefline.config import TokenConfig
 from prefline.operators.pairs import preference_pairs
 from prefline.operators.tokens import Encoder, build_vocab
@@ -23,7 +24,7 @@ def final_plan(df) -> str:
 
 # Queries whose catalogue function runs eager jobs (split search, vocabulary
 # collect, model fit, stream) are still planned; the returned frame is checked.
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog()))
 def test_no_cartesian_or_nested_loop(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p
@@ -125,7 +126,7 @@ def test_encode_join_path_without_broadcast(spark):
     assert len(rows) == 200 and all(1 not in r["input_ids"] for r in rows)   # uncapped: no unknowns
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog()))
 def test_windows_only_over_bounded_top_k(spark, name):
     """No un-partitioned window over a full table: any Window sits on a top-k."""
     lines = plan(E.queries()[name](spark, SF_SMALL)).splitlines()

@@ -241,3 +241,16 @@ def test_empty_run_reads_as_empty_log(spark, tmp_path):
     assert read_log(spark, path, "empty-run", df.schema).count() == 0
     with pytest.raises(Exception):
         read_log(spark, path, "empty-run")
+
+
+def test_truncation_leaves_short_texts_and_normal_training_uses_the_main_scorer(spark):
+    from prefline.config import RewardConfig
+    from prefline.operators.rewards import compute_reward
+    from prefline.operators.scorers import OverlapPairScorer, WordStatDetector, truncate_words
+
+    t = spark.createDataFrame([("hi there! :)",), ("!!!",), ("a b c.",), (" a b",), ("",), (None,)], "t string")
+    assert [r[0] for r in t.select(truncate_words("t", 2)).collect()] == ["hi there! :)", "!!!", "a b", " a b", "", None]
+    ro = spark.createDataFrame([("one two", "two three", "four one")], "query string, response string, ref_response string")
+    cfg = RewardConfig(normal_training=True)
+    main = compute_reward(ro, OverlapPairScorer(), WordStatDetector(), cfg).select("reward", "ref_reward").first()
+    assert main == compute_reward(ro, OverlapPairScorer(), None, cfg).select("reward", "ref_reward").first()
