@@ -16,7 +16,6 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from prefline.config import MAX_NEW_TOKENS
 from prefline.operators.workers import worker_slot
 
 _WORD = regex.compile(r"[\p{L}\p{N}_]+")
@@ -32,10 +31,10 @@ def collate(pdf: pd.DataFrame) -> dict:
 
 class EchoGenerator:
     """Deterministic stand-in: the policy answers with the query's words reversed,
-    the reference model with the words in order; both at most ``max_new_tokens``.
+    the reference model with the words in order; both at most ``max_new_tokens`` if set.
     Checkable against SQL; it models nothing."""
 
-    def __init__(self, max_new_tokens: int = MAX_NEW_TOKENS):
+    def __init__(self, max_new_tokens: int | None = None):
         self.max_new_tokens = max_new_tokens
 
     def __call__(self, batch: dict) -> tuple[list, list]:

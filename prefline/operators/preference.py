@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prefline.config import DEFAULT_EOS, PREFERENCE_SYSTEM_PROMPT
 from prefline.functions import templates as TM
-from prefline.operators.pairs import conversation_count
+from prefline.operators.pairs import successors
 from prefline.sources.adapters import preference_form
 
 
@@ -29,11 +29,11 @@ def render_flat(df: DataFrame, model_name: str, sys_prompt: bool = False, eos: s
 
 
 def render_messages(df: DataFrame, eos: str = DEFAULT_EOS) -> DataFrame:
-    """T5; rows where either list has fewer than two messages are dropped
-    (the reference would render an empty prompt or fail on them)."""
+    """T5; a ``chosen`` of one message has an empty prompt (the end marker only).
+    Rows where either list is null or empty have no answer to render and go."""
     c, r = F.col("chosen"), F.col("rejected")
     keep = [x for x in df.columns if x not in ("chosen", "rejected", "prompt")]
-    return (df.where((F.size(c) >= 2) & (F.size(r) >= 2))
+    return (df.where((F.size(c) >= 1) & (F.size(r) >= 1))
             .select(*keep,
                     TM.render(F.slice(c, 1, F.size(c) - 1), eos).alias("prompt"),
                     TM.render(F.array(F.element_at(c, -1)), eos).alias("chosen"),
@@ -48,25 +48,18 @@ def process(df: DataFrame, model_name: str, dataset_name: str | None = None,
     return render_messages(df, eos)
 
 
-def _messages(tag: str):
-    item = F.when(F.col("tag") == tag, F.struct("turn", "role", F.col("text").alias("content")))
-    return F.transform(F.array_sort(F.collect_list(item)),
-                       lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-
-
 def message_preference_rows(conversations: DataFrame) -> DataFrame:
     """(conv_id, chosen, rejected) as message arrays: a conversation's turns in
-    order, and the next conversation's turns ((id + 1) mod n).
-
-    One exchange: each turn is emitted under its own key and under the previous
-    conversation's key, and one aggregate builds both arrays.
+    order, and the last message of the next existing conversation (T5 reads no
+    other one of the rejected messages), which alone moves to its neighbour.
+    Rows without an id make no pair.
     """
-    n = conversation_count(conversations)
-    own = F.struct(F.col("conv_id").alias("key"), F.lit("own").alias("tag"))
-    prev = F.struct(F.pmod(F.col("conv_id") - F.lit(1), n).alias("key"), F.lit("next").alias("tag"))
-    keyed = (conversations.select(F.explode(F.array(own, prev)).alias("k"), "turn", "role", "text")
-             .select(F.col("k.key").alias("conv_id"), F.col("k.tag").alias("tag"), "turn", "role", "text"))
-    return keyed.groupBy("conv_id").agg(_messages("own").alias("chosen"), _messages("next").alias("rejected"))
+    rows = conversations.where("conv_id is not null")
+    follows = successors(rows.select("conv_id").distinct())
+    last = rows.groupBy(F.col("conv_id").alias("next_id")).agg(
+        F.max_by(F.struct("role", F.col("text").alias("content")), "turn").alias("last"))
+    rejected = follows.join(last, "next_id").select("conv_id", F.array("last").alias("rejected"))
+    return conversation_messages(rows).withColumnRenamed("messages", "chosen").join(rejected, "conv_id")
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from prefline.operators.generate import EchoGenerator, generate
 from prefline.operators.ml_scorer import LinearTextScorer
 from prefline.operators.evaluate import evaluate_once
 from prefline.operators.datasets import build_prefix_dataset, build_query_dataset
-from prefline.operators.pairs import first_queries, preference_pairs, rollout
+from prefline.operators.pairs import first_queries, pair_keys, preference_pairs, rollout
 from prefline.operators.quarantine import quarantine
 from prefline.operators.rollout import rollout_rewards
 from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector, human_logit
@@ -56,6 +56,10 @@ def pairs_frame(spark: SparkSession, root: str) -> DataFrame:
     return preference_pairs(_t(spark, root, "conversations"))
 
 
+def keys_frame(spark: SparkSession, root: str) -> DataFrame:
+    return pair_keys(_t(spark, root, "conversations"))
+
+
 def vocabulary(spark: SparkSession, root: str, cfg: TokenConfig = TokenConfig()) -> DataFrame:
     return build_vocab(_t(spark, root, "documents"), "text", cfg)
 
@@ -63,7 +67,7 @@ def vocabulary(spark: SparkSession, root: str, cfg: TokenConfig = TokenConfig())
 def pair_margins(spark: SparkSession, root: str) -> DataFrame:
     """x = human_logit(chosen) - human_logit(rejected) per pair (stands in for log-ratios)."""
     pairs = pairs_frame(spark, root)
-    return pairs.select("conv_id", (human_logit("chosen") - human_logit("rejected")).alias("x"))
+    return evaluate_once(pairs, x=human_logit("chosen") - human_logit("rejected")).select("conv_id", "x")
 
 
 SCALE_RANGES = (("logit_to_unit", -6.0, 2.0, 0.0, 1.0),
@@ -141,13 +145,13 @@ def q12_pref_messages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q13_split(spark: SparkSession, root: str) -> DataFrame:
-    return split_parts(pairs_frame(spark, root).select("conv_id"), "conv_id",
+    return split_parts(keys_frame(spark, root), "conv_id",
                        SplitConfig(fraction=0.8, seed=42)).select("conv_id", "part")
 
 
 def q14_split_independent(spark: SparkSession, root: str) -> DataFrame:
     cfg = SplitConfig(fraction=0.8, seed=42, mode="independent", eval_seed=43)
-    return split_parts(pairs_frame(spark, root).select("conv_id"), "conv_id", cfg).select("conv_id", "part")
+    return split_parts(keys_frame(spark, root), "conv_id", cfg).select("conv_id", "part")
 
 
 def q15_scale(spark: SparkSession, root: str) -> DataFrame:
@@ -216,7 +220,7 @@ def q24_net_length(spark: SparkSession, root: str) -> DataFrame:
 def q25_trials(spark: SparkSession, root: str) -> DataFrame:
     # The sweep trains on the whole preference set (split 1): every trial's
     # schedule follows the number of pairs the data yields.
-    n_train = pairs_frame(spark, root).select(F.count("*")).scalar()
+    n_train = keys_frame(spark, root).select(F.count("*")).scalar()
     return with_schedule(trial_table(spark, SWEEP_COUNT), n_train)
 
 
@@ -229,7 +233,7 @@ def q27_best_trials(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q28_split_leak(spark: SparkSession, root: str) -> DataFrame:
-    return split_audit(pairs_frame(spark, root).select("conv_id"), "conv_id", 0.8, 42, 43)
+    return split_audit(keys_frame(spark, root), "conv_id", 0.8, 42, 43)
 
 
 def q29_quarantine(spark: SparkSession, root: str) -> DataFrame:

@@ -95,11 +95,11 @@ PER_CONV = """per_conv AS (
   FROM conversations GROUP BY conv_id)"""
 
 PAIRS = PER_CONV + """,
-pairs AS (
-  SELECT a.conv_id, a.query, a.answer AS chosen, b.answer AS rejected
-  FROM per_conv a
-  JOIN per_conv b ON b.conv_id = (a.conv_id + 1) % (SELECT max(conv_id) + 1 FROM per_conv)
-  WHERE a.query IS NOT NULL AND a.answer IS NOT NULL AND b.answer IS NOT NULL),
+answered AS (
+  SELECT conv_id, query, answer AS chosen,
+         coalesce(lead(answer) OVER (ORDER BY conv_id), first_value(answer) OVER (ORDER BY conv_id)) AS rejected
+  FROM per_conv WHERE conv_id IS NOT NULL AND answer IS NOT NULL),
+pairs AS (SELECT conv_id, query, chosen, rejected FROM answered WHERE query IS NOT NULL),
 rollout AS (SELECT conv_id, query, chosen AS response, rejected AS ref_response FROM pairs)"""
 
 SCORED = PAIRS + f""",
@@ -175,15 +175,15 @@ FROM pairs"""
     out["q09_pref_mistral"] = flat(None, "mistral")
     out["q10_pref_gemma"] = flat(PREFERENCE_SYSTEM_PROMPT, "gemma")
     out["q11_pref_default"] = flat(None, "default")
-    render = (f"array_to_string(list_transform({{m}}, lambda x: x.role || {SEP} || x.content || {END}), '')"
+    render = (f"coalesce(array_to_string(list_transform({{m}}, lambda x: x.role || {SEP} || x.content || {END}), ''), '')"
               f" || {EOS}")
     out["q12_pref_messages"] = f"""WITH msgs AS (
   SELECT conv_id, list(struct_pack(role := role, content := text) ORDER BY turn) AS m
   FROM conversations GROUP BY conv_id),
 mp AS (
-  SELECT a.conv_id, a.m AS chosen, b.m AS rejected FROM msgs a
-  JOIN msgs b ON b.conv_id = (a.conv_id + 1) % (SELECT max(conv_id) + 1 FROM conversations)
-  WHERE len(a.m) >= 2 AND len(b.m) >= 2)
+  SELECT conv_id, m AS chosen,
+         coalesce(lead(m) OVER (ORDER BY conv_id), first_value(m) OVER (ORDER BY conv_id)) AS rejected
+  FROM msgs WHERE conv_id IS NOT NULL)
 SELECT conv_id, {render.format(m='list_slice(chosen, 1, len(chosen) - 1)')} AS prompt,
        {render.format(m='[chosen[len(chosen)]]')} AS chosen,
        {render.format(m='[rejected[len(rejected)]]')} AS rejected
@@ -262,12 +262,12 @@ agg AS (SELECT trial, round(avg(loss), 9) AS loss, round(avg(margin), 9) AS marg
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id
 WHERE d.text IS NULL OR len(regexp_extract_all(d.text, {WORD_RE})) < 2 OR l.doc_id IS NULL"""
     out["q31_generate"] = f"""WITH {queries_cte()}
-SELECT conv_id, array_to_string(list_slice(list_reverse({words('query')}), 1, 512), ' ') AS response,
-       array_to_string(list_slice({words('query')}, 1, 512), ' ') AS ref_response FROM fq"""
+SELECT conv_id, array_to_string(list_reverse({words('query')}), ' ') AS response,
+       array_to_string({words('query')}, ' ') AS ref_response FROM fq"""
     gen = f"""WITH {queries_cte()},
 g AS (SELECT conv_id, query,
-             array_to_string(list_slice(list_reverse({words('query')}), 1, 512), ' ') AS response,
-             array_to_string(list_slice({words('query')}, 1, 512), ' ') AS ref_response FROM fq),
+             array_to_string(list_reverse({words('query')}), ' ') AS response,
+             array_to_string({words('query')}, ' ') AS ref_response FROM fq),
 s AS (SELECT conv_id, response, ref_response,
              {human_logit('response')} AS human, {human_logit('ref_response')} AS ref_human,
              {helpful('query', 'response')} AS helpful, {helpful('query', 'ref_response')} AS ref_helpful FROM g)"""

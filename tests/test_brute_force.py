@@ -21,7 +21,7 @@ texts = st.text(alphabet=st.sampled_from(list("ab cdé\n'\"Ü1_")), min_size=0,
 def conversation_tables(draw):
     n_conv = draw(st.integers(min_value=1, max_value=6))
     rows = []
-    for c in range(n_conv):
+    for c in draw(st.lists(st.integers(-2 ** 40, 2 ** 40), min_size=n_conv, max_size=n_conv, unique=True)):
         turns = draw(st.lists(st.tuples(st.sampled_from(ROLES), texts), min_size=1, max_size=5))
         order = draw(st.permutations(list(range(len(turns)))))
         for t, (role, text) in zip(order, turns):
@@ -30,17 +30,17 @@ def conversation_tables(draw):
 
 
 def pairs_brute(rows):
-    n = max(r[0] for r in rows) + 1
     first = {}
     for c, t, role, text in rows:
         k = (c, role)
         if k not in first or t < first[k][0]:
             first[k] = (t, text)
     out = set()
-    for c in range(n):
-        q, a, b = first.get((c, "user")), first.get((c, "assistant")), first.get(((c + 1) % n, "assistant"))
-        if q and a and b:
-            out.add((c, q[1], a[1], b[1]))
+    answered = sorted(c for c, role in first if role == "assistant")
+    for i, c in enumerate(answered):
+        follower = answered[(i + 1) % len(answered)]
+        if (c, "user") in first:
+            out.add((c, first[c, "user"][1], first[c, "assistant"][1], first[follower, "assistant"][1]))
     return out
 
 

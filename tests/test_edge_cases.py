@@ -10,7 +10,7 @@ from prefline.functions import scores as S
 from prefline.functions import templates as TM
 from prefline.operators import preference as P
 from prefline.operators import rewards as R
-from prefline.operators.pairs import preference_pairs
+from prefline.operators.pairs import incomplete, pair_keys, preference_pairs
 from prefline.operators.scorers import OUTPUT_TYPE, WordStatDetector
 from prefline.operators.split import split_flags, split_parts
 from prefline.operators.tokens import Encoder, attention_mask, build_vocab, pad
@@ -100,8 +100,9 @@ def test_message_rendering_edges(spark):
     rows = [(0, [], two), (1, [("user", "x")], two), (2, two + [("assistant", "ok")], two)]
     df = spark.createDataFrame(rows, schema)
     out = P.render_messages(df).collect()
-    assert [r["id"] for r in out] == [2]
-    r = out[0]
+    assert [r["id"] for r in out] == [1, 2]
+    assert (out[0]["prompt"], out[0]["chosen"]) == ("</s>", "user: x\n\n</s>")
+    r = out[1]
     assert r["prompt"] == "system: be 'nice'\n\nuser: say \"hi\"\nnow\n\n</s>"
     assert r["chosen"] == "assistant: ok\n\n</s>"
     assert r["rejected"] == "user: say \"hi\"\nnow\n\n</s>"
@@ -134,12 +135,23 @@ def test_nested_adapter(spark):
 
 def test_pairs_tiny(spark):
     rows = [(0, 0, "system", "s"), (0, 1, "user", "q0"), (0, 2, "assistant", "a0"), (0, 3, "assistant", "a0b"),
-            (1, 0, "user", "q1"),                      # no answer: no pair, and conv 0 has no rejected
+            (1, 0, "user", "q1"),                      # no answer: no pair, passed over as a next one
             (2, 1, "user", "q2"), (2, 0, "assistant", "a2")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = sorted(tuple(r) for r in preference_pairs(df).collect())
-    # conv 2 -> next is (2 + 1) % 3 = 0
-    assert got == [(2, "q2", "a2", "a0")]
+    # the next answered one after 0 is 2, after 2 it is 0
+    assert got == [(0, "q0", "a0", "a2"), (2, "q2", "a2", "a0")]
+    assert [tuple(r) for r in incomplete(df).collect()] == [(1, "no_answer")]
+    assert sorted(r[0] for r in pair_keys(df).collect()) == [0, 2]
+
+
+def test_pairs_on_sparse_ids(spark):
+    rows = [(i, t, r, f"{r}{i}") for i in (-5, 0, 1_000_000, 2 ** 60) for t, r in enumerate(("user", "assistant"))]
+    df = spark.createDataFrame(rows + [(None, 0, "user", "x"), (None, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["rejected"] for r in preference_pairs(df.repartition(3)).collect()}
+    assert got == {-5: "assistant0", 0: "assistant1000000", 1_000_000: f"assistant{2 ** 60}", 2 ** 60: "assistant-5"}
+    assert [tuple(r) for r in incomplete(df).collect()] == [(None, "null_id")]
+    assert preference_pairs(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 7])

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from prefline.plans.catalog import catalog
 from prefline.config import TokenConfig
-from prefline.operators.pairs import preference_pairs
+from prefline.operators.pairs import pair_keys, preference_pairs
 from prefline.operators.tokens import Encoder, build_vocab
 from prefline.functions.text import words
 from prefline.sources.tables import read_table
@@ -39,10 +39,12 @@ def test_filter_and_columns_reach_scan(spark):
     assert "EqualTo(role,user)" in p
 
 
-def test_pairs_one_exchange_and_scalar_subquery(spark):
-    p = plan(preference_pairs(read_table(spark, SF_SMALL, "conversations")))
-    assert p.count("Exchange hashpartitioning") == 1
-    assert "Subquery" in p and "Join" not in p
+def test_pairs_without_cross_join_and_keys_without_text(spark):
+    conversations = read_table(spark, SF_SMALL, "conversations")
+    p = plan(preference_pairs(conversations))
+    assert "Cartesian" not in p and "NestedLoop" not in p
+    p = plan(pair_keys(conversations))
+    assert p.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in p and "Join" not in p
 
 
 def test_encode_is_narrow(spark):
