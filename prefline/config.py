@@ -64,7 +64,7 @@ class TokenConfig:
     unk_id: int = 1
     bos_id: int = 2
     eos_id: int = 3
-    vocab_size: int | None = 5000
+    vocab_size: int | None = None  # a cap makes rarer words unknown
 
     @property
     def first_word_id(self) -> int:

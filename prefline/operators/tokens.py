@@ -7,14 +7,15 @@ get ids from 4 in order of descending frequency, ties by binary string order.
 
 Encoding strategies
 -------------------
-``arrow`` (default): a scalar Arrow UDF looks every word up in the broadcast
-vocabulary with Arrow's vectorised ``index_in`` kernel.  Narrow: no shuffle,
-the text stays where it was read, and the vocabulary is a broadcast variable
-whose entry count is bounded by ``vocab_size`` (checked).
-``join``: pure JVM: ``posexplode`` -> broadcast hash join with the vocabulary
--> regroup by row key with ``array_sort(collect_list(struct(pos, id)))``.  It
-shuffles the token stream (pos, id per word), so it is kept for unbounded
-vocabularies, where it runs as a shuffle join instead of a broadcast.
+``encode_join`` / ``decode_join`` (default): pure JVM, for a vocabulary of any
+size, so that every word of the corpus has an id and decoding gives back the
+words that were encoded.  The words are exploded, looked up and regrouped by row
+key.  Ids go by frequency, so the hot words are the first ``HEAD_ENTRIES``: those
+(of bounded length, so bounded in bytes) are broadcast, and only the rare rest is
+shuffled to the rest of the vocabulary.
+``Encoder``: for a vocabulary that the caller caps (``vocab_size``).  A scalar
+Arrow UDF looks every word up in the broadcast vocabulary with Arrow's
+``index_in`` kernel; words beyond the cap become the unknown id.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefline.config import PREFIX_MAX, PREFIX_MIN, TokenConfig
@@ -33,9 +34,11 @@ from prefline.functions.text import h8, words
 from prefline.session import reliable_checkpoint
 from prefline.sources.tables import spread
 
-# Largest vocabulary shipped to every executor (entries).  Above it the
-# vocabulary is joined with a shuffle instead.
+# Largest capped vocabulary that an Encoder ships to every worker (entries).
 BROADCAST_MAX_ENTRIES = 2_000_000
+# The broadcast part of a joined vocabulary: so many words of at most so many
+# characters (at most 16 MB of text).
+HEAD_ENTRIES, HEAD_CHARS = 65_536, 64
 
 
 def _c(col) -> Column:
@@ -51,11 +54,6 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return src.select(F.explode(words(text)).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
 
 
-# Largest V taken with a direct top-k (each partition's best V rows meet in one
-# task); above it the words are range-sorted and numbered in a distributed way.
-DIRECT_TOP_K_MAX = 50_000
-
-
 def dense_order_ids(df: DataFrame, order: list, first: int = 0, out: str = "id") -> DataFrame:
     """Number rows 0.. in ``order`` across the cluster, without a single-partition
     window and without Python: range-sort, cut lineage with a reliable checkpoint
@@ -80,17 +78,12 @@ def dense_order_ids(df: DataFrame, order: list, first: int = 0, out: str = "id")
 def build_vocab(df: DataFrame, text: str = "text", cfg: TokenConfig = TokenConfig()) -> DataFrame:
     """(tok, n, id), ids from ``first_word_id`` by descending count, ties by token.
 
-    V <= DIRECT_TOP_K_MAX: a bounded top-V (``TakeOrderedAndProject``), numbered
-    on those V rows only.  Larger or uncapped: distributed numbering
-    (``dense_order_ids``), then the cap as a filter on the id.
+    Numbered across the cluster (``dense_order_ids``), whatever its size;
+    ``vocab_size``, if the caller sets one, is then a filter on the id.
     """
     counts = word_counts(df, text)
     first = cfg.first_word_id
     order = [F.desc("n"), F.asc("tok")]
-    if cfg.vocab_size is not None and cfg.vocab_size <= DIRECT_TOP_K_MAX:
-        top = counts.orderBy(*order).limit(cfg.vocab_size)
-        w = Window.orderBy(*order)
-        return top.select("tok", "n", (F.lit(first - 1) + F.row_number().over(w)).cast("long").alias("id"))
     numbered = dense_order_ids(counts, order, first)
     if cfg.vocab_size is not None:
         numbered = numbered.where(F.col("id") < F.lit(first + cfg.vocab_size))
@@ -103,7 +96,7 @@ def vocab_tokens(vocab: DataFrame, cfg: TokenConfig = TokenConfig()) -> list[str
     Only for a vocabulary with a proven bound; the bound is checked here.
     """
     if cfg.vocab_size is None or cfg.vocab_size > BROADCAST_MAX_ENTRIES:
-        raise ValueError("vocabulary too large to broadcast; use method='join'")
+        raise ValueError("an Encoder needs a vocabulary capped by vocab_size; use encode_join")
     rows = vocab.select("tok", "id").collect()
     if len(rows) > cfg.vocab_size:
         raise ValueError("vocabulary larger than its declared cap")
@@ -201,24 +194,43 @@ def _make_decode_udf(src, first_id: int, special_ids: tuple[int, ...]):
     return decode
 
 
+def _looked_up(df: DataFrame, key: str, array: str, vocab: DataFrame, by: str, cfg: TokenConfig) -> DataFrame:
+    """(key, _pos, _item, tok, id) of every element of ``array``: the rows of ``vocab``
+    whose column ``by`` is that element, nulls where there is none; a row with an
+    empty or null array keeps one row of nulls."""
+    items = df.select(F.col(key).alias("_key"), F.posexplode_outer(array).alias("_pos", "_item"))
+    v = vocab.select("tok", "id")
+    head = (F.col("id") < F.lit(cfg.first_word_id + HEAD_ENTRIES)) & (F.length("tok") <= HEAD_CHARS)
+    hot, rest = F.broadcast(v.where(head)), v.where(~head)
+    found = items.join(hot, F.col("_item") == F.col(by), "left")
+    return found.where("id is not null or _item is null").unionByName(
+        found.where("id is null and _item is not null").drop("tok", "id").join(rest, F.col("_item") == F.col(by), "left"))
+
+
+def _regrouped(df: DataFrame, key: str, found: DataFrame, value, out: str, finish) -> DataFrame:
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value.alias("_value")))
+    lists = found.groupBy("_key").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    lists = lists.select("_key", finish(F.transform("_items", lambda s: s["_value"])).alias(out))
+    return df.join(lists, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 def encode_join(df: DataFrame, key: str, word_array: str, vocab: DataFrame, out: str = "input_ids",
-                cfg: TokenConfig = TokenConfig(), broadcast: bool | None = None) -> DataFrame:
-    """JVM-only encode: explode, join the vocabulary, regroup by ``key`` in word order.
+                cfg: TokenConfig = TokenConfig()) -> DataFrame:
+    """JVM-only encode: explode, look up, regroup by ``key`` in word order.
 
     ``key`` must be unique per row (the token lists of rows sharing a key would
-    be merged); the Arrow path has no such requirement.
+    be merged).  A null array is encoded like an empty one.
     """
-    if broadcast is None:
-        broadcast = cfg.vocab_size is not None and cfg.vocab_size <= BROADCAST_MAX_ENTRIES
-    v = vocab.select("tok", F.col("id").cast("int").alias("_id"))
-    v = F.broadcast(v) if broadcast else v
-    exploded = df.select(key, F.posexplode_outer(word_array).alias("_pos", "tok"))
-    joined = exploded.join(v, "tok", "left")
-    item = F.when(F.col("_pos").isNotNull(),
-                  F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(cfg.unk_id)).alias("_id")))
-    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    ids = grouped.select(key, F.transform("_items", lambda s: s["_id"]).alias(out))
-    return df.join(ids, key, "left")
+    found = _looked_up(df, key, word_array, vocab, "tok", cfg)
+    ids = F.coalesce(F.col("id"), F.lit(cfg.unk_id)).cast("int")
+    return _regrouped(df, key, found, ids, out, lambda x: x)
+
+
+def decode_join(df: DataFrame, key: str, ids: str, vocab: DataFrame, out: str = "text",
+                cfg: TokenConfig = TokenConfig()) -> DataFrame:
+    """JVM-only decode: the words of ``ids`` joined by one space, without special ids."""
+    found = _looked_up(df, key, ids, vocab, "id", cfg)
+    return _regrouped(df, key, found, F.col("tok"), out, lambda x: F.array_join(x, " "))
 
 
 # --------------------------------------------------------------------------- pad, prefix

@@ -10,7 +10,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefline.config import (DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_SYSTEM_PROMPT, DatasetConfig,
+from prefline.config import (DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_MAX_TOKENS, QUERY_SYSTEM_PROMPT, DatasetConfig,
                              RewardConfig, SplitConfig, TokenConfig, SWEEP_COUNT)
 from prefline.functions import scores as S
 from prefline.functions import templates as TM
@@ -26,7 +26,7 @@ from prefline.operators.quarantine import quarantine
 from prefline.operators.rollout import rollout_rewards
 from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector, human_logit
 from prefline.operators.split import split_audit, split_parts
-from prefline.operators.tokens import Encoder, build_vocab
+from prefline.operators.tokens import build_vocab, encode_join
 from prefline.operators.trials import best_trials, trial_losses, trial_table, with_schedule
 from prefline.sources.adapters import adapt_queries
 from prefline.session import checkpoint_root
@@ -109,17 +109,18 @@ def q06_encode_filter(spark: SparkSession, root: str) -> DataFrame:
     return docs.where(F.col("n_tokens") <= DATASET_MAX_TOKENS).select("doc_id", "n_tokens")
 
 
-def q07_pad_mask(spark: SparkSession, root: str) -> DataFrame:
-    enc = Encoder(spark, vocabulary(spark, root))
-    cfg = DatasetConfig(max_length=40, padding=True, padding_side="left")
-    ds = build_query_dataset(_t(spark, root, "conversations"), enc, cfg)
+def _joined_arrays(ds: DataFrame) -> DataFrame:
     return ds.select("conv_id", F.array_join("input_ids", ",").alias("ids"),
                      F.array_join("attention_mask", ",").alias("mask"), "n_tokens")
 
 
+def q07_pad_mask(spark: SparkSession, root: str) -> DataFrame:
+    cfg = DatasetConfig(max_length=QUERY_MAX_TOKENS, padding=True, padding_side="left")
+    return _joined_arrays(build_query_dataset(_t(spark, root, "conversations"), vocabulary(spark, root), cfg, template=False))
+
+
 def q08_random_prefix(spark: SparkSession, root: str) -> DataFrame:
-    enc = Encoder(spark, vocabulary(spark, root))
-    ds = build_prefix_dataset(_t(spark, root, "documents"), enc)
+    ds = build_prefix_dataset(_t(spark, root, "documents").select("doc_id", "text"), vocabulary(spark, root))
     return ds.select("doc_id", "k", "query")
 
 
@@ -268,6 +269,26 @@ def q34_rollout_reward(spark: SparkSession, root: str) -> DataFrame:
     return out.select("conv_id", "response", "ref_response", "reward", "ref_reward")
 
 
+def q35_encode_documents(spark: SparkSession, root: str) -> DataFrame:
+    """T6 on whole documents with the uncapped vocabulary."""
+    docs = _t(spark, root, "documents").select("doc_id", words("text").alias("w"))
+    out = encode_join(docs, "doc_id", "w", vocabulary(spark, root))
+    return out.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"),
+                      F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"))
+
+
+def q36_prompt_dataset(spark: SparkSession, root: str) -> DataFrame:
+    """Rendered prompt -> ids -> limit -> padded ids and mask."""
+    cfg = DatasetConfig(max_length=QUERY_MAX_TOKENS)
+    return _joined_arrays(build_query_dataset(_t(spark, root, "conversations"), vocabulary(spark, root), cfg))
+
+
+def q37_prompt_dataset_system(spark: SparkSession, root: str) -> DataFrame:
+    """The same with the system message first."""
+    cfg = DatasetConfig(max_length=QUERY_MAX_TOKENS, sys_prompt=True)
+    return _joined_arrays(build_query_dataset(_t(spark, root, "conversations"), vocabulary(spark, root), cfg))
+
+
 def catalog() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items()
             if name[:1] == "q" and name[1:3].isdigit() and callable(fn)}

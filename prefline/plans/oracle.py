@@ -113,7 +113,7 @@ VOCAB = f"""wc AS (
   SELECT tok, count(*) AS n FROM (SELECT unnest({words('text')}) AS tok FROM documents) GROUP BY tok),
 vocab AS (
   SELECT tok, n, 3 + row_number() OVER (ORDER BY n DESC, tok) AS id
-  FROM (SELECT tok, n FROM wc ORDER BY n DESC, tok LIMIT 5000))"""
+  FROM wc)"""
 
 
 def prompt_user(system: str | None = None) -> str:
@@ -137,27 +137,36 @@ def sql_catalog() -> dict[str, str]:
                                 f"{prompt_user(QUERY_SYSTEM_PROMPT)} AS prompt FROM fq")
     out["q06_encode_filter"] = (f"SELECT doc_id, {nwords('text')} AS n_tokens FROM documents "
                                 f"WHERE {nwords('text')} <= 300")
-    out["q07_pad_mask"] = f"""WITH {VOCAB}, {queries_cte()},
-qw AS (SELECT conv_id, {words('query')} AS w FROM fq WHERE {nwords('query')} <= 40),
+    def padded(text: str, end: str, limit: int = 125) -> str:
+        """Ids of the words of ``text`` and the ids ``end``, left-padded to the limit."""
+        return f"""WITH {VOCAB}, {queries_cte()},
+qw AS (SELECT conv_id, {words(text)} AS w FROM fq),
 toks AS (SELECT conv_id, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS tok FROM qw),
 enc AS (SELECT t.conv_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
         FROM toks t LEFT JOIN vocab v ON t.tok = v.tok GROUP BY t.conv_id),
-full_ids AS (SELECT qw.conv_id, len(qw.w) AS n, coalesce(enc.ids, []) AS ids
-             FROM qw LEFT JOIN enc ON qw.conv_id = enc.conv_id)
+full_ids AS (SELECT qw.conv_id, list_concat(coalesce(enc.ids, []), {end}) AS ids
+             FROM qw LEFT JOIN enc ON qw.conv_id = enc.conv_id WHERE qw.w IS NOT NULL),
+sized AS (SELECT conv_id, ids, len(ids) AS n FROM full_ids)
 SELECT conv_id,
-       array_to_string(list_concat(list_transform(range(40 - n), lambda x: 0), ids), ',') AS ids,
-       array_to_string(list_concat(list_transform(range(40 - n), lambda x: 0),
+       array_to_string(list_concat(list_transform(range({limit} - n), lambda x: 0), ids), ',') AS ids,
+       array_to_string(list_concat(list_transform(range({limit} - n), lambda x: 0),
                                    list_transform(range(n), lambda x: 1)), ',') AS mask,
        n AS n_tokens
-FROM full_ids"""
-    out["q08_random_prefix"] = f"""WITH {VOCAB},
-d AS (SELECT doc_id, 2 + ({h8('prefix', 'doc_id')} % 6) AS k, {words('text')} AS w
-      FROM documents WHERE length(text) > {MIN_REVIEW_CHARS}),
-toks AS (SELECT doc_id, unnest(generate_series(1, len(list_slice(w, 1, k)))) AS pos,
-                unnest(list_slice(w, 1, k)) AS tok FROM d),
-dec AS (SELECT t.doc_id, string_agg(t.tok, ' ' ORDER BY t.pos) AS query
+FROM sized WHERE n <= {limit}"""
+    out["q07_pad_mask"] = padded("query", "[]")
+    bare = piece(q("user"), "query")
+    out["q36_prompt_dataset"] = padded(bare, "[3]")
+    out["q37_prompt_dataset_system"] = padded(f"({piece(q('system'), q(QUERY_SYSTEM_PROMPT))} || {bare})", "[3]")
+    out["q35_encode_documents"] = f"""WITH {VOCAB},
+toks AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS tok
+         FROM (SELECT doc_id, {words('text')} AS w FROM documents)),
+enc AS (SELECT t.doc_id, count(*) AS n, string_agg(CAST(v.id AS VARCHAR), ',' ORDER BY t.pos) AS ids
         FROM toks t JOIN vocab v ON t.tok = v.tok GROUP BY t.doc_id)
-SELECT d.doc_id, d.k, coalesce(dec.query, '') AS query FROM d LEFT JOIN dec ON d.doc_id = dec.doc_id"""
+SELECT d.doc_id, coalesce(enc.n, 0) AS n_tokens, md5(coalesce(enc.ids, '')) AS ids_md5
+FROM documents d LEFT JOIN enc ON d.doc_id = enc.doc_id"""
+    out["q08_random_prefix"] = f"""WITH d AS (SELECT doc_id, 2 + ({h8('prefix', 'doc_id')} % 6) AS k, {words('text')} AS w
+      FROM documents WHERE length(text) > {MIN_REVIEW_CHARS})
+SELECT doc_id, k, array_to_string(list_slice(w, 1, k), ' ') AS query FROM d"""
     out["q23_word_count"] = f"SELECT doc_id, len(regexp_extract_all(text, {WORD_RE})) AS n_words FROM documents"
     out["q24_net_length"] = f"""WITH {PAIRS}
 SELECT conv_id, {nwords('response')} - {nwords('query')} AS net_words FROM rollout"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -99,6 +102,18 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for sessions started without it on
+    their path (no installed package, no ``--py-files``).  Call it once, before the
+    first job that uses Python workers."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    # the driver serves the archive to executors that start later, so it stays until the end
+    folder = tempfile.mkdtemp(prefix="prefline-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(os.path.join(folder, "prefline"), "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh, unique folder below the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/{kind}/{uuid.uuid4().hex}"

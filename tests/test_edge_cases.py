@@ -78,7 +78,7 @@ def test_length_filter_boundaries(spark):
     df = spark.createDataFrame(rows, "conv_id long, query string")
     vocab = build_vocab(spark.createDataFrame([("a b c",)], "text string"), "text", TokenConfig(vocab_size=10))
     enc = Encoder(spark, vocab, TokenConfig(vocab_size=10))
-    out = build_query_dataset(df, enc, DatasetConfig(max_length=L, tokens=TokenConfig(vocab_size=10)))
+    out = build_query_dataset(df, enc, DatasetConfig(max_length=L, tokens=TokenConfig(vocab_size=10)), template=False)
     got = {r["conv_id"]: (r["input_ids"], r["attention_mask"]) for r in out.collect()}
     assert set(got) == {1, 2, 4, 5}          # L+1 dropped, L kept
     assert got[2][1] == [1, 1, 1] and len(got[2][0]) == L

@@ -5,6 +5,7 @@ import tempfile
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from prefline.config import TokenConfig
 from prefline.operators.generate import EchoGenerator, collate, generate
@@ -47,7 +48,8 @@ def test_generator_batches(spark):
     got = {r["conv_id"]: (r["response"], r["ref_response"]) for r in generate(qs, EchoGenerator).collect()}
     assert got[1] == ("world big hello", "hello big world")
     assert got[2] == (None, None)
-    assert len(got[3][0].split()) == 512
+    assert len(got[3][0].split()) == 600  # whole, unless the caller sets a budget
+    assert len(generate(qs.where("conv_id = 3"), lambda: EchoGenerator(512)).first()["response"].split()) == 512
     import pandas as pd
     assert collate(pd.DataFrame({"a": [1, 2], "b": ["x", "y"]})) == {"a": [1, 2], "b": ["x", "y"]}
 
@@ -76,6 +78,19 @@ def test_arrow_and_join_encoders_agree(spark):
         assert r["t"] == " ".join(x for x in r["w"] if x in known)
 
 
+def test_joined_encoding_is_lossless(spark, monkeypatch):
+    import prefline.operators.tokens as TK
+    monkeypatch.setattr(TK, "HEAD_ENTRIES", 50)  # most words take the shuffled way
+    rows = read_table(spark, SF_SMALL, "documents").select("doc_id", words("text").alias("w"))
+    empty = spark.createDataFrame([(-1, []), (-2, None)], "doc_id long, w array<string>")
+    vocab = build_vocab(read_table(spark, SF_SMALL, "documents"))
+    ids = encode_join(rows.unionByName(empty), "doc_id", "w", vocab)
+    back = {r["doc_id"]: r for r in TK.decode_join(ids, "doc_id", "input_ids", vocab).collect()}
+    assert len(back) == rows.count() + 2
+    for r in back.values():
+        assert r["text"] == " ".join(r["w"] or []) and len(r["input_ids"]) == len(r["w"] or [])
+
+
 def test_uncapped_vocab_ids_dense(spark):
     docs = spark.createDataFrame([("b a a c",), ("a b",)], "text string")
     v = build_vocab(docs, "text", TokenConfig(vocab_size=None)).orderBy("id").collect()
@@ -149,12 +164,12 @@ def test_tensor_dataset_round_trip(spark, tmp_path):
     assert t.column("input_ids").to_pylist() == [[0, 0, 5]]
 
 
-def test_distributed_vocab_numbering_matches_top_k(spark, monkeypatch):
+def test_vocab_numbering_matches_a_sort(spark):
     import prefline.operators.tokens as TK
     docs = read_table(spark, SF_SMALL, "documents")
     cfg = TokenConfig(vocab_size=700)
-    direct = [tuple(r) for r in TK.build_vocab(docs, "text", cfg).orderBy("id").collect()]
-    monkeypatch.setattr(TK, "DIRECT_TOP_K_MAX", 10)
+    top = TK.word_counts(docs).orderBy(F.desc("n"), "tok").limit(700).collect()
+    direct = [(r["tok"], r["n"], 4 + i) for i, r in enumerate(top)]
     dist = [tuple(r) for r in TK.build_vocab(docs.repartition(5), "text", cfg).orderBy("id").collect()]
     assert dist == direct and len(direct) == 700
 

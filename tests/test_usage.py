@@ -15,7 +15,7 @@ def test_readme_usage(spark):
     from prefline.operators.rollout import log_rollout, rollout_rewards
     from prefline.operators.scorers import OverlapPairScorer, WordStatDetector
     from prefline.operators.split import train_eval
-    from prefline.operators.tokens import Encoder, build_vocab
+    from prefline.operators.tokens import build_vocab
     from prefline.operators.trials import trial_losses, trial_table
     from prefline.session import checkpoint_root
     from prefline.sources.sinks import new_run_id
@@ -24,9 +24,9 @@ def test_readme_usage(spark):
     cat = Catalog(spark, root)                       # name -> table (register your own paths)
     conversations = cat.load("conversations")
 
-    # query dataset: tokenise, filter by length, pad (build_dataset)
-    encoder = Encoder(spark, build_vocab(cat.load("documents")))
-    queries = build_query_dataset(conversations, encoder, DatasetConfig(max_length=125))
+    # query dataset: render, tokenise, filter by length, pad (build_dataset)
+    vocab = build_vocab(cat.load("documents"))
+    queries = build_query_dataset(conversations, vocab, DatasetConfig(max_length=125))
 
     # preference dataset + exact 80/20 split (DPO preprocessing)
     pairs = preference_pairs(conversations)
