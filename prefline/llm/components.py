@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round sends every neighbour of a node, and the node, to the least of them.
     Edges become stars around the least node of a component, in a number of rounds
     that grows with the logarithm of its width; they never outnumber twice the input.
+    The leasts are written first: read back, they are dealt anew for the join, and Spark
+    can split the partition of a node with very many neighbours.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).distinct(), "edges")
     seen = None
@@ -42,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
                     now.select("node").distinct(), "node", "left_anti"))
         seen = tuple(mark)
         both = now.unionByName(now.select(F.col("to").alias("node"), F.col("node").alias("to")))
-        least = both.groupBy(F.col("node").alias("of")).agg(F.min("to").alias("low")).select("of", F.least("of", "low").alias("low"))
+        least = both.groupBy(F.col("node").alias("of")).agg(F.min("to").alias("low"))
+        least = written(least.select("of", F.least("of", "low").alias("low")), "leasts")
         sent = both.join(least, F.col("node") == F.col("of"))
         sent = sent.select(F.col("to").alias("node"), F.col("low").alias("to")).unionByName(least.select(F.col("of").alias("node"), F.col("low").alias("to")))
         now = written(sent.where("node <> to").select(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")).distinct(), "edges")
