@@ -2,15 +2,16 @@
 
 Building.  Vectors are dealt to blocks by the signs of a few random projections, once
 for each of ``TREES`` drawings; a block that got too many is dealt on by a hash.  The
-nearest in a block are a first neighbour list.  Then, ``ROUNDS`` times, every vector is
-sent to each of its neighbours; those that meet there are neighbours' neighbours of
-each other, are compared, and tell each other where that beats their lists.  A vector
-that very many have as a neighbour is split into blocks of ``MEET`` of them.
+nearest in a block are a first neighbour list.  Then, in rounds, every vector is sent to
+each of its neighbours; those that meet there are neighbours' neighbours of each other,
+are compared, and tell each other where that beats their lists.  A vector that very many
+have as a neighbour is split into blocks of ``MEET`` of them, anew in each round.  The
+rounds end when at most ``STILL`` of the list entries are new.
 
 Search.  ``expands(x)`` are the vectors that have x in their list, so each is found from
 any of its neighbours.  A query begins with entry points (an indexed row: its own list),
 and expands the nearest ``BEAM`` found so far that it has not expanded, all at once,
-until none is left or ``HOPS`` is reached.  The best found are scored again in double
+until no query has one left.  The best found are scored again in double
 precision on the original vectors.
 
 In the graph vectors are half-precision, which bounds what is shuffled.  Every vector is
@@ -26,6 +27,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,12 @@ from .common import fan_out, load, mix, sorted_runs, written
 
 DEGREE = 32
 TREES, LEAF = 8, 384
-ROUNDS = 2
+STILL = 0.001
 MEET = 128
-BEAM, HOPS = 256, 3
+BEAM = 256
 NODE = "id bigint, vec binary, ids binary, scores binary"
 NODE_ARROW = pa.schema([("id", pa.int64()), ("vec", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary())])
+MERGED_ARROW = NODE_ARROW.append(pa.field("fresh", pa.int32()))
 
 
 def valid_vectors(table: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -99,30 +102,38 @@ def _in_leaf(degree: int):
 
 
 def _merge(degree: int):
-    """Rows of a vector -> one row with its best neighbours; equal ones in a mixed order."""
+    """Rows of a vector -> one row with its best neighbours, equal ones in a mixed order,
+    and how many of them the row that has the vector did not list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for t in sorted_runs(batches, ["id"]):
             me = t.column("id")[0].as_py()
-            ids = np.frombuffer(b"".join(x for x in t.column("ids").to_pylist() if x), np.int64)
+            vecs, lists = t.column("vec").to_pylist(), t.column("ids").to_pylist()
+            ids = np.frombuffer(b"".join(x for x in lists if x), np.int64)
             scores = np.frombuffer(b"".join(x for x in t.column("scores").to_pylist() if x), np.float32)
-            ids, at = np.unique(ids, return_index=True)
-            scores = scores[at]
+            # of two scores of a neighbour, that differ by rounding, the greater: lists only get better
+            order = np.lexsort((-scores, ids))
+            ids, at = np.unique(ids[order], return_index=True)
+            scores = scores[order][at]
             order = np.lexsort((mix((ids ^ me).view(np.uint64)), -scores))
             order = order[ids[order] != me][:degree]
-            vec = next((v for v in t.column("vec").to_pylist() if v is not None), None)
-            rows.append((me, vec, ids[order].tobytes(), scores[order].tobytes()))
+            vec, own = next(((v, x) for v, x in zip(vecs, lists) if v is not None), (None, b""))
+            fresh = int((~np.isin(ids[order], np.frombuffer(own, np.int64))).sum())
+            rows.append((me, vec, ids[order].tobytes(), scores[order].tobytes(), fresh))
             if len(rows) >= 2000:
-                yield _nodes(*zip(*rows))
+                yield made(rows)
                 rows = []
         if rows:
-            yield _nodes(*zip(*rows))
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), MERGED_ARROW)], schema=MERGED_ARROW)
     return run
 
 
 def _merged(rows: DataFrame, degree: int) -> DataFrame:
     n = fan_out(rows.sparkSession)
-    return rows.repartition(n, "id").sortWithinPartitions("id").mapInArrow(_merge(degree), NODE)
+    return rows.repartition(n, "id").sortWithinPartitions("id").mapInArrow(_merge(degree), NODE + ", fresh int")
 
 
 MESSAGE = "at bigint, id bigint, vec binary, least float"
@@ -139,12 +150,12 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array([float(least[-1]) if len(least) >= DEGREE else -np.inf] * n, pa.float32())], ["at", "id", "vec", "least"])
 
 
-def sent(graph: DataFrame) -> DataFrame:
-    """Messages with ``part``: of those that meet at a vector, about ``MEET`` a part."""
+def sent(graph: DataFrame, seed: int = 0) -> DataFrame:
+    """Messages with ``part``: of those that meet at a vector, about ``MEET`` a part, dealt by ``seed``."""
     spark = graph.sparkSession
     met = graph.select("ids", "id").mapInArrow(_count, "at bigint").groupBy("at").agg(F.ceil(F.count("*") / MEET).alias("parts"))
     rows = graph.mapInArrow(_send, MESSAGE).join(met, "at", "left")
-    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.coalesce("parts", F.lit(1))).cast("int")
     return rows.select("at", part.alias("part"), "id", "vec", "least").repartition(fan_out(spark), "at", "part")
 
 
@@ -170,19 +181,23 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _nodes(ids[part][who], [None] * len(who), [ids[part][news[r]].tobytes() for r in who], [s[r][news[r]].astype(np.float32).tobytes() for r in who])
 
 
-def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph of (id, embedding): NODE rows, written."""
+def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, still: float = STILL) -> DataFrame:
+    """The neighbour graph of (id, embedding): NODE rows, written.  Every entry that is new to a
+    list has a better score than the last one there, so that the rounds come to an end."""
     half = written(vectors.mapInArrow(_half, "id bigint, vec binary"), "vectors")
     bits = max(1, int(np.ceil(np.log2(max(2, half.count() / LEAF)))))
     leaves = half.mapInArrow(_projected(trees, bits), "leaf bigint, id bigint, vec binary")
     sizes = leaves.select("leaf").groupBy("leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
     blocks = leaves.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("id", "leaf"), "parts").cast("int").alias("part"), "id", "vec")
     blocks = blocks.repartition(fan_out(vectors.sparkSession), "leaf", "part").sortWithinPartitions("leaf", "part")
-    graph = written(_merged(blocks.mapInArrow(_in_leaf(degree), NODE), degree), "graph")
-    for _ in range(rounds):
-        news = sent(graph).sortWithinPartitions("at", "part").mapInArrow(_meet, NODE)
-        graph = written(_merged(graph.unionByName(news), degree), "graph")
-    return graph
+    graph = written(_merged(blocks.mapInArrow(_in_leaf(degree), NODE), degree), "graph").drop("fresh")
+    for seed in count(1):
+        news = sent(graph, seed).sortWithinPartitions("at", "part").mapInArrow(_meet, NODE)
+        merged = written(_merged(graph.unionByName(news), degree), "graph")
+        graph = merged.drop("fresh")
+        fresh, entries = merged.agg(F.coalesce(F.sum("fresh"), F.lit(0)), F.coalesce(F.sum(F.length("ids")), F.lit(0)) / 8).first()
+        if fresh <= still * entries:
+            return graph
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +259,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([b"".join(t.column("vec").to_pylist())], pa.binary())], ["at", "found_ids", "found_vecs"])
 
 
-def search(graph: DataFrame, queries: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     """Greedy search for queries (id, vec, ids, scores: NODE rows, the ids being entry
     points); returns (id, ids, scores) with the ``beam`` nearest found, nearest first."""
     spark = graph.sparkSession
@@ -254,7 +269,7 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = BEAM, hops: int = H
     expands = expands.repartition(n, "at").sortWithinPartitions("at").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         state = written(queries.select(*NODE_ARROW.names, F.lit(b"").alias("done")), "beams")
-        for _ in range(hops):
+        while True:
             front = state.mapInArrow(_open(beam), "id bigint, qvec binary, least float, at bigint").repartition(n, "at")
             found = front.join(expands.hint("merge"), "at").mapInArrow(_scored, NODE).withColumn("done", F.lit(None).cast("binary"))
             both = state.mapInArrow(_finish, BEAMS).unionByName(found).repartition(n, "id").sortWithinPartitions("id")

@@ -276,3 +276,38 @@ def test_nearest_neighbours(spark):
     few = vectors.where("id < 3")
     tiny = nn_descent.build(few)
     assert nn_descent.nearest(nn_descent.search(tiny, tiny), few, few, 20).count() == 6
+
+
+def chain(spark, n):
+    """Vectors of one number, each with the next and the last one as neighbours."""
+    half = lambda x: np.asarray([x], np.float16).tobytes()
+    rows = []
+    for i in range(n):
+        ids = [j for j in (i + 1, i - 1) if 0 <= j < n]
+        rows.append((i, half(i / 64), np.array(ids, np.int64).tobytes(), np.array([i * j / 4096 for j in ids], np.float32).tobytes()))
+    return spark.createDataFrame(rows, nn_descent.NODE), half
+
+
+def test_search_goes_on_until_no_place_is_open(spark):
+    graph, half = chain(spark, 9)
+    query = spark.createDataFrame([(100, half(1), np.array([0], np.int64).tobytes(), np.zeros(1, np.float32).tobytes())], nn_descent.NODE)
+    found = nn_descent.search(graph, query, beam=2).first()
+    assert np.frombuffer(found.ids, np.int64).tolist() == [8, 7]
+
+
+def test_graph_rounds_end_when_lists_stand_still(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((2000, 24)).astype(np.float16).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    least = np.sort(s, axis=1)[:, -nn_descent.DEGREE]
+    found = nn_descent.build(vectors, trees=2).toPandas()
+    assert np.mean([(s[i, np.frombuffer(ids, np.int64)] >= least[i] - 1e-3).sum() / nn_descent.DEGREE for i, ids in zip(found.id, found.ids)]) > 0.97
+
+
+def test_hub_parts_are_dealt_anew_in_each_round(spark):
+    ids = np.array([0], np.int64).tobytes()
+    graph = spark.createDataFrame([(i, b"\0\0", ids if i else b"", b"\0" * 4 if i else b"") for i in range(600)], nn_descent.NODE)
+    parts = [{r.id: r.part for r in nn_descent.sent(graph, seed).where("at = 0").collect()} for seed in (1, 2)]
+    assert len(set(parts[0].values())) > 1 and parts[0] != parts[1]
