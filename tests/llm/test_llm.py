@@ -311,3 +311,27 @@ def test_hub_parts_are_dealt_anew_in_each_round(spark):
     graph = spark.createDataFrame([(i, b"\0\0", ids if i else b"", b"\0" * 4 if i else b"") for i in range(600)], nn_descent.NODE)
     parts = [{r.id: r.part for r in nn_descent.sent(graph, seed).where("at = 0").collect()} for seed in (1, 2)]
     assert len(set(parts[0].values())) > 1 and parts[0] != parts[1]
+
+
+def test_nearest_of_many_copies_are_the_least_ids(spark):
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((1300, 16)).astype(np.float32)
+    x[rng.permutation(1300)[:700]] = x[5] = x[5] / np.linalg.norm(x[5]) * 9
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+    found = nn_descent.neighbours(vectors, F.col("id") % 20 == 0, 20).toPandas()
+    copies = np.flatnonzero((x == x[5]).all(axis=1))
+    queries = [q for q in copies if q % 20 == 0]
+    assert len(queries) > 20 and found.query_id.nunique() == 65
+    for q in queries:
+        assert found[found.query_id == q].sort_values("rank").vec_id.tolist() == [c for c in copies if c != q][:20]
+    exact = x.astype(np.float64) @ x.astype(np.float64).T
+    for q, g in found.groupby("query_id"):
+        others = [i for i in np.lexsort((np.arange(1300), -exact[q].round(9))) if i != q][:20]
+        assert g.sort_values("rank").vec_id.tolist() == others
+
+
+def test_places_of_equal_score_go_to_the_least_ids(spark):
+    graph, half = chain(spark, 9)
+    graph = graph.withColumn("vec", F.lit(half(1))).withColumn("scores", F.expr("repeat('x', 0)").cast("binary"))
+    query = spark.createDataFrame([(100, half(1), np.array([8], np.int64).tobytes(), np.ones(1, np.float32).tobytes())], nn_descent.NODE)
+    assert np.frombuffer(nn_descent.search(graph, query, beam=2).first().ids, np.int64).tolist() == [0, 1]
