@@ -107,7 +107,7 @@ def test_pairs_with_one_hot_conversation(spark):
     """A third of all turns under one conversation id: partial aggregation keeps
     one row per map task for it, and the result equals the brute force."""
     from prefline.sources.tables import read_table
-    from conftest import SF_SMALL
+    from given_tables import SF_SMALL
     conv = read_table(spark, SF_SMALL, "conversations")
     n = conv.select(F.max("conv_id")).first()[0] + 1
     hot = n // 3
@@ -130,7 +130,7 @@ def test_linear_scorer_matches_hand_computed_probability(spark):
     from collections import Counter
     from prefline.operators.ml_scorer import LinearTextScorer
     from prefline.sources.tables import read_table
-    from conftest import SF_SMALL
+    from given_tables import SF_SMALL
     docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "text")
     labels = read_table(spark, SF_SMALL, "labels").select("doc_id", F.col("quality").alias("label"))
     scorer = LinearTextScorer(num_features=1 << 12, max_iter=10).fit(docs.join(labels, "doc_id"), "text", "label")

@@ -188,7 +188,7 @@ def test_split_null_keys_in_neither_part(spark):
 
 def test_catalog_load(spark, tmp_path):
     from prefline.sources.tables import Catalog
-    from conftest import SF_SMALL
+    from given_tables import SF_SMALL
     cat = Catalog(spark, SF_SMALL)
     assert cat.load("labels").columns == ["doc_id", "quality", "toxic"]
     path = str(tmp_path / "reviews.json")

@@ -7,7 +7,7 @@ from prefline.plans.catalog import catalog
 from prefline.plans.compare import compare
 from prefline.plans.oracle import ROUNDED, sql_catalog
 
-from conftest import SF_ORACLE, SF_SMALL
+from given_tables import SF_ORACLE, SF_SMALL
 
 SQL = sql_catalog()
 NAMES = sorted(catalog())

@@ -12,7 +12,7 @@ from prefline.operators.trials import trial_losses, trial_table
 from prefline.functions.text import words
 from prefline.sources.tables import read_table
 
-from conftest import SF_SMALL
+from given_tables import SF_SMALL
 
 
 def plan(df) -> str:
@@ -105,7 +105,7 @@ def test_results_hold_without_broadcast(spark, duck, name):
     """Large-table planning: with automatic broadcast off, joins become shuffle joins
     and results are unchanged."""
     from prefline.plans.compare import compare
-    from conftest import SF_ORACLE
+    from given_tables import SF_ORACLE
     keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     old = {k: spark.conf.get(k, None) for k in keys}
     try:

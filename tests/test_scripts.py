@@ -5,7 +5,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT, SF_SMALL
+from given_tables import ROOT, SF_SMALL
 
 
 def _run(args, env=None):

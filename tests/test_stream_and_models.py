@@ -17,7 +17,7 @@ from prefline.sources.sinks import append_log, cadence, read_log
 from prefline.sources.tables import read_table, table_path
 from prefline.streaming.score_stream import score_new_turns, score_turns
 
-from conftest import SF_SMALL
+from given_tables import SF_SMALL
 
 
 def test_stream_equals_batch(spark):

@@ -1,6 +1,6 @@
 """The README usage example, executed."""
 
-from conftest import SF_SMALL
+from given_tables import SF_SMALL
 
 
 def test_readme_usage(spark):
