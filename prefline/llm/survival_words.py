@@ -153,22 +153,20 @@ def survivors(docs: DataFrame, labels: DataFrame) -> DataFrame:
         total(F.lit(True)).alias("every"), total(F.col("label").bitwiseAND(1) == 1).alias("good"), total(F.col("label").bitwiseAND(2) == 2).alias("toxic"))
 
 
-def orders(spark: SparkSession) -> DataFrame:
-    """(filter_order, step, bit, before): each step of each of the 120 orders, with the
-    bit of its filter and those of the filters before it."""
-    rows = []
-    for order in permutations(range(5)):
-        before = 0
-        for step, f in enumerate(order, 1):
-            rows.append(("".join(FILTERS[i] for i in order), step, 1 << f, before))
-            before |= 1 << f
-    return spark.createDataFrame(rows, "filter_order string, step int, bit int, before int")
+def with_steps(counts: DataFrame) -> DataFrame:
+    """Each row with each step of each of the 120 orders: filter_order, step, the bit of
+    the step's filter, the bits of those ``before`` it and ``after`` it."""
+    orders = ["".join(o) for o in permutations(FILTERS)]
+    rows = counts.withColumn("filter_order", F.explode(F.lit(orders))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
+    bit = lambda at: F.expr(f"shiftleft(1, ascii(substring(filter_order, {at}, 1)) - {ord(FILTERS[0])})")
+    earlier = [F.when(F.col("step") > i, bit(i)).otherwise(F.lit(0)) for i in range(1, len(FILTERS))]
+    rows = rows.withColumn("bit", bit("step")).withColumn("before", sum(earlier[1:], earlier[0]))
+    return rows.withColumn("after", F.col("before") + F.col("bit"))
 
 
 def audit(counts: DataFrame) -> DataFrame:
     """All figures of all steps of all orders, for each part of ``survivors``."""
-    steps = orders(counts.sparkSession).withColumn("after", F.col("before") + F.col("bit"))
-    rows = counts.join(F.broadcast(steps))  # 600 steps, for each part
+    rows = with_steps(counts)
     at = lambda array, subset: F.get(F.col(array), subset)
     lost = lambda array: at(array, F.col("before")) - at(array, F.col("after"))
     fails = at("every", F.lit(0)) - at("every", F.col("bit"))
