@@ -10,6 +10,17 @@ from dataclasses import dataclass, field
 TEMPLATE_SEPARATOR = ": "
 TEMPLATE_MESSAGE_END = "\n\n"
 DEFAULT_EOS = "</s>"
+# The same template as a tokenizer carries it, and two other public formats.
+CHAT_TEMPLATES = {
+    "fallback": "{% for message in messages %}{{message['role'] + ': ' + message['content'] + '\n\n'}}{% endfor %}{{ eos_token }}",
+    "im_marks": "{% for message in messages %}{{ '<|im_start|>' + message['role'] + '\n' + message['content'] + '<|im_end|>' + '\n' }}"
+                "{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}",
+    "turn_marks": "{{ bos_token }}{% if messages[0]['role'] == 'system' %}{% set rest = messages[1:] %}{{ messages[0]['content'] | trim }}\n\n"
+                  "{% else %}{% set rest = messages %}{% endif %}{% for message in rest %}"
+                  "{% if message['role'] == 'assistant' %}{% set role = 'model' %}{% else %}{% set role = message['role'] %}{% endif %}"
+                  "{{ '<start_of_turn>' + role + '\n' + message['content'] | trim + '<end_of_turn>\n' }}{% endfor %}"
+                  "{% if add_generation_prompt %}{{'<start_of_turn>model\n'}}{% endif %}",
+}
 # Gemma answer wrapping.
 GEMMA_ANSWER_START = "<start_of_turn>model\n"
 GEMMA_ANSWER_END = "<end_of_turn>\n"

@@ -16,6 +16,9 @@ Finding the cut without a global sort
    top-r (``TakeOrderedAndProject`` over at most ``LOCAL_MAX`` rows).
 4. The split itself is a narrow comparison of every row's (hash, key) with
    that threshold: no shuffle, no window, no row count per partition.
+5. Where the key at the cut stands on several rows and the cut falls among them,
+   those rows alone are numbered across the cluster, and the first so many are
+   inside: the sizes are exact on any multiset of keys.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ class Cut:
     n: int
     k: int
     threshold: tuple[str, object] | None  # (hash, key) of the k-th row, None if k in (0, n)
+    inside: int | None = None  # rows of that key that are inside; None: all of them
 
 
 def train_count(fraction: float, n: int) -> int:
@@ -94,7 +98,9 @@ def _thresholds(df: DataFrame, key: str, targets: list) -> list[tuple[str, objec
     for i, (h, bucket, prefix_len, r) in enumerate(targets):
         inner = df.where(F.substring(h, 1, prefix_len) == F.lit(bucket)) \
             .select(F.lit(i).alias("_i"), h.alias("_h"), F.col(key).alias("_k"))
-        last = inner.orderBy("_h", "_k").limit(r).orderBy(F.desc("_h"), F.desc("_k")).limit(1)
+        # a whole hash is one key, however many rows it stands on: any of them will do
+        last = inner.limit(1) if prefix_len >= 32 else \
+            inner.orderBy("_h", "_k").limit(r).orderBy(F.desc("_h"), F.desc("_k")).limit(1)
         probes = last if probes is None else probes.unionByName(last)
     rows = {r["_i"]: (r["_h"], r["_k"]) for r in probes.collect()}
     return [rows[i] for i in range(len(targets))]
@@ -112,11 +118,47 @@ def _cuts(df: DataFrame, key: str, orders: list) -> list[Cut]:
             targets.append((h, *_locate(df, h, k, hist)))
             slots.append(len(cuts) - 1)
     if targets:
-        for slot, thr in zip(slots, _thresholds(df, key, targets)):
-            cuts[slot] = Cut(cuts[slot].n, cuts[slot].k, thr)
+        found = _thresholds(df, key, targets)
+        for slot, thr, inside in zip(slots, found, _inside(df, key, targets, found)):
+            cuts[slot] = Cut(cuts[slot].n, cuts[slot].k, thr, inside)
     return cuts
 
 
+def _inside(df: DataFrame, key: str, targets: list, found: list) -> list[int | None]:
+    """For each located cut, how many rows of its key are inside, or None for all of them.
+    One job; it counts in the located buckets only."""
+    sums, scope = [], None
+    for i, ((h, bucket, prefix_len, _), (th, tk)) in enumerate(zip(targets, found)):
+        here = F.substring(h, 1, prefix_len) == F.lit(bucket)
+        scope = here if scope is None else scope | here
+        same = here & (h == F.lit(th)) & (F.col(key) == F.lit(tk))
+        before = here & ((h < F.lit(th)) | ((h == F.lit(th)) & (F.col(key) < F.lit(tk))))
+        sums += [F.count(F.when(before, 1)).alias(f"b{i}"), F.count(F.when(same, 1)).alias(f"s{i}")]
+    counts = df.where(scope).agg(*sums).first()
+    left = [t[3] - counts[f"b{i}"] for i, t in enumerate(targets)]
+    return [r if r < counts[f"s{i}"] else None for i, r in enumerate(left)]
+
+
+TIE = "__place"
+
+
+def with_places(df: DataFrame, key: str, cuts: list[Cut]) -> DataFrame:
+    """Add ``TIE``: the place of a row among those of its key (from 1), where a cut falls
+    among the rows of that key; null elsewhere.  Only these rows are sorted."""
+    keys = sorted({c.threshold[1] for c in cuts if c.inside is not None})
+    if not keys:
+        return df.withColumn(TIE, F.lit(None).cast("bigint"))
+    from prefline.operators.tokens import dense_order_ids
+
+    torn = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    order = [key] + [F.xxhash64(*[c for c in df.columns if c != key])] if len(df.columns) > 1 else [key]
+    numbered = dense_order_ids(df.where(torn), order, 1, TIE)
+    # at most one row for each cut
+    first = numbered.groupBy(F.col(key).alias("_of")).agg(F.min(TIE).alias("_first"))
+    placed = numbered.join(F.broadcast(first), F.col(key) == F.col("_of")).withColumn(TIE, F.col(TIE) - F.col("_first") + 1)
+    return df.where(~torn).withColumn(TIE, F.lit(None).cast("bigint")).unionByName(placed.drop("_of", "_first"))
+
+
 def find_cut(df: DataFrame, key: str, k_of_n, seed, hist: list | None = None) -> Cut:
     """Cut after the first ``k_of_n(n)`` rows in (md5(seed|key), key) order."""
     if hist is None:
@@ -130,7 +172,10 @@ def within(key_col: Column, seed, cut: Cut) -> Column:
         return key_col.isNotNull() & F.lit(cut.k >= cut.n)
     h = hash_key(seed, key_col)
     th, tk = cut.threshold
-    return F.coalesce((h < F.lit(th)) | ((h == F.lit(th)) & (key_col <= F.lit(tk))), F.lit(False))
+    last = key_col <= F.lit(tk)
+    if cut.inside is not None:  # the frame then comes from ``with_places``
+        last = (key_col < F.lit(tk)) | ((key_col == F.lit(tk)) & (F.col(TIE) <= F.lit(cut.inside)))
+    return F.coalesce((h < F.lit(th)) | ((h == F.lit(th)) & last), F.lit(False))
 
 
 def _has_exchange(df: DataFrame) -> bool:
@@ -175,13 +220,10 @@ def split_flags(df: DataFrame, key: str, cfg: SplitConfig = SplitConfig(),
     A frame holding only the key column is answered from the materialised keys.
     """
     keys, train_cut, eval_seed, eval_cut = split_cuts(df, key, cfg, materialize)
-    base = keys if df.columns == [key] else df
+    base = with_places(keys if df.columns == [key] else df, key, [c for c in (train_cut, eval_cut) if c])
     in_train = within(F.col(key), cfg.seed, train_cut)
-    if eval_cut is None:
-        return base.withColumn("in_train", in_train) \
-                   .withColumn("in_eval", F.col(key).isNotNull() & ~in_train)
-    return base.withColumn("in_train", in_train) \
-               .withColumn("in_eval", within(F.col(key), eval_seed, eval_cut))
+    in_eval = F.col(key).isNotNull() & ~in_train if eval_cut is None else within(F.col(key), eval_seed, eval_cut)
+    return base.withColumn("in_train", in_train).withColumn("in_eval", in_eval).drop(TIE)
 
 
 def split_audit(df: DataFrame, key: str, fraction: float = 0.8, seed=42, eval_seed=None,
@@ -197,7 +239,7 @@ def split_audit(df: DataFrame, key: str, fraction: float = 0.8, seed=42, eval_se
     t = within(F.col(key), seed, train_cut)
     e = within(F.col(key), eseed, eval_cut)
     one = F.lit(1)
-    row = keys.agg(F.count(F.when(F.col(key).isNotNull() & ~t, one)).alias("d_eval"),
+    row = with_places(keys, key, [train_cut, eval_cut]).agg(F.count(F.when(F.col(key).isNotNull() & ~t, one)).alias("d_eval"),
                    F.count(F.when(e, one)).alias("i_eval"),
                    F.count(F.when(e & t, one)).alias("i_leak"))
     return row.select(F.inline(F.array(

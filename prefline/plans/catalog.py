@@ -10,13 +10,16 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefline.config import (DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_MAX_TOKENS, QUERY_SYSTEM_PROMPT, DatasetConfig,
+from prefline.config import (CHAT_TEMPLATES, DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_MAX_TOKENS, QUERY_SYSTEM_PROMPT, DatasetConfig,
                              RewardConfig, SplitConfig, TokenConfig, SWEEP_COUNT)
 from prefline.functions import scores as S
 from prefline.functions import templates as TM
+from prefline.functions.chat_template import compile_template
 from prefline.functions.text import token_count, word_count, words
+from prefline.operators import bayes_scorer, subword
 from prefline.operators import rewards as R
 from prefline.operators import preference as P
+from prefline.operators.batches import length_batches, pad_batches
 from prefline.operators.generate import EchoGenerator, generate
 from prefline.operators.ml_scorer import LinearTextScorer
 from prefline.operators.evaluate import evaluate_once
@@ -28,11 +31,12 @@ from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, Word
 from prefline.operators.split import split_audit, split_parts
 from prefline.operators.tokens import build_vocab, encode_join
 from prefline.operators.trials import best_trials, trial_losses, trial_table, with_schedule
-from prefline.sources.adapters import adapt_queries
+from prefline.sources.adapters import adapt_queries, nested_reason
 from prefline.session import checkpoint_root
 from prefline.sources.sinks import LOG_COLUMNS, append_log, new_run_id, read_log
 from prefline.sources.tables import read_table, spread, table_path
 from prefline.streaming.score_stream import score_new_turns
+from prefline.streaming.step_log import log_scored_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -289,6 +293,73 @@ def q37_prompt_dataset_system(spark: SparkSession, root: str) -> DataFrame:
     return _joined_arrays(build_query_dataset(_t(spark, root, "conversations"), vocabulary(spark, root), cfg))
 
 
+BOS, BATCH_SIZE, STEP_ROWS = "<bos>", 16, 4
+
+
+def q38_chat_templates(spark: SparkSession, root: str) -> DataFrame:
+    """Each template, compiled from its text, over all messages of a conversation."""
+    messages = P.conversation_messages(_t(spark, root, "conversations"))
+    rows = [F.struct(F.lit(name).alias("template"), compile_template(text, bos_token=BOS, add_generation_prompt=True)(F.col("messages")).alias("rendered"))
+            for name, text in CHAT_TEMPLATES.items()]
+    return messages.select("conv_id", F.inline(F.array(*rows)))
+
+
+def q39_bayes_scorer(spark: SparkSession, root: str) -> DataFrame:
+    """Trained on the labelled documents that are not held out, scoring all documents."""
+    docs = _t(spark, root, "documents").select("doc_id", "text")
+    labels = _t(spark, root, "labels").select("doc_id", F.col("quality").alias("label")).where(~bayes_scorer.held_out("doc_id"))
+    model = bayes_scorer.train(docs.join(labels, "doc_id"))
+    out = bayes_scorer.score(docs, model, "doc_id")
+    return out.select("doc_id", bayes_scorer.held_out("doc_id").alias("held_out"), "score", (F.col("score") > 0).cast("int").alias("predicted"))
+
+
+def q40_length_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Rendered prompts dealt into batches by length, padded to each batch's longest."""
+    cfg = DatasetConfig(max_length=QUERY_MAX_TOKENS, padding=False)
+    ds = build_query_dataset(_t(spark, root, "conversations"), vocabulary(spark, root), cfg)
+    batched = pad_batches(length_batches(ds, "conv_id", "input_ids", BATCH_SIZE), "input_ids")
+    return _joined_arrays(batched).join(batched.select("conv_id", "batch", "batch_length"), "conv_id")
+
+
+def q41_step_log(spark: SparkSession, root: str) -> DataFrame:
+    """Scored turns as a step-numbered stream; step 1 and each 10th are logged."""
+    return log_scored_turns(spark, table_path(root, "conversations"), STEP_ROWS)
+
+
+def q42_nested_queries(spark: SparkSession, root: str) -> DataFrame:
+    """The nested source form, with the reason where a row has no query."""
+    turn = F.when(F.col("role") == "user", F.struct("turn", F.col("text").alias("input")))
+    rows = _t(spark, root, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    nested = rows.select("conv_id", F.lit("turns").alias("source"), F.transform("turns", lambda t: F.struct(t["input"].alias("input"))).alias("conversation"))
+    return adapt_queries(nested.withColumn("reason", nested_reason()))
+
+
+def q43_split_repeated(spark: SparkSession, root: str) -> DataFrame:
+    """L2, L3 on a key that stands on many rows: the part sizes are exact all the same."""
+    parts = split_parts(_t(spark, root, "documents").select("lang"), "lang", SplitConfig(fraction=0.55, seed=42))
+    return parts.groupBy("lang", "part").agg(F.count("*").alias("n"))
+
+
+def _subword(spark: SparkSession) -> subword.SubwordTokenizer:
+    import public_tokenizers
+
+    return subword.SubwordTokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def q44_subword_prompts(spark: SparkSession, root: str) -> DataFrame:
+    """P5, P9, T6, T8 with a public vocabulary: template -> ids -> limit -> batches."""
+    cfg = DatasetConfig(max_length=QUERY_MAX_TOKENS, sys_prompt=True, padding="longest")
+    template = compile_template(CHAT_TEMPLATES["im_marks"], add_generation_prompt=True)
+    ds = subword.build_query_dataset(_t(spark, root, "conversations"), _subword(spark), cfg, template, batch_size=BATCH_SIZE)
+    return ds.select("conv_id", "batch", "batch_length", "n_tokens", F.array_join("input_ids", ",").alias("ids"))
+
+
+def q45_subword_prefix(spark: SparkSession, root: str) -> DataFrame:
+    """P10, T7, T9 with a public vocabulary."""
+    ds = subword.build_prefix_dataset(_t(spark, root, "documents").select("doc_id", "text"), _subword(spark))
+    return ds.select("doc_id", "k", "query")
+
+
 def catalog() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items()
             if name[:1] == "q" and name[1:3].isdigit() and callable(fn)}

@@ -289,6 +289,52 @@ SELECT conv_id, response, ref_response, {w('helpful', 'human')} AS reward,
 SELECT conv_id, {w('helpful', 'human')} AS reward, {w('ref_helpful', 'ref_human')} AS ref_reward,
        {w('helpful', 'human')} - {w('ref_helpful', 'ref_human')} AS margin
 FROM scored"""
+    messages = """m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations)"""
+    white = q("".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])))
+    out["q38_chat_templates"] = f"""WITH {messages},
+r AS (
+  SELECT conv_id, pos, 'fallback' AS template, role || ': ' || text || chr(10) || chr(10) AS piece FROM m
+  UNION ALL SELECT conv_id, pos, 'im_marks', '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) FROM m
+  UNION ALL SELECT conv_id, pos, 'turn_marks',
+    CASE WHEN pos = 1 AND role = 'system' THEN trim(text, {white}) || chr(10) || chr(10)
+         ELSE '<start_of_turn>' || (CASE WHEN role = 'assistant' THEN 'model' ELSE role END) || chr(10) || trim(text, {white}) || '<end_of_turn>' || chr(10) END
+  FROM m),
+j AS (SELECT conv_id, template, string_agg(piece, '' ORDER BY pos) AS body FROM r GROUP BY ALL)
+SELECT conv_id, template, CASE template WHEN 'fallback' THEN body || '</s>' WHEN 'im_marks' THEN body || '<|im_start|>assistant' || chr(10)
+  ELSE '<bos>' || body || '<start_of_turn>model' || chr(10) END AS rendered FROM j"""
+    held = f"({h8('bayes', 'doc_id')} % 5 = 0)"
+    out["q39_bayes_scorer"] = f"""WITH l AS (
+  SELECT doc_id, text, quality AS y FROM documents JOIN labels USING (doc_id) WHERE NOT {held} AND quality IN (0, 1) AND text IS NOT NULL),
+c AS (SELECT tok, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM (SELECT y, unnest({words('text')}) AS tok FROM l) GROUP BY tok),
+t AS (SELECT count(*) AS v, sum(n1) AS n1, sum(n0) AS n0 FROM c),
+k AS (SELECT tok, round(ln(((c.n1 + 1)::DOUBLE * (t.n0 + t.v)::DOUBLE) / ((c.n0 + 1)::DOUBLE * (t.n1 + t.v)::DOUBLE)) * 1000000)::BIGINT AS weight FROM c, t),
+p AS (SELECT round(ln((count(*) FILTER (y = 1) + 1)::DOUBLE / (count(*) FILTER (y = 0) + 1)::DOUBLE) * 1000000)::BIGINT AS prior FROM l),
+s AS (SELECT doc_id, sum(weight)::BIGINT AS s FROM (SELECT doc_id, unnest({words('text')}) AS tok FROM documents) JOIN k USING (tok) GROUP BY doc_id),
+f AS (SELECT doc_id, {held} AS held_out, prior + coalesce(s, 0) AS score FROM documents LEFT JOIN s USING (doc_id), p)
+SELECT doc_id, held_out, score, (score > 0)::INTEGER AS predicted FROM f"""
+    plain = padded(bare, "[3]").replace("FROM sized WHERE n <= 125", "")
+    out["q40_length_batches"] = plain[:plain.index("SELECT conv_id,\n       array_to_string")] + f""",
+placed AS (SELECT *, (row_number() OVER (ORDER BY n, {h8('batch', 'conv_id')}, conv_id) - 1) // 16 AS batch FROM sized WHERE n <= 125),
+longest AS (SELECT *, max(n) OVER (PARTITION BY batch) AS batch_length FROM placed)
+SELECT conv_id, array_to_string(list_concat(list_transform(range(batch_length - n), lambda x: 0), ids), ',') AS ids,
+       array_to_string(list_concat(list_transform(range(batch_length - n), lambda x: 0), list_transform(range(n), lambda x: 1)), ',') AS mask,
+       n AS n_tokens, batch, batch_length FROM longest"""
+    out["q41_step_log"] = f"""WITH s AS (
+  SELECT conv_id, turn, {human_logit('text')} AS score FROM conversations WHERE role = 'assistant'),
+n AS (SELECT *, (row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, score NULLS FIRST) - 1) // 4 + 1 AS step FROM s)
+SELECT conv_id, turn, score, step FROM n WHERE step = 1 OR step % 10 = 0"""
+    out["q42_nested_queries"] = """WITH m AS (
+  SELECT conv_id, list(struct_pack(i := text) ORDER BY turn, text) FILTER (role = 'user') AS l FROM conversations GROUP BY conv_id)
+SELECT conv_id, l[1].i AS query, CASE WHEN l IS NULL THEN 'empty_list' WHEN l[1].i IS NULL THEN 'no_input' END AS reason FROM m"""
+    out["q43_split_repeated"] = """WITH g AS (SELECT lang, count(*) AS c FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+r AS (SELECT lang, c, coalesce(sum(c) OVER (ORDER BY md5('42|' || lang), lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        CAST(floor(0.55::DOUBLE * sum(c) OVER ()) AS BIGINT) AS k FROM g),
+i AS (SELECT lang, c, greatest(0, least(c, k - before))::BIGINT AS inside FROM r)
+SELECT lang, 'train' AS part, inside AS n FROM i WHERE inside > 0
+UNION ALL SELECT lang, 'eval' AS part, c - inside AS n FROM i WHERE inside < c"""
     return out
 
 

@@ -13,7 +13,7 @@ messages (message form, T5).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,17 @@ def drop_existing(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.drop(*cols)
 
 
+def nested_reason() -> Column:
+    """Why a nested row has no query: its list is null or empty, or its first element has
+    no ``input``; null for a row that has one."""
+    first = F.get(F.col("conversation"), 0)
+    return (F.when(F.col("conversation").isNull(), "null_list").when(F.size("conversation") == 0, "empty_list")
+            .when(first["input"].isNull(), "no_input"))
+
+
 def nested_queries(df: DataFrame) -> DataFrame:
-    """First element's ``input``; an empty list gives null (quarantined later)."""
+    """First element's ``input``; a row without one keeps a null query, and
+    ``nested_reason`` says why."""
     first_input = F.get(F.col("conversation"), 0)["input"]
     return drop_existing(df.withColumn("query", first_input), ["source", "conversation"])
 
