@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     found = rows.join(repeated.hint("shuffle_merge"), "key")
     windows = _counted(found.mapInArrow(_windows(window, period, cover), HASH_SCHEMA), repeated=False)
     told = windows.groupBy("key").agg(
-        F.collect_list("ranges").alias("ranges"), F.collect_set(F.when(F.col("ranges").isNull(), F.col("start"))).alias("single"))
+        F.collect_set("ranges").alias("ranges"), F.collect_set(F.when(F.col("ranges").isNull(), F.col("start"))).alias("single"))
     joined = rows.join(told.hint("shuffle_merge"), "key", "left")
     own = ["__text" if c == "text" else o for c, o in zip(columns, own)]
     joined = joined.select(*own, "__null", "key", "ranges", "single")

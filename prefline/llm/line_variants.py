@@ -32,25 +32,55 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import Rolling, fan_out, load, mix, written
 
 NEAR_CHARS = 24
+KEYS = 1 << 16
 _HASH = Rolling(0xE7037ED1A0B428DB)
 ORDER = ["doc_id", "key", "line_no"]
 VARIANTS = "v bigint, place int, doc_id bigint, key bigint, line_no int, line string"
 
 
+def _emitted(places: list[tuple], lines: list[str]) -> pa.RecordBatch:
+    """The keys of some lines (``places``: doc_id, key, line_no of each) in one batch."""
+    n = np.array([len(x) for x in lines])
+    points = mix(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+    prefix, down = _HASH.prefix(points), _HASH._powers(len(points) + 1)[1]
+    end, own = np.cumsum(n), np.repeat(np.arange(len(n)), n)
+    first = end - n
+    whole = (prefix[end] - prefix[first]) * down[first]
+    at = np.arange(len(points))
+    less = (prefix[at] - prefix[first[own]]) * down[first[own]] + (prefix[end[own]] - prefix[at + 1]) * down[first[own] + 1]
+    # each line's own key, then those without one of its characters
+    head = first + np.arange(len(n))
+    body = np.ones(len(points) + len(n), bool)
+    body[head] = False
+    v = np.empty(len(body), np.uint64)
+    v[head], v[body] = mix(whole + n.astype(np.uint64)), mix(less + (n[own] - 1).astype(np.uint64))
+    place = np.full(len(body), -1, np.int32)
+    place[body] = at - first[own]
+    doc_ids, keys, numbers = zip(*places)
+    of = pa.array(np.repeat(np.arange(len(n)), n + 1), pa.int32())
+    text = pa.array(np.where(body, -1, np.repeat(np.arange(len(n)), n + 1)), pa.int32(), mask=body)
+    return pa.RecordBatch.from_arrays([
+        pa.array(v.view(np.int64)), pa.array(place), pa.array(doc_ids, pa.int64()).take(of), pa.array(keys, pa.int64()).take(of),
+        pa.array(numbers, pa.int32()).take(of), pa.array(lines, pa.string()).take(text)], [c.split()[0] for c in VARIANTS.split(", ")])
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, text, line_nos) -> keys of those lines; place -1: the line itself,
-    which alone carries its text."""
+    which alone carries its text.  A batch holds about ``KEYS`` keys, or those of one
+    longer line."""
+    places, held, size = [], [], 0
     for b in batches:
-        for doc_id, key, text, line_nos in zip(*(c.to_pylist() for c in b.columns)):
-            lines = text.split("\n")
-            for k in line_nos:
-                points = mix(np.frombuffer(lines[k].encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
-                prefix, n = _HASH.prefix(points), len(points)
-                less = prefix[:-1] + (prefix[-1] - prefix[1:]) * np.uint64(_HASH.inverse)
-                keys = np.concatenate([mix(prefix[-1:] + np.uint64(n)), mix(less + np.uint64(n - 1))]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys), pa.array(np.arange(-1, n, dtype=np.int32)), pa.array([doc_id] * (n + 1), pa.int64()), pa.array([key] * (n + 1), pa.int64()),
-                    pa.array([k] * (n + 1), pa.int32()), pa.array([lines[k]] + [None] * n, pa.string())], [c.split()[0] for c in VARIANTS.split(", ")])
+        for doc_id, key, text, line_nos in zip(*b.columns):
+            lines, doc_id, key = text.as_py().split("\n"), doc_id.as_py(), key.as_py()
+            for k in line_nos.as_py():
+                if held and size + len(lines[k]) > KEYS:
+                    yield _emitted(places, held)
+                    places, held, size = [], [], 0
+                places.append((doc_id, key, k))
+                held.append(lines[k])
+                size += len(lines[k])
+    if held:
+        yield _emitted(places, held)
 
 
 def _keep(columns: int):

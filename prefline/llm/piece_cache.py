@@ -158,6 +158,16 @@ class CachedEncoder:
             begin, end = begin[kept], end[kept]
         hashes = _HASH.ranges(_HASH.prefix(self.code[points]), begin, end)
         hashes = mix(hashes + (end - begin).astype(np.uint64)) | np.uint64(1)
+        # so many pre-tokens at a time as the cache has room for, were they all different
+        parts = [self._known(joined, begin[i:i + CACHE_ENTRIES], end[i:i + CACHE_ENTRIES], hashes[i:i + CACHE_ENTRIES])
+                 for i in range(0, len(begin), CACHE_ENTRIES)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *[x for x, _ in parts]])
+        upto = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int32), *[x for _, x in parts]]))])
+        bound = upto[np.searchsorted(begin, np.append(rows, len(points)))]
+        return ids, np.diff(bound)
+
+    def _known(self, joined: str, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per pre-token) of at most ``CACHE_ENTRIES`` pre-tokens."""
         entry = self._find(hashes)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
@@ -170,10 +180,7 @@ class CachedEncoder:
             self._learn(new, [joined[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist())])
             entry[missing] = self._find(hashes[missing])
         size = self.size[entry]
-        ids = self.flat[spans(self.first[entry], size)]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        bound = upto[np.searchsorted(begin, np.append(rows, len(points)))]
-        return ids, np.diff(bound)
+        return self.flat[spans(self.first[entry], size)], size
 
     def arrays(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Each text's ids and the end id."""
