@@ -46,10 +46,14 @@ class CachedEncoder:
         import regex
         from tokenizers import Tokenizer
 
+        self.letters = np.arange(256, dtype=np.uint32)
+        self.letters[list(LETTERS)] = list(LETTERS.values())
+        self.letters[0] = 0  # stands between pieces; no piece holds it
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = self.tokenizer.normalizer is not None
-        self.unusual = regex.compile(f"[^{USUAL}]").search
+        unusual = regex.compile(f"[^{USUAL}]").match
+        self.unusual = np.array([bool(unusual(chr(c))) for c in range(0x2100)] + [True])
         self.kinds = _classes()
         self.code = mix(np.arange(1, 1 + len(self.kinds), dtype=np.uint64))
         self._clear()
@@ -111,7 +115,9 @@ class CachedEncoder:
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         tokenize = self.tokenizer.model.tokenize
         for i in range(0, len(pieces), 4096):
-            lists = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(LETTERS))] for p in pieces[i:i + 4096]]
+            raw = np.frombuffer("\0".join(pieces[i:i + 4096]).encode(), np.uint8)
+            spelt = self.letters[raw].tobytes().decode("utf-32-le").split("\0")
+            lists = [[t.id for t in tokenize(p)] for p in spelt]
             sizes = np.fromiter(map(len, lists), np.int32, len(lists))
             ids = np.fromiter((x for y in lists for x in y), np.uint32, int(sizes.sum()))
             while self.used + len(ids) > len(self.flat):
@@ -133,12 +139,20 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text)."""
-        whole = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if self.unusual(t)}
-        usual = ["" if i in whole else t for i, t in enumerate(texts)]
-        joined = "".join(usual)
+        joined, lengths = "".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        odd = np.flatnonzero(self.unusual[np.minimum(points, 0x2100)])
+        whole = {}
+        if len(odd):
+            rows = np.unique(np.searchsorted(np.cumsum(lengths), odd, "right")).tolist()
+            whole = {i: np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in rows}
+            joined = "".join("" if i in whole else t for i, t in enumerate(texts))
+            lengths[rows] = 0
         if self.words:
             joined = joined.lower()  # these characters keep their number, and stay as they are under NFC
-        ids, counts = self._usual(joined, np.fromiter(map(len, usual), np.int64, len(usual)))
+        if self.words or whole:
+            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        ids, counts = self._usual(joined, points, lengths)
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, x in whole.items():
@@ -146,8 +160,7 @@ class CachedEncoder:
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, counts
 
-    def _usual(self, joined: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    def _usual(self, joined: str, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.cumsum(lengths) - lengths
         if not len(points):
             return np.zeros(0, np.uint32), np.zeros(len(lengths), np.int64)

@@ -38,8 +38,8 @@ TERMINALS = 50_304
 SYMBOLS = 1 << 16
 
 
-def _cell(code: np.ndarray) -> np.ndarray:
-    return (code * 0x9E3779B97F4A7C1 >> 40) & 0xFFFFF
+def _cell(code: np.ndarray, cells: int) -> np.ndarray:
+    return (code * 0x9E3779B97F4A7C1 >> 40) & (cells - 1)
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int = TERMINALS, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,38 +47,54 @@ def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int = TERMINALS, fre
     seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
     rules: dict[int, int] = {}
-    while len(seq) > 1 and terminals + len(rules) < SYMBOLS:
-        code = np.where(last[:-1], -1, seq[:-1] << 32 | seq[1:])
+    # places whose pair may be replaced: a pair that is not frequent gets no more places
+    # but where a symbol next to it is new, so only these are counted again
+    at = np.flatnonzero(~last[:-1]) if len(seq) else np.zeros(0, np.int64)
+    while len(at) and terminals + len(rules) < SYMBOLS:
+        code = seq[at] << 32 | seq[at + 1]
         # count by hash first: only pairs in well-filled cells can be frequent
-        cell = _cell(code)
-        filled = np.bincount(cell, minlength=1 << 20) >= frequent
-        kept = code[filled[cell] & (code >= 0)]
+        cells = 1 << min(20, max(12, (2 * len(at)).bit_length()))
+        cell = _cell(code, cells)
+        kept = code[(np.bincount(cell, minlength=cells) >= frequent)[cell]]
         pairs, counts = np.unique(kept, return_counts=True)
         known = np.fromiter(rules, np.int64, len(rules))
-        top = np.flatnonzero((counts >= frequent) & ~np.isin(pairs, known))
+        often = counts >= frequent
+        top = np.flatnonzero(often & ~np.isin(pairs, known))
         top = top[np.argsort(-counts[top], kind="stable")][:min(PER_ROUND, SYMBOLS - terminals - len(rules))]
         if not len(top):
             break
         chosen = np.concatenate([known, pairs[top]])
         # the best chosen pair of each cell; another one there waits for a later round
-        best = np.full(1 << 20, len(chosen), np.int32)
-        np.minimum.at(best, _cell(chosen), np.arange(len(chosen), dtype=np.int32))
+        best = np.full(cells, len(chosen), np.int32)
+        np.minimum.at(best, _cell(chosen, cells), np.arange(len(chosen), dtype=np.int32))
         rank = best[cell]
         rank[np.append(chosen, -2)[rank] != code] = len(chosen)
         # a place wins if no overlapping place has a better pair; of equal ones the first
         wins = rank < len(chosen)
-        wins[1:] &= rank[1:] < rank[:-1]
-        wins[:-1] &= rank[:-1] <= rank[1:]
-        place = np.flatnonzero(wins)
+        beside = at[1:] == at[:-1] + 1
+        wins[1:] &= ~beside | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~beside | (rank[:-1] <= rank[1:])
+        place = at[wins]
         if not len(place):
             break
+        # pairs that stay worth a look, by the same cells: frequent ones and known ones
+        look = np.zeros(cells, bool)
+        look[_cell(pairs[often], cells)] = True
+        look[_cell(chosen, cells)] = True
         for pair in pairs[top].tolist():
             rules[pair] = terminals + len(rules)
-        seq[place] = terminals + rank[place]
+        seq[place] = terminals + rank[wins]
         last[place] |= last[place + 1]
         stays = np.ones(len(seq), bool)
         stays[place + 1] = False
-        seq, last = seq[stays], last[stays]
+        open_ = np.zeros(len(seq), bool)
+        open_[at[look[cell]]] = True
+        open_[place] = True
+        before = place[place > 0] - 1
+        before -= ~stays[before]  # the symbol before a new one may have been replaced too
+        open_[before] = True
+        seq, last, open_ = seq[stays], last[stays], open_[stays]
+        at = np.flatnonzero(open_[:-1] & ~last[:-1])
     pairs = np.fromiter(rules, np.int64, len(rules))
     ends = np.flatnonzero(last)
     return np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1), seq, np.diff(ends, prepend=-1)

@@ -335,3 +335,52 @@ def test_places_of_equal_score_go_to_the_least_ids(spark):
     graph = graph.withColumn("vec", F.lit(half(1))).withColumn("scores", F.expr("repeat('x', 0)").cast("binary"))
     query = spark.createDataFrame([(100, half(1), np.array([8], np.int64).tobytes(), np.ones(1, np.float32).tobytes())], nn_descent.NODE)
     assert np.frombuffer(nn_descent.search(graph, query, beam=2).first().ids, np.int64).tolist() == [0, 1]
+
+
+def test_more_new_words_than_the_cache_holds(monkeypatch):
+    """Texts with more different pre-tokens than the cache has entries, in one call."""
+    from prefline.llm import piece_cache
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(piece_cache, "CACHE_ENTRIES", 500)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (3000, 0, 40, 1200)] + ["日本 " + word(), "a\0b", "x"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = P.path(name)
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = True
+        own = piece_cache.CachedEncoder(path)
+        for _ in range(2):
+            assert [x.tolist() for x in own.arrays(texts, 7)] == [library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+
+
+def test_line_variants_are_the_lines_without_one_character():
+    """Keys of many lines in one batch: equal keys at equal places for equal rests."""
+    lines = ["abcdefgh", "abcdxfgh", "abcdfgh", "", "é日本", "é日x本"]
+    b = line_variants._emitted([(k, 10 * k, k) for k in range(len(lines))], lines)
+    rows = list(zip(*(c.to_pylist() for c in b.columns)))
+    assert b.num_rows == sum(map(len, lines)) + len(lines)
+    spelt = {}
+    for v, place, doc_id, key, line_no, line in rows:
+        assert key == 10 * doc_id == 10 * line_no and line == (lines[doc_id] if place < 0 else None)
+        rest = lines[doc_id] if place < 0 else lines[doc_id][:place] + lines[doc_id][place + 1:]
+        assert spelt.setdefault(v, rest) == rest
+    assert len(spelt) == len(set(spelt.values()))
+
+
+def test_line_variants_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_variants, "KEYS", 10)
+    text = "one line here\nanother line\nthird"
+    b = pa.RecordBatch.from_arrays([pa.array([1, None], pa.int64()), pa.array([5, 6], pa.int64()), pa.array([text, text]), pa.array([[0, 2], [1]], pa.list_(pa.int32()))], ["doc_id", "key", "text", "line_nos"])
+    out = [r for x in line_variants._variants(iter([b])) for r in zip(*(c.to_pylist() for c in x.columns))]
+    assert [(d, k, n, line) for _, p, d, k, n, line in out if p < 0] == [(1, 5, 0, "one line here"), (1, 5, 2, "third"), (None, 6, 1, "another line")]
+
+
+def test_substring_dedup_of_many_copies_without_ids(make):
+    """Copies under a null id share one entry of ranges; the time does not grow with their square."""
+    text = " ".join(f"w{k}" for k in range(60))
+    out = cover_anchors.remove_repeats(make([text] * 3000 + ["a b c"], [None] * 3000 + [1])).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted((r["n_words"], r["n_removed"], r["count"]) for r in out) == [(3, 0, 1), (60, 60, 3000)]
