@@ -6,18 +6,20 @@ exponential variates of the set's members, on an exponentially spaced, truncated
 sketches can be merged, and equal registers get likelier the more two sets share.
 
 1. Documents of equal sets form a class, which goes on as its least doc_id.
-2. Bands of registers are hashed to buckets.  A bucket is cut into blocks of at most
-   ``BLOCK`` members; for each pair of blocks one task estimates all likenesses from
-   the registers by their joint likelihood and reports a spanning forest of those that
-   may reach the threshold.  So no pairs are emitted, however large a bucket.
-3. The components of those reports are clusters.  Their full sets are gathered, again
-   in pairs of blocks bounded in members and in shingles, every two sets are intersected
-   exactly, and a spanning forest of the true links is reported.
+2. Bands of registers are hashed to buckets.  A bucket is cut into blocks of about
+   ``BLOCK`` members; one task estimates all likenesses inside a block, and of its members
+   to a few pivots of the bucket, from the registers by their joint likelihood, and reports
+   a spanning forest of those that may reach the threshold.  Only members that all this
+   leaves apart from the bucket's largest component meet the other blocks (``spanned``).
+   So no pairs are emitted, and a bucket of copies costs in proportion to its size.
+3. The components of those reports are clusters.  Their full sets are gathered in the same
+   way, in blocks bounded in members and in shingles, every two sets that meet are
+   intersected exactly, and a spanning forest of the true links is reported.
 4. The components of the true links are the result.
 
-With 20 bands of 5 a link at likeness 0.85 is missed by every band with probability
-1e-5, and the likelihood test drops one of a million; step 3 finds such links again
-where the two are in one cluster by others.  Shingles are told apart by 64-bit hashes.
+There are as many bands of 5 as it takes to miss a link of equally large sets at the
+threshold with odds of at most 5e-6 (20 at 0.85, 29 at 0.8), and the likelihood test drops
+one of a million; step 3 finds such links again where the two are in one cluster by others.  Shingles are told apart by 64-bit hashes.
 
 Defined results: null or blank text: empty set, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; equal sets are linked; rows with null
@@ -37,14 +39,35 @@ from .common import FOLD, WORDS, byte_hashes, fan_out, load, mix, slices, sorted
 from .components import components, forest
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5
+ROWS = 5  # registers in a band
+MISSED = 5e-6  # odds that all bands miss a link at the threshold
 BASE, OFFSET = 1.1, 40
 THRESHOLD = 0.85
 BLOCK = 256
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
+PIVOTS = 4
 SLACK = 12.0  # log-likelihood by which likeness THRESHOLD may fall behind the best
-_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
-_SEEDS[0] |= np.uint64(1)
+
+
+def unequal(share):
+    """Odds that a register of one set exceeds the other's, of whose union ``share`` is
+    held by the first set only."""
+    return -np.log1p(-np.clip(share, 1e-6, 1) * ((BASE - 1) / BASE)) / np.log(BASE)
+
+
+def bands_for(threshold: float) -> int:
+    """The least number of bands of ``ROWS`` registers that miss two sets of one size and
+    that likeness with odds of at most ``MISSED``."""
+    # sets of one size and likeness j: either holds (1 - j) / 2 of the union alone
+    equal = 1 - 2 * float(unequal(0.5 * (1 - threshold)))
+    return int(np.ceil(np.log(MISSED) / np.log1p(-equal ** ROWS)))
+
+
+def seeds(bands: int) -> np.ndarray:
+    """Multipliers and summands of the registers' hashes."""
+    out = mix(np.arange(1, 2 * bands * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
+    out[0] |= np.uint64(1)
+    return out
 
 
 def shingles(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +82,12 @@ def shingles(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(WORDS.ranges(prefix, at, at + length) + length.astype(np.uint64)), sizes
 
 
-def registers(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def registers(hashes: np.ndarray, sizes: np.ndarray, seeded: np.ndarray) -> np.ndarray:
     """(rows, registers) of rows that all have shingles."""
     first = np.cumsum(sizes) - sizes
-    out = np.empty((len(sizes), BANDS * ROWS), np.uint8)
+    out = np.empty((len(sizes), seeded.shape[1]), np.uint8)
     for k in range(out.shape[1]):
-        low = np.minimum.reduceat(hashes * _SEEDS[0, k] + _SEEDS[1, k], first)
+        low = np.minimum.reduceat(hashes * seeded[0, k] + seeded[1, k], first)
         variate = -np.log1p(-(low.astype(np.float64) + 1) / 2.0 ** 64)
         out[:, k] = np.clip(np.floor(OFFSET - np.log(np.maximum(variate, 1e-300)) / np.log(BASE)), 0, 255)
     return out
@@ -73,28 +96,31 @@ def registers(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 SKETCH_SCHEMA = "doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch binary"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        offsets, data = utf8(b.column(1))
-        for i, j in slices(offsets):
-            hashes, sizes = shingles(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
-            some = sizes > 0
-            made = registers(hashes, sizes[some]) if some.any() else np.zeros((0, BANDS * ROWS), np.uint8)
-            cells = iter(made)
-            n, d1, d2, sketches = [], [], [], []
-            for x in np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else []:
-                x = np.unique(x)
-                n.append(len(x))
-                d1.append(int(x.sum().view(np.int64)) if len(x) else 0)
-                d2.append(int(mix(x).sum().view(np.int64)) if len(x) else 0)
-                sketches.append(next(cells).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketches, pa.binary())],
-                                             [c.split()[0] for c in SKETCH_SCHEMA.split(", ")])
-
-
-def sketches(docs: DataFrame) -> DataFrame:
+def _sketch(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeded = seeds(bands)
+        for b in batches:
+            offsets, data = utf8(b.column(1))
+            for i, j in slices(offsets):
+                hashes, sizes = shingles(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
+                some = sizes > 0
+                made = registers(hashes, sizes[some], seeded) if some.any() else np.zeros((0, bands * ROWS), np.uint8)
+                cells = iter(made)
+                n, d1, d2, sketches = [], [], [], []
+                for x in np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else []:
+                    x = np.unique(x)
+                    n.append(len(x))
+                    d1.append(int(x.sum().view(np.int64)) if len(x) else 0)
+                    d2.append(int(mix(x).sum().view(np.int64)) if len(x) else 0)
+                    sketches.append(next(cells).tobytes() if len(x) else None)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketches, pa.binary())],
+                                                 [c.split()[0] for c in SKETCH_SCHEMA.split(", ")])
+    return run
+
+
+def sketches(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, set size, set digest (two sums of hashes) and registers of every row."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sketch, SKETCH_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sketch(bands), SKETCH_SCHEMA)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
@@ -112,10 +138,9 @@ def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thr
     u = (n_a[:, None] / (n_a[:, None] + n_b[None, :])).astype(np.float32)
     v = 1 - u
     most = np.minimum(u, v) / np.maximum(u, v)  # no likeness is above the sizes' ratio
-    step = lambda x: -np.log1p(-np.clip(x, 1e-6, 1) * ((BASE - 1) / BASE)) / np.log(BASE)
 
     def likelihood(j):
-        up, down = step(u - v * j), step(v - u * j)
+        up, down = unequal(u - v * j), unequal(v - u * j)
         # larger sets have larger registers
         return more * np.log(up) + less * np.log(down) + (a.shape[1] - more - less) * np.log(np.maximum(1 - up - down, 1e-9))
 
@@ -124,14 +149,56 @@ def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thr
     return (most >= threshold * (1 - 1e-6)) & (likelihood(at) >= best - SLACK)
 
 
-def block_pairs(rows: DataFrame, group: str, blocks) -> DataFrame:
-    """A row for every pair of blocks that a member of a group belongs to; a group with
-    one block stays whole.  Adds ``low``, ``high`` (the pair) and ``own`` (the block)."""
-    rows = rows.withColumn("n_blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), "n_blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))).alias("other")
-    rows = rows.select("*", other)
-    return rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "n_blocks").repartition(
-        fan_out(rows.sparkSession), group, "low", "high").sortWithinPartitions(group, "low", "high", "doc_id")
+def grouped(rows: DataFrame, group: str, blocks) -> DataFrame:
+    """(``group``, doc_id) -> one row with ``n_blocks`` (an aggregate of the group's rows)
+    and ``pivots``, a few members picked by hashes."""
+    pick = [F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")) for k in range(PIVOTS)]
+    sizes = rows.groupBy(F.col(group).alias("of")).agg(blocks.cast("int").alias("n_blocks"), F.array(*pick).alias("pivots"), F.count("*").alias("size")).where("size > 1")
+    return rows.join(sizes, F.col(group) == F.col("of")).select(F.col(group).alias("grp"), "doc_id", "n_blocks", "pivots")
+
+
+PLACES = "array<struct<low:int,high:int>>"
+
+
+def _place(low, high):
+    return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows at each of their ``places`` in their group, the rows of a place together."""
+    rows = rows.withColumn("place", F.explode("places")).withColumn("low", F.col("place.low")).withColumn("high", F.col("place.high")).drop("places", "place")
+    return rows.repartition(fan_out(rows.sparkSession), "grp", "low", "high").sortWithinPartitions("grp", "low", "high", "doc_id")
+
+
+def spanned(members: DataFrame, attach, compare) -> DataFrame:
+    """(node, component) over all links inside the groups of ``grouped`` members.
+
+    A group is cut into blocks, and each block is compared in itself and with the group's
+    pivots: work in proportion to the group's size.  In a group of copies that already
+    brings all members together.  What then stands apart from its group's largest
+    component is compared with every block, so that no link is lost.  ``attach`` adds what
+    ``compare`` needs to rows (grp, doc_id, places)."""
+    own = F.pmod(F.xxhash64("doc_id"), "n_blocks")
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda x: _place(x, x))
+    places = F.when((F.col("n_blocks") > 1) & F.array_contains("pivots", F.col("doc_id")), everywhere).otherwise(F.array(_place(own, own)))
+    first = attach(members.select("grp", "doc_id", places.cast(PLACES).alias("places")))
+    edges = written(_dealt(first).mapInArrow(compare, EDGES), "links")
+    found = written(components(edges), "components")
+    split = members.where("n_blocks > 1").select("grp", "doc_id", "n_blocks").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    split = split.withColumn("component", F.coalesce("component", "doc_id"))
+    counts = split.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy(F.col("grp").alias("of")).agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("apart")).where("apart > 0")
+    main = written(main, "apart")
+    if not main.head(1):
+        return found
+    # blocks of members apart come first, then those of the largest component
+    rows = split.join(main, F.col("grp") == F.col("of")).withColumn("n_apart", F.ceil(F.col("apart") / BLOCK).cast("int"))
+    is_apart = F.col("component") != F.col("main")
+    block = F.when(is_apart, F.pmod(F.xxhash64("doc_id"), "n_apart")).otherwise(F.col("n_apart") + own).cast("int")
+    others = F.sequence(F.lit(0), F.when(is_apart, F.col("n_apart") + F.col("n_blocks")).otherwise(F.col("n_apart")) - 1)
+    rows = rows.withColumn("block", block).withColumn("places", F.transform(others, lambda x: _place(F.least(x, F.col("block")), F.greatest(x, F.col("block")))))
+    more = _dealt(attach(rows.select("grp", "doc_id", F.col("places").cast(PLACES).alias("places")))).mapInArrow(compare, EDGES)
+    return written(components(edges.unionByName(written(more, "links"))), "components")
 
 
 EDGES = "a bigint, b bigint"
@@ -144,7 +211,7 @@ def _edges(doc_ids: np.ndarray, x, y) -> pa.RecordBatch:
 
 def _estimate(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_runs(batches, ["bucket", "low", "high"]):
+        for t in sorted_runs(batches, ["grp", "low", "high"]):
             if t.num_rows < 2:
                 continue
             doc_ids, n = t.column("doc_id").to_numpy(), t.column("n").to_numpy().astype(np.float64)
@@ -163,7 +230,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(offsets):
             hashes, sizes = shingles(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
             cells = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(sizes)[:-1])]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(cells, pa.binary()), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i)], ["doc_id", "members", "cluster", "n_blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(2).slice(i, j - i), b.column(0).slice(i, j - i), pa.array(cells, pa.binary()), b.column(3).slice(i, j - i)], ["grp", "doc_id", "members", "places"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -186,7 +253,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_runs(batches, ["cluster", "low", "high"]):
+        for t in sorted_runs(batches, ["grp", "low", "high"]):
             if t.num_rows < 2:
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
@@ -201,26 +268,25 @@ def _verify(percent: int):
 def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row: the document's set size,
     the least doc_id reachable over links, and whether it is that document."""
-    own = written(sketches(docs), "sketches")
+    n_bands = bands_for(percent / 100)
+    own = written(sketches(docs, n_bands), "sketches")
     digest = ["n", "d1", "d2"]
     some = own.where("n > 0 and doc_id is not null")
     classes = written(some.groupBy(*digest).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
-    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * ROWS + 1, ROWS)) for k in range(BANDS)])
-    banded = classes.select("doc_id", "n", "sketch", F.explode(bands).alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    in_buckets = classes.select("doc_id", F.explode(bands).alias("bucket")).join(sizes, "bucket")
-    in_buckets = in_buckets.join(classes.select("doc_id", "n", "sketch"), "doc_id")
-    dealt = block_pairs(in_buckets, "bucket", F.ceil(F.col("members") / BLOCK))
-    reports = dealt.select("bucket", "low", "high", "doc_id", "n", "sketch").mapInArrow(_estimate(percent / 100), EDGES)
-    clusters = written(components(reports), "clusters")
-    per_cluster = clusters.join(classes.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("n_blocks"))
-    members = clusters.join(per_cluster, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n_blocks")
-    # rows of one id and several texts each stand for it
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(members, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "cluster", "n_blocks")
-    full = texts.mapInArrow(_sets, "doc_id bigint, members binary, cluster bigint, n_blocks bigint").where(F.length("members") > 0)
-    paired = block_pairs(full, "cluster", F.col("n_blocks")).select("cluster", "low", "high", "doc_id", "members")
-    found = written(components(paired.mapInArrow(_verify(percent), EDGES)), "components")
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * ROWS + 1, ROWS)) for k in range(n_bands)])
+    in_buckets = grouped(classes.select("doc_id", F.explode(bands).alias("bucket")), "bucket", F.ceil(F.count("*") / BLOCK))
+    of_class = classes.select("doc_id", "n", "sketch")
+    reported = spanned(in_buckets, lambda rows: rows.join(of_class, "doc_id").select("grp", "doc_id", "n", "sketch", "places"), _estimate(percent / 100))
+    sized = reported.join(classes.select(F.col("doc_id").alias("node"), "n"), "node").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    members = written(grouped(sized, "cluster", blocks), "clusters")
+
+    def sets(rows: DataFrame) -> DataFrame:
+        # rows of one id and several texts each stand for it
+        texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(rows, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "grp", "places")
+        return texts.mapInArrow(_sets, f"grp bigint, doc_id bigint, members binary, places {PLACES}").where(F.length("members") > 0)
+
+    found = spanned(members, sets, _verify(percent))
     to = classes.select(*[F.col(c).alias(f"c_{c}") for c in digest], F.col("doc_id").alias("node")).join(found, "node", "left").select(
         "c_n", "c_d1", "c_d2", F.coalesce("component", "node").alias("component"))
     out = own.drop("sketch").join(to, (F.col("n") == F.col("c_n")) & (F.col("d1") == F.col("c_d1")) & (F.col("d2") == F.col("c_d2")), "left")

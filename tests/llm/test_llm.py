@@ -384,3 +384,34 @@ def test_substring_dedup_of_many_copies_without_ids(make):
     text = " ".join(f"w{k}" for k in range(60))
     out = cover_anchors.remove_repeats(make([text] * 3000 + ["a b c"], [None] * 3000 + [1])).groupBy("doc_id", "n_words", "n_removed").count().collect()
     assert sorted((r["n_words"], r["n_removed"], r["count"]) for r in out) == [(3, 0, 1), (60, 60, 3000)]
+
+
+def test_near_duplicates_of_groups_larger_than_a_block(make, monkeypatch):
+    """Chains, stars and loners in groups of many blocks: no link between blocks is lost."""
+    monkeypatch.setattr(set_sketch, "BLOCK", 8)
+    monkeypatch.setattr(set_sketch, "PIVOTS", 1)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):  # a chain: each changes a word of the one before it, far ends differ
+        base = list(base)
+        base[rng.randrange(120)] = f"c{k}"
+        texts.append(" ".join(base))
+    star = [f"s{k}" for k in range(100)]
+    texts += [" ".join(star[:k] + [f"t{k}"] + star[k + 1:]) for k in range(60)]
+    texts += [" ".join(star[:50] + [f"u{k}{m}" for m in range(50)]) for k in range(20)]
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in set_sketch.link(make(texts), 80).collect()}
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert got == dict(enumerate(root))
+
+
+def test_bands_follow_the_threshold():
+    assert [set_sketch.bands_for(x) for x in (0.85, 0.8)] == [20, 29]
+    assert set_sketch.bands_for(0.7) > 29
