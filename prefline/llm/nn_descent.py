@@ -60,14 +60,28 @@ def valid_vectors(table: DataFrame, id_column: str = "vec_id", column: str = "em
     return rows.where(F.size("embedding") == (sizes[0]["n"] if sizes else 0)).groupBy("id").agg(F.min("embedding").alias("embedding"))
 
 
-def _half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        made = [np.asarray(v, np.float16).tobytes() for v in (x.values.to_numpy() for x in b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["id", "vec"])
+def _half(largest: float):
+    """Vectors in half precision, each with a power of two of its own in front (of the
+    vector divided by that of the largest component of all), so that no size of numbers is
+    lost: a cell is the power as a 32-bit number, then the components."""
+    whole = np.frexp(largest)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for v in (x.values.to_numpy() for x in b.column(1)):
+                own = int(np.frexp(np.abs(v).max())[1])
+                made.append(np.float32(np.ldexp(1.0, max(own - whole, -126))).tobytes() + np.ldexp(v, -own).astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["id", "vec"])
+    return run
 
 
-def _matrix(cells) -> np.ndarray:
-    return np.frombuffer(b"".join(cells), np.float16).reshape(len(cells), -1).astype(np.float32)
+def _matrix(cells, width: int = 0) -> np.ndarray:
+    """The vectors of some cells, or of their bytes one after the other (``width`` each)."""
+    raw = cells if width else b"".join(cells)
+    raw = np.frombuffer(raw, np.uint8).reshape(-1, width or len(raw) // len(cells))
+    scale = np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    return np.ascontiguousarray(raw[:, 4:]).view(np.float16).astype(np.float32) * scale
 
 
 def _projected(trees: int, bits: int):
@@ -188,7 +202,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(vectors: DataFrame, degree: int = DEGREE, trees: int = TREES, still: float = STILL) -> DataFrame:
     """The neighbour graph of (id, embedding): NODE rows, written.  Every entry that is new to a
     list has a better score than the last one there, so that the rounds come to an end."""
-    half = written(vectors.mapInArrow(_half, "id bigint, vec binary"), "vectors")
+    largest = vectors.agg(F.max(F.array_max(F.transform("embedding", F.abs))).alias("x")).first()["x"]
+    half = written(vectors.mapInArrow(_half(largest or 1.0), "id bigint, vec binary"), "vectors")
     bits = max(1, int(np.ceil(np.log2(max(2, half.count() / LEAF)))))
     leaves = half.mapInArrow(_projected(trees, bits), "leaf bigint, id bigint, vec binary")
     sizes = leaves.select("leaf").groupBy("leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
@@ -210,7 +225,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for me, qvec, least, last, ids, vecs in zip(*(b.column(c).to_pylist() for c in ("id", "qvec", "least", "last", "found_ids", "found_vecs"))):
-            s = _matrix([vecs]).reshape(-1, len(qvec) // 2) @ np.frombuffer(qvec, np.float16).astype(np.float32)
+            s = _matrix(vecs, len(qvec)) @ _matrix(qvec, len(qvec))[0]
             ids = np.frombuffer(ids, np.int64)
             good = ((s > least) | (s == least) & (ids < last)) & (ids != me)
             if good.any():

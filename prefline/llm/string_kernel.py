@@ -9,7 +9,8 @@ imitate, and single letters in a row are read as one word.
 Landmarks are words whose presence tells toxic from other sentences in the training
 rows, none too near another.  A text is represented by its nearest word to each
 landmark (kernel values below ``FLOOR`` count as none), passed through the inverse root
-of the landmarks' own kernel matrix (the Nystroem map).  A linear SVM with squared
+of the landmarks' own kernel matrix (the Nystroem map).  As a text's value is the largest over
+its words, this map is exact for single words and a heuristic for texts.  A linear SVM with squared
 hinge loss is fitted on these vectors, and a logistic curve turns its margin into a
 score.  Only landmarks, the matrix and the weights reach the tasks.
 
@@ -19,6 +20,10 @@ whose bound on them reaches ``FLOOR``.
 Training takes at most ``TRAIN_ROWS`` labelled rows of either class, the first by a hash
 of doc_id; landmarks are counted over the sentences of these.
 
+Limits: landmarks have 4 to 24 letters, so an insult of three letters is not learnt; the
+bytes of letters outside ASCII fold to five symbols, so words of other scripts are told
+apart by their lengths and patterns only.
+
 Defined results: null or empty text: the score of a text without any landmark; a
 doc_id with several labels is toxic if one says so; null labels are none; repeated
 rows are scored each for itself; null doc_id: scored, not held out; without labels of
@@ -151,12 +156,12 @@ class Nearest:
         own = np.sqrt(np.maximum(own, 1e-9))
         near = np.flatnonzero(most >= FLOOR * own)
         value = np.zeros((len(near), len(self.table)), np.float32)
-        for i in range(0, len(near), 4096):
-            part = near[i:i + 4096]
+        for i in range(0, len(near), 1024):
+            part = near[i:i + 1024]
             found = np.zeros((len(part), self.table.shape[1]), np.float32)
             for codes, weight in subsequences(words[part]):
                 np.add.at(found, (np.arange(len(part))[:, None], self.column[codes]), weight)
-            value[i:i + 4096] = found @ self.table.T / own[part, None]
+            value[i:i + 1024] = found @ self.table.T / own[part, None]
         value = np.where(value >= FLOOR, np.minimum(value, 1), 0)
         place = np.full(len(words), -1)
         place[near] = np.arange(len(near))

@@ -415,3 +415,17 @@ def test_near_duplicates_of_groups_larger_than_a_block(make, monkeypatch):
 def test_bands_follow_the_threshold():
     assert [set_sketch.bands_for(x) for x in (0.85, 0.8)] == [20, 29]
     assert set_sketch.bands_for(0.7) > 29
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e5, 1e30])
+def test_nearest_neighbours_at_any_scale(spark, scale):
+    """Half precision must not lose small or large numbers, nor vectors of unlike sizes."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 16)) * scale
+    x[::7] *= 1e-6
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+    got = {}
+    for r in nn_descent.neighbours(table, F.col("id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {q: set(np.argsort(-np.where(np.arange(600) == q, -np.inf, x @ x[q]), kind="stable")[:20].tolist()) for q in range(0, 600, 20)}
+    assert np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.95
