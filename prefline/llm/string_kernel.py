@@ -254,16 +254,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
     own = [f"__{i}" for i in range(len(docs.columns))]
-    renamed = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)], F.coalesce("text", F.lit("")).alias("__text"))
+    renamed, text = docs.toDF(*own), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = Nearest(model.landmarks)
         for b in batches:
-            offsets, data = utf8(b.column("__text"))
+            offsets, data = utf8(b.column(text).fill_null(""))
             parts = [nearest(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]]) @ model.weights for i, j in slices(offsets, SLICE_BYTES)]
             margin = np.concatenate([np.zeros(0), *parts]) + model.bias
             out = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -60, 60)))
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(out, pa.float64())], b.schema.names[:-1] + ["score"])
+            yield pa.RecordBatch.from_arrays(b.columns + [pa.array(out, pa.float64())], b.schema.names + ["score"])
 
     schema = StructType([StructField(o, f.dataType) for o, f in zip(own, docs.schema.fields)] + [StructField("score", DoubleType())])
     return renamed.mapInArrow(run, schema).select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)], "score")

@@ -389,7 +389,6 @@ def test_substring_dedup_of_many_copies_without_ids(make):
 def test_near_duplicates_of_groups_larger_than_a_block(make, monkeypatch):
     """Chains, stars and loners in groups of many blocks: no link between blocks is lost."""
     monkeypatch.setattr(set_sketch, "BLOCK", 8)
-    monkeypatch.setattr(set_sketch, "PIVOTS", 1)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(120)]
     texts = []
