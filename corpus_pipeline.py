@@ -24,6 +24,14 @@ from prefline.llm.tier_packing import packed_pieces
 from prefline.operators.tokens import dense_order_ids
 
 NEAR_PERCENT = 80
+BATCH_ROWS = 400
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Small Arrow batches: the stages run one after the other in the same executors, and
+    whole rows with their texts go to the workers and back."""
+    bound_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -47,16 +55,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 stay.  The model is fitted on the labelled documents of
     the folder that are not held out; without labels of both classes all documents stay.
     Null and empty texts are scored like a text without any known word."""
-    bound_batches(spark)
     labels = load(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     model = train(load(spark, sf_dir, "documents"), labels)
+    _bounded(spark)
     return _restored(docs, score(_plain(docs), model).where("score < 0.5"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, or nearly, are cut out.  All documents stay; null
     texts stay null; repeated rows of one id and text lose the same lines."""
-    bound_batches(spark)
+    _bounded(spark)
     return _restored(docs, remove_lines(_plain(docs)), F.col("text"))
 
 
@@ -64,7 +72,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: that of the least id, a null id coming
     last.  Rows are told apart even where ids are null or repeated; then, and only then,
     they are numbered first.  Texts without words are linked with nothing and stay."""
-    bound_batches(spark)
+    _bounded(spark)
     rows = _plain(docs)
     unclear = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null")
     if unclear.head(1):
@@ -81,14 +89,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that stand anywhere else are cut out.  All documents stay; a text
     without such a passage stays as it is, another keeps its words joined by one space."""
-    bound_batches(spark)
+    _bounded(spark)
     return _restored(docs, remove_repeats(_plain(docs)), F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences; other columns are left
     out, a null text is an empty one, and an empty table gives no pieces."""
-    bound_batches(spark)
+    _bounded(spark)
     return packed_pieces(docs)
 
 
