@@ -23,7 +23,7 @@ from prefline.session import reliable_checkpoint
 from prefline.sources.tables import spread
 
 UNIT = 1_000_000
-HEAD, HEAD_CHARS = 65_536, 64
+HEAD, HEAD_CHARS = 1 << 20, 32  # at most 32 MB of words, most often far fewer
 SALTS = 16
 KEY = ["_id", "_h1", "_h2"]
 
