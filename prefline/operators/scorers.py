@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefline.config import RAW_DETECTOR_MARKER, SCORER_MAX_TOKENS
+from prefline.config import RAW_DETECTOR_MARKER, SCORER_MAX_TOKENS, WORD_PATTERN
 from prefline.functions.text import distinct_count, words
 from prefline.operators.workers import worker_slot
 
@@ -112,6 +112,22 @@ class WordStatDetector(ExpressionScorer):
         return df.withColumn(out, self._array(F.col(f"__l_{out}")))
 
 
+def word_stat_batch() -> Callable[[list], list]:
+    """``WordStatDetector`` as a batch callable: what a model pipeline looks like to a batch scorer."""
+    import regex
+
+    find = regex.compile(WORD_PATTERN).findall
+
+    def run(texts: list) -> list:
+        out = []
+        for t in texts:
+            w = find(t.lower())
+            logit = 8.0 * len(set(w)) / len(w) - 6.0 if w else float("nan")
+            out.append([{"label": "ChatGPT", "score": -logit}, {"label": "Human", "score": logit}])
+        return out
+    return run
+
+
 class RawScoreDetector(ExpressionScorer):
     """Single raw-score stand-in for the 'binoculars' branch (R2)."""
 

@@ -10,7 +10,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefline.config import (CHAT_TEMPLATES, DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_MAX_TOKENS, QUERY_SYSTEM_PROMPT, DatasetConfig,
+from prefline.config import (CHAT_TEMPLATES, DATASET_MAX_TOKENS, MIN_REVIEW_CHARS, QUERY_MAX_TOKENS, QUERY_SYSTEM_PROMPT, SCORER_MAX_TOKENS, DatasetConfig,
                              RewardConfig, SplitConfig, TokenConfig, SWEEP_COUNT)
 from prefline.functions import scores as S
 from prefline.functions import templates as TM
@@ -19,6 +19,7 @@ from prefline.functions.text import token_count, word_count, words
 from prefline.operators import bayes_scorer, subword
 from prefline.operators import rewards as R
 from prefline.operators import preference as P
+from prefline.operators import budget  # noqa: F401  registers its scorer
 from prefline.operators.batches import length_batches, pad_batches
 from prefline.operators.generate import EchoGenerator, generate
 from prefline.operators.ml_scorer import LinearTextScorer
@@ -27,13 +28,13 @@ from prefline.operators.datasets import build_prefix_dataset, build_query_datase
 from prefline.operators.pairs import first_queries, pair_keys, preference_pairs, rollout
 from prefline.operators.quarantine import quarantine
 from prefline.operators.rollout import rollout_rewards
-from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector, human_logit
+from prefline.operators.scorers import OverlapPairScorer, RawScoreDetector, WordStatDetector, build_scorer, human_logit
 from prefline.operators.split import split_audit, split_parts
 from prefline.operators.tokens import build_vocab, encode_join
 from prefline.operators.trials import best_trials, trial_losses, trial_table, with_schedule
 from prefline.sources.adapters import adapt_queries, nested_reason
-from prefline.session import checkpoint_root
-from prefline.sources.sinks import LOG_COLUMNS, append_log, new_run_id, read_log
+from prefline.session import checkpoint_root, scratch_path
+from prefline.sources.sinks import LOG_COLUMNS, append_log, new_run_id, read_log, read_row_tensors, write_row_tensors
 from prefline.sources.tables import read_table, spread, table_path
 from prefline.streaming.score_stream import score_new_turns
 from prefline.streaming.step_log import log_scored_turns
@@ -293,7 +294,7 @@ def q37_prompt_dataset_system(spark: SparkSession, root: str) -> DataFrame:
     return _joined_arrays(build_query_dataset(_t(spark, root, "conversations"), vocabulary(spark, root), cfg))
 
 
-BOS, BATCH_SIZE, STEP_ROWS = "<bos>", 16, 4
+BOS, BATCH_SIZE, STEP_ROWS, TENSOR_SHARD = "<bos>", 16, 4, 4096
 
 
 def q38_chat_templates(spark: SparkSession, root: str) -> DataFrame:
@@ -360,6 +361,32 @@ def q45_subword_prefix(spark: SparkSession, root: str) -> DataFrame:
     return ds.select("doc_id", "k", "query")
 
 
+def q46_budget_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Documents through a batch scorer found by name, whole and cut to the
+    scorer's limit, in batches bounded by tokens."""
+    docs = _t(spark, root, "documents").select("doc_id", "text")
+    runs = []
+    for limit in (None, SCORER_MAX_TOKENS):
+        scorer = build_scorer("text-classification:wordstat-batch")
+        scorer.max_tokens = limit
+        scored = scorer.score_frame(docs, "text", "out").withColumn("score", S.label_score("out"))
+        runs.append(scored.select("doc_id", F.lit(limit).cast("int").alias("max_tokens"), F.nanvl("score", F.lit(None).cast("double")).alias("score")))
+    return runs[0].unionByName(runs[1])
+
+
+def q47_tensor_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The prompt dataset, padded with the end-of-sequence id, stored as arrays of
+    one length with an index of rows, and read back in two ranges of rows."""
+    cfg = DatasetConfig(max_length=QUERY_MAX_TOKENS, tokens=TokenConfig(pad_id=None))
+    vocab = vocabulary(spark, root, cfg.tokens)
+    ds = build_query_dataset(_t(spark, root, "conversations"), vocab, cfg).select("conv_id", "input_ids", "attention_mask")
+    path = scratch_path(spark, "row-tensors")
+    write_row_tensors(ds, path, ["conv_id"], ["input_ids", "attention_mask"], cfg.max_length, TENSOR_SHARD)
+    rows = read_row_tensors(spark, path, 0, TENSOR_SHARD, ds.schema).unionByName(read_row_tensors(spark, path, TENSOR_SHARD, None, ds.schema))
+    items = F.posexplode(F.arrays_zip("input_ids", "attention_mask")).alias("pos", "item")
+    return rows.select("row", "conv_id", items).select("row", "conv_id", "pos", F.col("item.input_ids").alias("id"), F.col("item.attention_mask").alias("mask"))
+
+
 def catalog() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items()
             if name[:1] == "q" and name[1:3].isdigit() and callable(fn)}

@@ -335,6 +335,15 @@ r AS (SELECT lang, c, coalesce(sum(c) OVER (ORDER BY md5('42|' || lang), lang RO
 i AS (SELECT lang, c, greatest(0, least(c, k - before))::BIGINT AS inside FROM r)
 SELECT lang, 'train' AS part, inside AS n FROM i WHERE inside > 0
 UNION ALL SELECT lang, 'eval' AS part, c - inside AS n FROM i WHERE inside < c"""
+    cut = f"list_slice({words('text')}, 1, 512)"
+    logit = lambda w: f"CASE WHEN len({w}) > 0 THEN 8::DOUBLE * len(list_distinct({w})) / len({w}) - 6::DOUBLE END"
+    out["q46_budget_scores"] = f"""SELECT doc_id, NULL::INTEGER AS max_tokens, {logit(words('text'))} AS score FROM documents
+UNION ALL SELECT doc_id, 512 AS max_tokens, {logit(cut)} AS score FROM documents"""
+    out["q47_tensor_rows"] = plain[:plain.index("SELECT conv_id,\n       array_to_string")] + """,
+numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS row FROM sized WHERE n <= 125),
+whole AS (SELECT row, conv_id, list_concat(list_transform(range(125 - n), lambda x: 3), ids) AS ids,
+                 list_concat(list_transform(range(125 - n), lambda x: 0), list_transform(range(n), lambda x: 1)) AS mask FROM numbered)
+SELECT row, conv_id, unnest(range(125))::INTEGER AS pos, unnest(ids)::INTEGER AS id, unnest(mask)::INTEGER AS mask FROM whole"""
     return out
 
 
