@@ -8,7 +8,7 @@ window, and no group holds more than one batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefline.config import TokenConfig
@@ -26,8 +26,8 @@ def length_batches(df: DataFrame, key: str, ids: str, batch_size: int, seed: str
     df = df.withColumn(ids, lists).withColumn("n_tokens", F.size(ids).cast("bigint")).withColumn("_order", h8(seed, key))
     numbered = dense_order_ids(df, ["n_tokens", "_order", key, ids], out="_row")
     numbered = numbered.withColumn("batch", F.expr(f"_row div {batch_size}"))
-    longest = F.max("n_tokens").over(Window.partitionBy("batch"))
-    return numbered.withColumn("batch_length", longest).drop("_row", "_order")
+    longest = numbered.groupBy("batch").agg(F.max("n_tokens").alias("batch_length"))
+    return numbered.join(longest, "batch").select(*df.columns, "batch", "batch_length").drop("_order")
 
 
 def pad_batches(batched: DataFrame, ids: str, cfg: TokenConfig = TokenConfig(), side: str = "left",
