@@ -9,8 +9,8 @@ Encoding strategies
 -------------------
 ``encode_join`` / ``decode_join`` (default): pure JVM, for a vocabulary of any
 size, so that every word of the corpus has an id and decoding gives back the
-words that were encoded.  The words are exploded, looked up and regrouped by row
-key.  Ids go by frequency, so the hot words are the first ``HEAD_ENTRIES``: those
+words that were encoded.  The words are exploded once, looked up and regrouped by
+row key.  Ids go by frequency, so the hot words are the first ``HEAD_ENTRIES``: those
 (of bounded length, so bounded in bytes) are broadcast, and only the rare rest is
 shuffled to the rest of the vocabulary.
 ``Encoder``: for a vocabulary that the caller caps (``vocab_size``).  A scalar
@@ -194,24 +194,31 @@ def _make_decode_udf(src, first_id: int, special_ids: tuple[int, ...]):
     return decode
 
 
-def _looked_up(df: DataFrame, key: str, array: str, vocab: DataFrame, by: str, cfg: TokenConfig) -> DataFrame:
-    """(key, _pos, _item, tok, id) of every element of ``array``: the rows of ``vocab``
-    whose column ``by`` is that element, nulls where there is none; a row with an
-    empty or null array keeps one row of nulls."""
-    items = df.select(F.col(key).alias("_key"), F.posexplode_outer(array).alias("_pos", "_item"))
-    v = vocab.select("tok", "id")
-    head = (F.col("id") < F.lit(cfg.first_word_id + HEAD_ENTRIES)) & (F.length("tok") <= HEAD_CHARS)
-    hot, rest = F.broadcast(v.where(head)), v.where(~head)
-    found = items.join(hot, F.col("_item") == F.col(by), "left")
-    return found.where("id is not null or _item is null").unionByName(
-        found.where("id is null and _item is not null").drop("tok", "id").join(rest, F.col("_item") == F.col(by), "left"))
+def _looked_up(df: DataFrame, key: str, array: str, vocab: DataFrame, by: str, value: Column, out: str,
+               cfg: TokenConfig, finish) -> DataFrame:
+    """``df`` plus ``out``: ``finish`` of the list that has, for every element of ``array``
+    in order, ``value`` of the row of ``vocab`` whose column ``by`` is that element.
 
-
-def _regrouped(df: DataFrame, key: str, found: DataFrame, value, out: str, finish) -> DataFrame:
-    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", value.alias("_value")))
-    lists = found.groupBy("_key").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    lists = lists.select("_key", finish(F.transform("_items", lambda s: s["_value"])).alias(out))
-    return df.join(lists, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    The elements are exploded and meet the broadcast head once, and go to their row's
+    list; what the head did not have is taken out of the lists, meets the rest of the
+    vocabulary and returns to its list.  Both uses of the lists share one exchange.
+    """
+    # the key is a struct, so that null keys meet and every step keeps one partitioning
+    items = df.select(F.struct(F.col(key)).alias("_key"), F.posexplode_outer(array).alias("_pos", "_item"))
+    is_head = (F.col("id") < F.lit(cfg.first_word_id + HEAD_ENTRIES)) & (F.length("tok") <= HEAD_CHARS)
+    part = vocab.select(F.col(by).alias("_by"), value.alias("_value"), is_head.alias("_head"))
+    hot, rest = part.where("_head"), part.where("not _head").drop("_head")
+    found = items.join(F.broadcast(hot), F.col("_item") == F.col("_by"), "left")
+    missed = F.when(F.col("_head").isNull(), F.col("_item")).alias("_missed")
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_value", missed))
+    lists = found.groupBy("_key").agg(F.collect_list(entry).alias("_found"))
+    looked = lists.select("_key", F.explode(F.filter("_found", lambda e: e["_missed"].isNotNull())).alias("_e")) \
+        .select("_key", "_e._pos", "_e._missed").join(rest, F.col("_missed") == F.col("_by"), "left") \
+        .groupBy("_key").agg(F.collect_list(F.struct("_pos", "_value")).alias("_looked"))
+    known = F.transform(F.filter("_found", lambda e: e["_missed"].isNull()), lambda e: F.struct(e["_pos"], e["_value"]))
+    whole = F.sort_array(F.concat(known, F.coalesce("_looked", F.array().cast(looked.schema["_looked"].dataType))))
+    values = lists.join(looked, "_key", "left").select("_key", finish(F.transform(whole, lambda e: e["_value"])).alias(out))
+    return df.withColumn("_key", F.struct(F.col(key))).join(values, "_key", "left").drop("_key")
 
 
 def encode_join(df: DataFrame, key: str, word_array: str, vocab: DataFrame, out: str = "input_ids",
@@ -221,16 +228,14 @@ def encode_join(df: DataFrame, key: str, word_array: str, vocab: DataFrame, out:
     ``key`` must be unique per row (the token lists of rows sharing a key would
     be merged).  A null array is encoded like an empty one.
     """
-    found = _looked_up(df, key, word_array, vocab, "tok", cfg)
-    ids = F.coalesce(F.col("id"), F.lit(cfg.unk_id)).cast("int")
-    return _regrouped(df, key, found, ids, out, lambda x: x)
+    known = lambda ids: F.transform(ids, lambda i: F.coalesce(i, F.lit(cfg.unk_id)))
+    return _looked_up(df, key, word_array, vocab, "tok", F.col("id").cast("int"), out, cfg, known)
 
 
 def decode_join(df: DataFrame, key: str, ids: str, vocab: DataFrame, out: str = "text",
                 cfg: TokenConfig = TokenConfig()) -> DataFrame:
     """JVM-only decode: the words of ``ids`` joined by one space, without special ids."""
-    found = _looked_up(df, key, ids, vocab, "id", cfg)
-    return _regrouped(df, key, found, F.col("tok"), out, lambda x: F.array_join(x, " "))
+    return _looked_up(df, key, ids, vocab, "id", F.col("tok"), out, cfg, lambda toks: F.array_join(toks, " "))
 
 
 # --------------------------------------------------------------------------- pad, prefix

@@ -276,7 +276,7 @@ def q34_rollout_reward(spark: SparkSession, root: str) -> DataFrame:
 
 def q35_encode_documents(spark: SparkSession, root: str) -> DataFrame:
     """T6 on whole documents with the uncapped vocabulary."""
-    docs = _t(spark, root, "documents").select("doc_id", words("text").alias("w"))
+    docs = spread(_t(spark, root, "documents").select("doc_id", "text")).select("doc_id", words("text").alias("w"))
     out = encode_join(docs, "doc_id", "w", vocabulary(spark, root))
     return out.select("doc_id", F.size("input_ids").cast("long").alias("n_tokens"),
                       F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"))
