@@ -194,30 +194,31 @@ def _make_decode_udf(src, first_id: int, special_ids: tuple[int, ...]):
     return decode
 
 
-def _looked_up(df: DataFrame, key: str, array: str, vocab: DataFrame, by: str, value: Column, out: str,
+def _looked_up(df: DataFrame, key: str, array: str, vocab: DataFrame, by: str, entry, value, out: str,
                cfg: TokenConfig, finish) -> DataFrame:
     """``df`` plus ``out``: ``finish`` of the list that has, for every element of ``array``
-    in order, ``value`` of the row of ``vocab`` whose column ``by`` is that element.
+    in order, the row of ``vocab`` whose column ``by`` is that element.  ``entry`` makes a
+    sortable value of ``_pos`` and that row's (tok, id), null if there is none; ``value``
+    takes from it what the list holds.
 
     The elements are exploded and meet the broadcast head once, and go to their row's
-    list; what the head did not have is taken out of the lists, meets the rest of the
-    vocabulary and returns to its list.  Both uses of the lists share one exchange.
+    lists; what the head did not have is taken out of the lists, meets the rest of the
+    vocabulary and returns.  Both uses of the lists share one exchange.
     """
     # the key is a struct, so that null keys meet and every step keeps one partitioning
     items = df.select(F.struct(F.col(key)).alias("_key"), F.posexplode_outer(array).alias("_pos", "_item"))
     is_head = (F.col("id") < F.lit(cfg.first_word_id + HEAD_ENTRIES)) & (F.length("tok") <= HEAD_CHARS)
-    part = vocab.select(F.col(by).alias("_by"), value.alias("_value"), is_head.alias("_head"))
+    part = vocab.select(F.col(by).alias("_by"), "tok", "id", is_head.alias("_head"))
     hot, rest = part.where("_head"), part.where("not _head").drop("_head")
     found = items.join(F.broadcast(hot), F.col("_item") == F.col("_by"), "left")
-    missed = F.when(F.col("_head").isNull(), F.col("_item")).alias("_missed")
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_value", missed))
-    lists = found.groupBy("_key").agg(F.collect_list(entry).alias("_found"))
-    looked = lists.select("_key", F.explode(F.filter("_found", lambda e: e["_missed"].isNotNull())).alias("_e")) \
-        .select("_key", "_e._pos", "_e._missed").join(rest, F.col("_missed") == F.col("_by"), "left") \
-        .groupBy("_key").agg(F.collect_list(F.struct("_pos", "_value")).alias("_looked"))
-    known = F.transform(F.filter("_found", lambda e: e["_missed"].isNull()), lambda e: F.struct(e["_pos"], e["_value"]))
-    whole = F.sort_array(F.concat(known, F.coalesce("_looked", F.array().cast(looked.schema["_looked"].dataType))))
-    values = lists.join(looked, "_key", "left").select("_key", finish(F.transform(whole, lambda e: e["_value"])).alias(out))
+    known = F.when(F.col("_head").isNotNull(), entry)
+    missed = F.when(F.col("_pos").isNotNull() & F.col("_head").isNull(), F.struct("_pos", "_item"))
+    lists = found.groupBy("_key").agg(F.collect_list(known).alias("_known"), F.collect_list(missed).alias("_missed"))
+    looked = lists.select("_key", F.inline("_missed")).join(rest, F.col("_item") == F.col("_by"), "left") \
+        .groupBy("_key").agg(F.collect_list(entry).alias("_looked"))
+    none = F.array().cast(looked.schema["_looked"].dataType)
+    whole = F.sort_array(F.concat("_known", F.coalesce("_looked", none)))
+    values = lists.join(looked, "_key", "left").select("_key", finish(F.transform(whole, value)).alias(out))
     return df.withColumn("_key", F.struct(F.col(key))).join(values, "_key", "left").drop("_key")
 
 
@@ -228,14 +229,17 @@ def encode_join(df: DataFrame, key: str, word_array: str, vocab: DataFrame, out:
     ``key`` must be unique per row (the token lists of rows sharing a key would
     be merged).  A null array is encoded like an empty one.
     """
-    known = lambda ids: F.transform(ids, lambda i: F.coalesce(i, F.lit(cfg.unk_id)))
-    return _looked_up(df, key, word_array, vocab, "tok", F.col("id").cast("int"), out, cfg, known)
+    # position and id in one long: a struct takes four times the room in a list
+    entry = F.shiftleft(F.col("_pos").cast("long"), 32).bitwiseOR(F.coalesce(F.col("id"), F.lit(cfg.unk_id)).cast("long"))
+    value = lambda e: e.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return _looked_up(df, key, word_array, vocab, "tok", entry, value, out, cfg, lambda ids: ids)
 
 
 def decode_join(df: DataFrame, key: str, ids: str, vocab: DataFrame, out: str = "text",
                 cfg: TokenConfig = TokenConfig()) -> DataFrame:
     """JVM-only decode: the words of ``ids`` joined by one space, without special ids."""
-    return _looked_up(df, key, ids, vocab, "id", F.col("tok"), out, cfg, lambda toks: F.array_join(toks, " "))
+    return _looked_up(df, key, ids, vocab, "id", F.struct("_pos", "tok"), lambda e: e["tok"], out, cfg,
+                      lambda toks: F.array_join(toks, " "))
 
 
 # --------------------------------------------------------------------------- pad, prefix
