@@ -9,8 +9,8 @@ Encoding strategies
 -------------------
 ``encode_join`` / ``decode_join`` (default): pure JVM, for a vocabulary of any
 size, so that every word of the corpus has an id and decoding gives back the
-words that were encoded.  The words are exploded once, looked up and regrouped by
-row key.  Ids go by frequency, so the hot words are the first ``HEAD_ENTRIES``: those
+words that were encoded.  The words are exploded, looked up and regrouped by row
+key.  Ids go by frequency, so the hot words are the first ``HEAD_ENTRIES``: those
 (of bounded length, so bounded in bytes) are broadcast, and only the rare rest is
 shuffled to the rest of the vocabulary.
 ``Encoder``: for a vocabulary that the caller caps (``vocab_size``).  A scalar
@@ -201,9 +201,9 @@ def _looked_up(df: DataFrame, key: str, array: str, vocab: DataFrame, by: str, e
     sortable value of ``_pos`` and that row's (tok, id), null if there is none; ``value``
     takes from it what the list holds.
 
-    The elements are exploded and meet the broadcast head once, and go to their row's
-    lists; what the head did not have is taken out of the lists, meets the rest of the
-    vocabulary and returns.  Both uses of the lists share one exchange.
+    The elements are exploded and meet the broadcast head, and go to their row's lists;
+    what the head did not have is taken out of the lists, meets the rest of the vocabulary
+    and returns.  The lists are used twice and built twice, each use with the column it needs.
     """
     # the key is a struct, so that null keys meet and every step keeps one partitioning
     items = df.select(F.struct(F.col(key)).alias("_key"), F.posexplode_outer(array).alias("_pos", "_item"))
