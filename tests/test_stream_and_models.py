@@ -91,6 +91,39 @@ def test_joined_encoding_is_lossless(spark, monkeypatch):
         assert r["text"] == " ".join(r["w"] or []) and len(r["input_ids"]) == len(r["w"] or [])
 
 
+@pytest.mark.parametrize("run", [1 << 20, 3])
+@pytest.mark.parametrize("head", [0, 2, 65_536])
+def test_joined_lookup_places_missed_words(spark, monkeypatch, head, run):
+    import prefline.operators.tokens as TK
+    monkeypatch.setattr(TK, "HEAD_ENTRIES", head)
+    monkeypatch.setattr(TK, "RUN_ITEMS", run)
+    long = "l" * 70  # frequent, but too long for the head
+    texts = [(1, f"a b c {long} a a".split()), (2, ["b", None, "none", "a"]), (3, []), (4, None), (None, ["c", "b"]), (None, ["a"]),
+             (5, [long, "b"]), (5, ["a", "c", "a"])]
+    df = spark.createDataFrame(texts, "k long, w array<string>")
+    vocab = spark.createDataFrame([("a", 9, 4), (long, 8, 5), ("b", 7, 6), ("c", 1, 7)], "tok string, n long, id long")
+    out = encode_join(df, "k", "w", vocab)
+    got = sorted((str(r["k"]), r["input_ids"]) for r in out.collect())
+    # rows of one key have one list, by position and then id
+    assert got == [("1", [4, 6, 7, 5, 4, 4]), ("2", [6, 1, 1, 4]), ("3", []), ("4", []), ("5", [4, 5, 6, 7, 4]), ("5", [4, 5, 6, 7, 4]),
+                   ("None", [4, 7, 6]), ("None", [4, 7, 6])]
+    back = TK.decode_join(out.where("k < 5"), "k", "input_ids", vocab)
+    assert {r["k"]: r["text"] for r in back.collect()} == {1: f"a b c {long} a a", 2: "b a", 3: "", 4: ""}
+
+
+def test_joined_lookup_shuffles_few_words_and_every_row_once(spark, monkeypatch):
+    import prefline.operators.tokens as TK
+    monkeypatch.setattr(TK, "HEAD_ENTRIES", 495)
+    path = tempfile.mkdtemp(prefix="prefline-lookup-")
+    spark.range(400).selectExpr("id AS k", "transform(sequence(1, 500), i -> concat('w', i)) AS w").write.parquet(f"{path}/rows")
+    vocab = spark.createDataFrame([(f"w{i}", 1, 3 + i) for i in range(1, 501)], "tok string, n long, id long")
+    out = TK.encode_join(spark.read.parquet(f"{path}/rows"), "k", "w", vocab)
+    assert all(r["input_ids"] == list(range(4, 504)) for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the words are not exploded, and both uses of the rows' lists read one exchange
+    assert "posexplode" not in plan and "ReusedExchange" in plan
+
+
 def test_uncapped_vocab_ids_dense(spark):
     docs = spark.createDataFrame([("b a a c",), ("a b",)], "text string")
     v = build_vocab(docs, "text", TokenConfig(vocab_size=None)).orderBy("id").collect()
