@@ -13,6 +13,7 @@ import os
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,13 @@ from prefline.config import MIN_REVIEW_CHARS, PREFIX_MAX, PREFIX_MIN, DatasetCon
 from prefline.functions import templates as TM
 from prefline.operators.batches import length_batches, pad_batches
 from prefline.operators.tokens import attention_mask, pad, prefix_length
+from prefline.operators.workers import runs
 from prefline.sources.adapters import adapt_queries
 from prefline.sources.tables import spread
 
 MAX_FILE = 64 << 20
+# Bytes of text that are Python objects at a time; their ids take some thirty times as much.
+RUN_BYTES = 1 << 20
 _READY: dict[str, object] = {}
 
 
@@ -37,17 +41,10 @@ def _tokenizer(key: str, source):
     return _READY[key]
 
 
-def _chunks(texts: list, limit: int = 1 << 20):
-    """Runs of texts of at most ``limit`` characters together, or one longer text."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > limit:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
+def _texts(column: pa.Array):
+    """Lists of texts of at most ``RUN_BYTES`` together, or of one longer text."""
+    for run in runs(column, pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), RUN_BYTES):
+        yield run.to_pylist()
 
 
 class SubwordTokenizer:
@@ -66,7 +63,7 @@ class SubwordTokenizer:
             raise ValueError(f"{eos_token!r} is not in the vocabulary")
         self.size = own.get_vocab_size()
         self._source = spark.sparkContext.broadcast(text)
-        self._encode, self._decode = _udfs(f"{path}:{len(text)}:{hash(text)}", self._source)
+        self._encode, self._decode, self._prefix = _udfs(f"{path}:{len(text)}:{hash(text)}", self._source)
 
     @property
     def tokens(self) -> TokenConfig:
@@ -81,19 +78,36 @@ class SubwordTokenizer:
         """The text of ``ids`` without special tokens; null ids give null."""
         return self._decode(ids)
 
+    def prefix(self, text, k) -> Column:
+        """``struct<ids, text>``: the first ``k`` ids of the whole text, and those decoded.
+        The ids beyond stay with the worker, and one worker does both."""
+        return self._prefix(text, k)
+
 
 def _udfs(key: str, source):
+    ids, head = pa.list_(pa.int32()), pa.struct([("ids", pa.list_(pa.int32())), ("text", pa.string())])
+
+    def encoded(texts: list) -> list:
+        found = _tokenizer(key, source).encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return [None if t is None else e.ids for t, e in zip(texts, found)]
+
     def encode(column: pa.Array) -> pa.Array:
-        tokenizer, texts = _tokenizer(key, source), column.to_pylist()
-        lists = [e.ids for run in _chunks([t or "" for t in texts]) for e in tokenizer.encode_batch(run, add_special_tokens=False)]
-        return pa.array([None if t is None else x for t, x in zip(texts, lists)], pa.list_(pa.int32()))
+        return pa.concat_arrays([pa.array([], ids)] + [pa.array(encoded(texts), ids) for texts in _texts(column)])
 
     def decode(column: pa.Array) -> pa.Array:
         tokenizer = _tokenizer(key, source)
         return pa.array([None if x is None else tokenizer.decode(x, skip_special_tokens=True) for x in column.to_pylist()], pa.string())
 
+    def prefix(column: pa.Array, k: pa.Array) -> pa.Array:
+        tokenizer, firsts = _tokenizer(key, source), []
+        for texts in _texts(column):
+            sizes = k.slice(len(firsts), len(texts)).to_pylist()
+            firsts += [None if x is None or n is None else x[:n] for x, n in zip(encoded(texts), sizes)]
+        return pa.array([{"ids": x, "text": None if x is None else tokenizer.decode(x, skip_special_tokens=True)} for x in firsts], head)
+
     # not deterministic for the optimizer: a filter on the ids must not encode a second time
-    return F.arrow_udf(encode, "array<int>").asNondeterministic(), F.arrow_udf(decode, "string").asNondeterministic()
+    return (F.arrow_udf(encode, "array<int>").asNondeterministic(), F.arrow_udf(decode, "string").asNondeterministic(),
+            F.arrow_udf(prefix, "struct<ids:array<int>,text:string>").asNondeterministic())
 
 
 def build_query_dataset(source: DataFrame, tokenizer: SubwordTokenizer, cfg: DatasetConfig = DatasetConfig(),
@@ -131,5 +145,5 @@ def build_prefix_dataset(reviews: DataFrame, tokenizer: SubwordTokenizer, key: s
     decoded.  The whole review is encoded, as its first ids may depend on what follows."""
     df = spread(reviews).withColumnRenamed("text", "review").where(F.char_length("review") > min_chars)
     df = df.withColumn("k", prefix_length(F.col(key), salt, min_len, max_len))
-    df = df.withColumn("input_ids", F.slice(tokenizer.encode("review"), F.lit(1), F.col("k").cast("int")))
-    return df.withColumn("query", tokenizer.decode("input_ids"))
+    df = df.withColumn("_first", tokenizer.prefix("review", "k"))
+    return df.withColumn("input_ids", F.col("_first.ids")).withColumn("query", F.col("_first.text")).drop("_first")

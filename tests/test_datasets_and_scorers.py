@@ -323,3 +323,36 @@ def test_subword_encodes_once(spark, vocabulary_file):
     source = spark.createDataFrame([(1, "a")], "conv_id bigint, query string")
     plan = subword.build_query_dataset(source, tokenizer, DatasetConfig())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_subword_prefix_takes_one_worker_for_each_task(spark, vocabulary_file):
+    tokenizer = subword.SubwordTokenizer(spark, vocabulary_file)
+    docs = spark.createDataFrame([(1, "word " * 60), (None, "word " * 60), (2, "short"), (3, None)], "doc_id bigint, text string")
+    out = subword.build_prefix_dataset(docs, tokenizer)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == ["doc_id", "review", "k", "input_ids", "query"] and set(rows) == {1, None}
+    assert len(rows[1]["input_ids"]) == rows[1]["k"] and rows[None][2:] == (None, None, None)
+
+
+def test_subword_encode_holds_few_ids_as_objects(spark, vocabulary_file):
+    import tracemalloc
+
+    import pyarrow as pa
+    tokenizer, own = subword.SubwordTokenizer(spark, vocabulary_file), library(vocabulary_file)
+    texts = [None, "", "x" * 3 + " é 日本 <|endoftext|> "] + ["ab cd ef gh " * 500] * 1500 + [None]  # 9 MB
+    column = pa.array(texts)
+    calls = {"encode": lambda: tokenizer._encode.func(column), "prefix": lambda: tokenizer._prefix.func(column, pa.array([3] * len(texts)))}
+    for name, call in calls.items():
+        call()  # the tokenizer is read
+        tracemalloc.start()
+        out = call()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30 << 20, (name, peak)
+        ids = out if name == "encode" else out.field("ids")
+        assert len(ids) == len(texts) and ids.null_count == 2
+        for i in (1, 2, 3, 1502):
+            whole = own.encode(texts[i], add_special_tokens=False).ids
+            assert ids[i].as_py() == (whole if name == "encode" else whole[:3])
+    assert len(tokenizer._encode.func(column.slice(0, 0))) == 0
