@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from prefline.session import scratch_path
@@ -11,6 +14,8 @@ from prefline.sources.tables import read_table
 ARROW_ROWS = 2000
 ARROW_BYTES = 16 << 20
 PIECE_BYTES = 1 << 20
+KEPT: list = []  # what operators keep in a worker from one task to the next; each can be cleared
+_turn = ""
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -38,6 +43,45 @@ def fan_out(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def _heap_trim():
+    """The C library's call that returns free memory to the system; None without one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Return the memory that is free in this process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = _heap_trim()
+    if trim:
+        trim(0)
+
+
+def in_turn(operator: str, run):
+    """``run`` as a task of that operator.  Python workers are reused: one that goes on to
+    another operator first drops what the one before kept in it, and whenever a task
+    ends, free memory is returned, so idle workers hold little."""
+    def work(batches):
+        take_turn(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return work
+
+
+def take_turn(operator: str) -> None:
+    """Clear what another operator kept in this process."""
+    global _turn
+    if operator != _turn:
+        _turn = operator
+        for kept in KEPT:
+            kept.clear()
+        give_back()
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of an Arrow string column without nulls, starting at 0."""
     wide = str(column.type).startswith("large")
@@ -85,6 +129,10 @@ class Rolling:
     def __init__(self, base: int):
         self.base = base | 1
         self.inverse = pow(self.base, -1, 1 << 64)
+        self.clear()
+        KEPT.append(self)
+
+    def clear(self) -> None:
         self._up = self._down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +189,6 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def sorted_runs(batches, keys: list[str]):
     """Tables of the consecutive rows that agree in ``keys``, from sorted batches.  Only
     the run at hand is held."""
-    import pyarrow as pa
-
     held: list = []
     last = None
     for b in batches:

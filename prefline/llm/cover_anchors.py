@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from .common import WORDS, byte_hashes, fan_out, load, mix, slices, spans, utf8, word_spans
+from .common import WORDS, byte_hashes, fan_out, in_turn, load, mix, slices, spans, utf8, word_spans
 
 WINDOW = 35
 PERIOD = 21
@@ -122,7 +122,7 @@ def _counted(rows: DataFrame, repeated: bool) -> DataFrame:
     repeated are spread, but for the one that tells the hash's partition."""
     n = fan_out(rows.sparkSession)
     to = F.when(F.col("kind") <= TELL, F.col("h")).otherwise(F.xxhash64("h", "key"))
-    return rows.repartition(n, to).sortWithinPartitions("h").mapInArrow(_by_count(repeated), rows.drop("kind").schema)
+    return rows.repartition(n, to).sortWithinPartitions("h").mapInArrow(in_turn(__name__, _by_count(repeated)), rows.drop("kind").schema)
 
 
 def _around(at: np.ndarray, first: int, last: int, reach: int) -> np.ndarray:
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     text = F.coalesce("text", F.lit(""))
     key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), text)
     columns = docs.columns
-    anchors = docs.select(key.alias("key"), text.alias("text")).mapInArrow(_anchors(window, period, cover), ANCHOR_SCHEMA)
+    anchors = docs.select(key.alias("key"), text.alias("text")).mapInArrow(in_turn(__name__, _anchors(window, period, cover)), ANCHOR_SCHEMA)
     repeated = _counted(anchors, repeated=True).groupBy("key").agg(F.collect_set("h").alias("known"))
     # own names for the columns passed through, so that none can clash
     own = [f"__{i}" for i in range(len(columns))]
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
                        F.col("text").isNull().alias("__null"), key.alias("key"))
     # both joins take all columns, so that one exchange of the texts serves both
     found = rows.join(repeated.hint("shuffle_merge"), "key")
-    windows = _counted(found.mapInArrow(_windows(window, period, cover), HASH_SCHEMA), repeated=False)
+    windows = _counted(found.mapInArrow(in_turn(__name__, _windows(window, period, cover)), HASH_SCHEMA), repeated=False)
     told = windows.groupBy("key").agg(
         F.collect_set("ranges").alias("ranges"), F.collect_set(F.when(F.col("ranges").isNull(), F.col("start"))).alias("single"))
     joined = rows.join(told.hint("shuffle_merge"), "key", "left")
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     joined = joined.select(*own, "__null", "key", "ranges", "single")
     fields = [StructField(o, docs.schema[c].dataType) for c, o in zip(columns, own)] + [StructField("__null", BooleanType())]
     schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    out = joined.mapInArrow(_remove(window, len(own) + 1), schema)
+    out = joined.mapInArrow(in_turn(__name__, _remove(window, len(own) + 1)), schema)
     back = [F.when(~F.col("__null"), F.col(o)) if o == "__text" else F.col(o) for o in own]
     return out.select(*[x.alias(c) for x, c in zip(back, columns)], "n_words", "n_removed", "kept")
 

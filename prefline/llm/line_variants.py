@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Rolling, fan_out, load, mix, written
+from .common import Rolling, fan_out, in_turn, load, mix, written
 
 NEAR_CHARS = 24
 KEYS = 1 << 16
@@ -127,7 +127,7 @@ def remove_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(columns, own)], F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"))
     near = rows.join(per_doc.hint("shuffle_merge"), "key").where(F.col("of").eqNullSafe(F.col("doc_id")))
     # equal rows are one document; their variants are equal too
-    near = written(near.select("doc_id", "key", "__text", "line_nos").mapInArrow(_variants, VARIANTS), "line-variants")
+    near = written(near.select("doc_id", "key", "__text", "line_nos").mapInArrow(in_turn(__name__, _variants), VARIANTS), "line-variants")
     place = F.struct(*ORDER)
     # most variants are of one line: they go before places are compared
     thin = near.select("v", "place", *ORDER).repartition(n_parts, "v")
@@ -146,7 +146,7 @@ def remove_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     kept = kept.groupBy("key").agg(F.collect_list("line_no").alias("kept"))
     joined = rows.join(kept.hint("shuffle_merge"), "key", "left").select(*own, "kept")
     schema = StructType([StructField(o, f.dataType) for o, f in zip(own, docs.schema.fields)] + [StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    out = joined.mapInArrow(_keep(len(own)), schema)
+    out = joined.mapInArrow(in_turn(__name__, _keep(len(own))), schema)
     return out.select(*[F.col(o).alias(c) for o, c in zip(own, columns)], "n_lines", "n_removed")
 
 

@@ -15,7 +15,7 @@ import os
 
 import numpy as np
 
-from .common import Rolling, mix, spans
+from .common import KEPT, Rolling, mix, spans
 
 CACHE_ENTRIES = 1 << 20
 SLOTS = 1 << 22
@@ -25,6 +25,7 @@ USUAL = r"\t\n\r\x20-\x7e¡-įı-ſ‐-‧‰-›"
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _READY: dict[str, "CachedEncoder"] = {}
+KEPT.append(_READY)
 _HASH = Rolling(0xA0761D6478BD642F)
 
 

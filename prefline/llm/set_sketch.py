@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import FOLD, WORDS, byte_hashes, fan_out, load, mix, slices, sorted_runs, spans, utf8, word_spans, written
+from .common import FOLD, WORDS, byte_hashes, fan_out, in_turn, load, mix, slices, sorted_runs, spans, utf8, word_spans, written
 from .components import components, forest
 
 SHINGLE = 5
@@ -42,6 +42,7 @@ ROWS = 5  # registers in a band
 MISSED = 5e-6  # odds that all bands miss a link at the threshold
 BASE, OFFSET = 1.1, 40
 THRESHOLD = 0.85
+SLICE_BYTES = 1 << 18
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
 SLACK = 12.0  # log-likelihood by which likeness THRESHOLD may fall behind the best
@@ -99,7 +100,7 @@ def _sketch(bands: int):
         seeded = seeds(bands)
         for b in batches:
             offsets, data = utf8(b.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 hashes, sizes = shingles(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
                 some = sizes > 0
                 made = registers(hashes, sizes[some], seeded) if some.any() else np.zeros((0, bands * ROWS), np.uint8)
@@ -118,7 +119,7 @@ def _sketch(bands: int):
 
 def sketches(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, set size, set digest (two sums of hashes) and registers of every row."""
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sketch(bands), SKETCH_SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(in_turn(__name__, _sketch(bands)), SKETCH_SCHEMA)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
@@ -183,7 +184,7 @@ def _estimate(threshold: float):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         offsets, data = utf8(b.column(1))
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, SLICE_BYTES):
             hashes, sizes = shingles(offsets[i:j + 1] - offsets[i], data[offsets[i]:offsets[j]])
             cells = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(sizes)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(cells, pa.binary()), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i)], ["doc_id", "members", "cluster", "n_blocks"])
@@ -191,13 +192,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of the sizes of the sets' intersections."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(counts > 1) - 1
-    take = counts[column] > 1
-    owner, column = owner[take], shared[column[take]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+    values = values[order]
+    del order
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    del values
+    counts = np.diff(np.append(np.flatnonzero(new), len(new)))
+    shared = counts > 1
+    owner = owner[np.repeat(shared, counts)]
+    column = np.repeat(np.arange(int(shared.sum()), dtype=np.int32), counts[shared])
     out = np.zeros((len(sets), len(sets)), np.float32)
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
         a, z = np.searchsorted(column, [c, c + 2048])
@@ -235,16 +241,16 @@ def link(docs: DataFrame, percent: int = 85) -> DataFrame:
     in_buckets = classes.select("doc_id", F.explode(bands).alias("bucket")).join(sizes, "bucket")
     in_buckets = in_buckets.join(classes.select("doc_id", "n", "sketch"), "doc_id")
     dealt = block_pairs(in_buckets, "bucket", F.ceil(F.col("members") / BLOCK))
-    reports = dealt.select("bucket", "low", "high", "doc_id", "n", "sketch").mapInArrow(_estimate(percent / 100), EDGES)
+    reports = dealt.select("bucket", "low", "high", "doc_id", "n", "sketch").mapInArrow(in_turn(__name__, _estimate(percent / 100)), EDGES)
     clusters = written(components(reports), "clusters")
     per_cluster = clusters.join(classes.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("n_blocks"))
     members = clusters.join(per_cluster, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "n_blocks")
     # rows of one id and several texts each stand for it
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(members, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "cluster", "n_blocks")
-    full = texts.mapInArrow(_sets, "doc_id bigint, members binary, cluster bigint, n_blocks bigint").where(F.length("members") > 0)
+    full = texts.mapInArrow(in_turn(__name__, _sets), "doc_id bigint, members binary, cluster bigint, n_blocks bigint").where(F.length("members") > 0)
     paired = block_pairs(full, "cluster", F.col("n_blocks")).select("cluster", "low", "high", "doc_id", "members")
-    found = written(components(paired.mapInArrow(_verify(percent), EDGES)), "components")
+    found = written(components(paired.mapInArrow(in_turn(__name__, _verify(percent)), EDGES)), "components")
     to = classes.select(*[F.col(c).alias(f"c_{c}") for c in digest], F.col("doc_id").alias("node")).join(found, "node", "left").select(
         "c_n", "c_d1", "c_d2", F.coalesce("component", "node").alias("component"))
     out = own.drop("sketch").join(to, (F.col("n") == F.col("c_n")) & (F.col("d1") == F.col("c_d1")) & (F.col("d2") == F.col("c_d2")), "left")

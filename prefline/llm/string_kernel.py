@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import FOLD, Rolling, fan_out, load, mix, slices, utf8, word_spans
+from .common import FOLD, Rolling, fan_out, in_turn, load, mix, slices, utf8, word_spans
 
 TRAIN_ROWS = 10_000
 LANDMARKS = 96
@@ -235,7 +235,7 @@ def train(texts: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lan
                     known = np.concatenate([known, f])
         if not picked:
             return None
-        got = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(_vectors(picked), "toxic int, vector binary").toPandas()
+        got = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(in_turn(__name__, _vectors(picked)), "toxic int, vector binary").toPandas()
     finally:
         rows.unpersist()
     values = np.stack([np.frombuffer(v, np.float32) for v in got["vector"]]).astype(np.float64)
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns + [pa.array(out, pa.float64())], b.schema.names + ["score"])
 
     schema = StructType([StructField(o, f.dataType) for o, f in zip(own, docs.schema.fields)] + [StructField("score", DoubleType())])
-    return renamed.mapInArrow(run, schema).select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)], "score")
+    return renamed.mapInArrow(in_turn(__name__, run), schema).select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)], "score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import PIECE_BYTES, load
+from .common import PIECE_BYTES, in_turn, load
 from .piece_cache import encoder, in_pieces
 
 CONTEXT = 4096
@@ -179,7 +179,7 @@ def _pack(path: str, end_id: int, context: int, pool_tokens: int):
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, context: int = CONTEXT, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """One row per piece with its ids (binary: little-endian unsigned 32-bit)."""
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_pack(tokenizer_path, end_id, context, pool_tokens), PIECE_SCHEMA)
+    return rows.mapInArrow(in_turn(__name__, _pack(tokenizer_path, end_id, context, pool_tokens)), PIECE_SCHEMA)
 
 
 END_ID = 2

@@ -2,13 +2,16 @@
 whole run against its own stages."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from given_tables import SF_SMALL
-from prefline.llm import line_variants, queries
+from prefline.llm import common, line_variants, piece_cache, queries, set_sketch, tier_packing
 
 CLASH = "doc_id bigint, text string, n_chars int, score string, n_lines int, n_removed string, n_words int, kept string, __gone int, pipeline_row int, key string, __text string, __null int, toxic int"
 
@@ -139,3 +142,50 @@ def test_line_query_equals_its_operator(spark):
     for r in queries.QUERIES["op7_line_variants"](spark, SF_SMALL).collect():
         own = texts[r["doc_id"]]
         assert (r["n_lines"], r["n_removed"], r["kept_sha256"]) == (own["n_lines"], own["n_removed"], hashlib.sha256((own["text"] or "").encode()).hexdigest())
+
+
+def test_a_worker_drops_what_another_operator_kept(spark):
+    import public_tokenizers
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(piece_cache._READY) + (len(common.WORDS._up) > 1)] * b.num_rows, pa.int64())], ["n"])
+
+    docs = spark.createDataFrame([(i, "some words " * 9) for i in range(8)], "doc_id bigint, text string").coalesce(1)
+    tier_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2).count()
+    sketches = set_sketch.sketches(docs, 20)
+    assert sketches.count() == 8
+    # each worker: the next operator's function finds nothing of the one before
+    assert {r.n for r in docs.mapInArrow(common.in_turn("next", held), "n bigint").collect()} == {0}
+    piece_cache.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    common.WORDS.prefix(np.ones(9, np.uint64))
+    list(common.in_turn("first", iter)([]))
+    assert not piece_cache._READY and len(common.WORDS._up) == 1
+
+
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 2 ** 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_sketches_and_sets_need_little_memory():
+    text = " ".join(words(5, 5000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array([text] * 100), *[pa.array([1] * 100, pa.int64())] * 2], ["doc_id", "text", "cluster", "n_blocks"])
+    for run in (set_sketch._sketch(20), set_sketch._sets):
+        common.WORDS.clear()
+        assert peak(lambda: sum(b.num_rows for b in run(iter([batch])))) < 25  # noqa: B023
+
+
+def test_intersections_need_little_memory_and_are_right():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 3000, n)).astype(np.uint64) for n in (2000, 1, 500, 2500)]
+    for i, row in enumerate(set_sketch.intersections(sets)):
+        for j, n in enumerate(row):
+            if i != j:
+                assert n == len(np.intersect1d(sets[i], sets[j]))
+    large = [np.arange(k, k + 100_000, dtype=np.uint64) * np.uint64(k % 2 + 1) for k in range(10)]
+    assert peak(lambda: set_sketch.intersections(large)) < 50
