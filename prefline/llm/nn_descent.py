@@ -63,7 +63,7 @@ def valid_vectors(table: DataFrame, id_column: str = "vec_id", column: str = "em
 def _half(largest: float):
     """Vectors in half precision, each with a power of two of its own in front (of the
     vector divided by that of the largest component of all), so that no size of numbers is
-    lost: a cell is the power as a 32-bit number, then the components."""
+    lost: a cell is the power's exponent in a byte, then the components."""
     whole = np.frexp(largest)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,17 +71,20 @@ def _half(largest: float):
             made = []
             for v in (x.values.to_numpy() for x in b.column(1)):
                 own = int(np.frexp(np.abs(v).max())[1])
-                made.append(np.float32(np.ldexp(1.0, max(own - whole, -126))).tobytes() + np.ldexp(v, -own).astype(np.float16).tobytes())
+                made.append(np.int8(np.clip(own - whole, -126, 127)).tobytes() + np.ldexp(v, -own).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["id", "vec"])
     return run
 
 
 def _matrix(cells, width: int = 0) -> np.ndarray:
-    """The vectors of some cells, or of their bytes one after the other (``width`` each)."""
+    """The vectors of some cells, or of their bytes one after the other (``width`` each).
+    Cells of an even number of bytes are components without an exponent."""
     raw = cells if width else b"".join(cells)
     raw = np.frombuffer(raw, np.uint8).reshape(-1, width or len(raw) // len(cells))
-    scale = np.ascontiguousarray(raw[:, :4]).view(np.float32)
-    return np.ascontiguousarray(raw[:, 4:]).view(np.float16).astype(np.float32) * scale
+    if raw.shape[1] % 2 == 0:
+        return np.ascontiguousarray(raw).view(np.float16).astype(np.float32)
+    scale = np.ldexp(np.float32(1), np.ascontiguousarray(raw[:, :1]).view(np.int8).astype(np.int32))
+    return np.ascontiguousarray(raw[:, 1:]).view(np.float16).astype(np.float32) * scale
 
 
 def _projected(trees: int, bits: int):
