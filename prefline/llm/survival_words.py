@@ -8,7 +8,9 @@ a difference of two such counts, so the documents are read once, whatever is ask
 
 Whether a text repeats that of a smaller doc_id is settled by classes of equal texts (by
 SHA-256).  Classes that hold more than one in ``HOT`` of the rows, fewer than ``HOT``
-in all, are broadcast; all others are joined by a shuffle of digests.
+in all, are broadcast; all others are joined by a shuffle of digests, and the labels by a
+shuffle of ids, however small Spark takes them to be: no table that grows with the input
+goes through the driver.
 
 Defined results: null text: empty; null lang: the part with the empty name, together with
 an empty lang; a null doc_id is smaller than none and none is smaller than it, and it has
@@ -60,19 +62,21 @@ def failures(docs: DataFrame) -> DataFrame:
     hot = F.broadcast(shared.where(F.col("n") * HOT > total).select("digest", "first"))  # fewer than HOT rows
     rare = shared.where(F.col("n") * HOT <= total).select("digest", "first")
     known = rows.join(hot, "digest")
-    rest = rows.join(hot.select("digest"), "digest", "left_anti").join(rare, "digest", "left")
+    rest = rows.join(hot.select("digest"), "digest", "left_anti").join(rare.hint("merge"), "digest", "left")
     repeats = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return known.unionByName(rest).select("doc_id", "part", (F.col("own") + F.when(repeats, F.lit(16)).otherwise(F.lit(0))).alias("fails"))
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Add the class of the labels: bit 0 quality, bit 1 toxic.  Rows are salted by their
-    partition, so that one id (or none) on very many rows is spread."""
+    partition, so that one id (or none) on very many rows is spread.  The join is by merge:
+    Spark estimates the labels by their files, without the copies under each salt, and
+    would broadcast them at some 300 times that size."""
     is_one = lambda c: F.max(F.when(F.col(c) == 1, 1).otherwise(0))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg((is_one("quality") + 2 * is_one("toxic")).alias("label")).where("label > 0")
     marks = marks.select("of", "label", F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("of_salt"))
     rows = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    joined = rows.join(marks, (F.col("of") == F.col("doc_id")) & (F.col("of_salt") == F.col("salt")), "left")
+    joined = rows.join(marks.hint("merge"), (F.col("of") == F.col("doc_id")) & (F.col("of_salt") == F.col("salt")), "left")
     return joined.select("part", F.coalesce("label", F.lit(0)).alias("label"), "fails")
 
 

@@ -159,6 +159,28 @@ def test_survival_audit_of_empty_tables(spark):
     assert survival_words.audit(survival_words.survivors(docs, marks)).count() == 0
 
 
+def test_survival_labels_do_not_go_through_the_driver(spark, tmp_path):
+    spark.range(6000).selectExpr("id doc_id", "int(id % 3) quality", "int(id % 2) toxic").write.parquet(str(tmp_path / "labels"))
+    marks = spark.read.parquet(str(tmp_path / "labels"))  # a few kB, 64,000 rows with their salts
+    rows = spark.range(0, 12000, 2).selectExpr("id doc_id", "string(id % 5) part", "int(id % 7) fails")
+    got = survival_words.with_labels(rows, marks)
+    counts = {r["label"]: r["n"] for r in got.groupBy("label").count().withColumnRenamed("count", "n").collect()}
+    assert counts == {0: 5000, 1: 1000}  # even ids: never toxic, a third of those below 6000 good
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_survival_audit_broadcasts_frequent_texts_only(spark):
+    docs = spark.range(9000).selectExpr("id doc_id", "if(id < 100, 'the same', concat('text ', id div 2)) text", "'en' lang")
+    fails = survival_words.failures(docs)
+    repeats = fails.where("fails >= 16")
+    assert repeats.count() == 99 + 8900 // 2
+    fails.collect()
+    plan = fails._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"\bBroadcastHashJoin\b", plan)) == 2 and len(re.findall(r"\bSortMergeJoin\b", plan)) == 1
+
+
 def test_positional_popcount():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 4, 7, 1000, 4099):
